@@ -1,0 +1,66 @@
+import re
+from collections import Counter
+
+import pytest
+
+from tallywright.llm import quality
+
+SCHEMA = "doc_id long, text string, source string"
+
+
+def brute(text):
+    text = text or ""
+    words = re.findall(r"[^\x20\x09-\x0D]+", text)
+    lines = [x for x in text.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+    grams = [tuple(words[i : i + 3]) for i in range(len(words) - 2)]
+    many = Counter(grams)
+    hit = {i + k for i, g in enumerate(grams) if many[g] > 1 for k in range(3)}
+    return (
+        len(words), sum(map(len, words)), sum(text.count(c) for c in "#*$%&|<>"), len(lines) - len(set(lines)), len(hit),
+    )
+
+
+TEXTS = [
+    None, "", " \t\r\n", "a b c a b c a b c", "one\ntwo\none \none\n\n\n", "## || <> 100% a&b*c$", "x " * 5000,
+    "a b c d e f a b c x d e f", "é ü ß 😀 w", "\x0b\x0cword\x1fword2\x85z",
+]
+
+
+def test_metrics_match_brute_force(spark):
+    rows = [(i, t, "s") for i, t in enumerate(TEXTS)] + [(3, TEXTS[3], None), (None, "a b", "s")]
+    got = quality.document_metrics(spark.createDataFrame(rows, SCHEMA)).collect()
+    keys = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+    assert sorted((str(r.doc_id), *(r[k] for k in keys)) for r in got) == sorted((str(i), *brute(t)) for i, t, _ in rows)
+
+
+def _good(i):
+    return " ".join(f"word{i}x{k}" for k in range(60))
+
+
+def test_host_verdict_takes_soft_failures_only(spark):
+    symbols = lambda i: " ".join(f"word{i}x{k}##" for k in range(60))
+    rows = [(i, symbols(i), "bad") for i in range(30)] + [(100, _good(100), "bad"), (101, "too short", "good")]
+    rows += [(200 + i, _good(i + 200), "good") for i in range(30)] + [(300, symbols(300), "good")]
+    df = spark.createDataFrame(rows, SCHEMA)
+    kept = {r.doc_id: r.kept for r in quality.quality_rules(df).collect()}
+    assert not any(kept[i] for i in range(30)) and kept[100] and not kept[101] and kept[300]
+    assert {r.doc_id for r in quality.keep_good(df).collect()} == {i for i, k in kept.items() if k}
+
+
+def test_edges(spark):
+    empty = spark.createDataFrame([], SCHEMA)
+    assert quality.quality_rules(empty).count() == 0 and quality.keep_good(empty).count() == 0
+    one = spark.createDataFrame([(1, _good(1), None)] * 2, SCHEMA)
+    assert [r.kept for r in quality.quality_rules(one).collect()] == [True, True]
+    clash = one.selectExpr("*", "1 as n_words", "'x' as words", "2 as kept", "3 as host", "'y' as TEXT", "true as failed")
+    assert [r.kept for r in quality.quality_rules(clash).collect()] == [True, True]
+    assert quality.keep_good(clash).columns == clash.columns and quality.keep_good(clash).count() == 2
+
+
+@pytest.mark.parametrize("sf", ["sf0.001"])
+def test_given_documents(spark, sf):
+    docs = spark.read.parquet(f"/root/testdata/{sf}/documents.parquet")
+    got = {r.doc_id: r for r in quality.document_metrics(docs).collect()}
+    for r in docs.collect():
+        x = got[r.doc_id]
+        assert (x.n_words, x.word_chars, x.n_symbols, x.n_dup_lines, x.n_repeat_words) == brute(r.text)
