@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, quality, secrets, simhash
+from . import bpe, chat, decontam, html, license, quality, secrets, sharding, simhash, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -32,6 +32,25 @@ def op1_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_digests(bpe.decode(bpe.encode(_read(spark, sf_dir, "documents"))))
 
 
+def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.assign_shards(_read(spark, sf_dir, "documents"))
+
+
+def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = html.extract_text(_read(spark, sf_dir, "pages"))
+    return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.link_tool_calls(_read(spark, sf_dir, "conversations"))
+
+
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = license.scan_licenses(_read(spark, sf_dir, "documents"))
+    names = F.transform("found", lambda x: x["license"])
+    return found.select("doc_id", F.size("found").cast("long").alias("n_licenses"), F.array_join(names, ",").alias("licenses"))
+
+
 def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(_read(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -52,6 +71,12 @@ def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_warc_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, records = warc.archive(_read(spark, sf_dir, "pages"))
+    id_type = records.schema["page_id"].dataType
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast(id_type).alias("refers_to"))
+
+
 def op9_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontam.decontaminate(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
     return found.select(
@@ -69,6 +94,9 @@ def op10_host_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_bpe_round_trip, op6_simhash_near_dedup, op7_secret_scan, op9_winnowing, op10_host_quality)
-}
+    for f in (
+        op1_bpe_round_trip, op2_sharding, op3_html_extraction, op4_chat_formatting, op5_license_scan,
+        op6_simhash_near_dedup, op7_secret_scan, op8_warc_bundles, op9_winnowing, op10_host_quality,
+    )
+}
 ORACLE_SQL: dict[str, str] = {}

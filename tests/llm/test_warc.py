@@ -1,0 +1,65 @@
+import base64
+import hashlib
+
+from tallywright.llm import registry, warc
+
+SCHEMA = "page_id long, url string, html string"
+
+
+def brute(rows):
+    best = {}
+    for i, _, h in rows:
+        best[h or ""] = max([x for x in (best.get(h or ""), i) if x is not None], default=None)
+    out = []
+    for i, _, h in rows:
+        raw, top = (h or "").encode(), best[h or ""]
+        again = i != top
+        digest = base64.b32encode(hashlib.sha1(raw).digest()).decode()
+        out.append((i, len(raw), digest, "revisit" if again else "response", top if again else None))
+    return sorted(out, key=str)
+
+
+ROWS = [
+    (1, "http://a/é b", "<p>é😀</p>"), (2, None, "<p>é😀</p>"), (3, "u", None), (4, "u", ""), (5, "x\r\ny", "z" * 3_000_000),
+    (5, "x", "other page, same id"), (6, "u", "<p>é😀</p>"), (6, "u", "<p>é😀</p>"), (None, "u", "\r\n\r\n"), (None, "u", ""), (7, "u", "last"),
+]
+
+
+def test_edges(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    df = spark.createDataFrame(ROWS, SCHEMA)
+    df.write.parquet(f"{tmp_path}/in/pages.parquet")
+    got = sorted((tuple(r) for r in registry.op8_warc_bundles(spark, f"{tmp_path}/in").collect()), key=str)
+    assert got == brute(ROWS)
+    clash = df.selectExpr("*", "1 sha", "2 digest", "3 refers_to", "4 HTML", "5 bundle")
+    for limit in (1_000_000, 0):
+        index = warc.materialize(warc.write_bundles(clash, f"file://{tmp_path}/w{limit}", bundle_bytes=1000, broadcast_limit=limit), "i")
+        assert index.count() == len(ROWS) and index.select("bundle").distinct().count() > 1
+        back = {(r.page_id, r.payload) for r in warc.read_bundles(index, True).collect() if r.record_type == "response"}
+        assert back == {(i, h or "") for i, _, h in ROWS if (i, len((h or "").encode())) in {(b[0], b[1]) for b in brute(ROWS) if b[3] == "response"}}
+    _, records = warc.archive(df.limit(0))
+    assert records.count() == 0
+
+
+def test_seek_table_gives_each_record_and_plain_zstd_reads_the_whole(tmp_path):
+    import zstandard
+
+    out = warc.BundleWriter(str(tmp_path), frame_bytes=100)
+    raws = [warc.record(k, "http://x/", bytes([65 + k]) * (k * 30), None)[1] for k in range(20)]
+    places = [out.add(r) for r in raws]
+    out.close()
+    reader = warc.BundleReader(out.bundle)
+    for k in (19, 0, 7, 7, 3):
+        assert reader.read(*places[k]) == raws[k]
+        assert reader.read_at(sum(map(len, raws[:k])), len(raws[k])) == raws[k]
+        assert warc.parse_record(raws[k])[1] == bytes([65 + k]) * (k * 30)
+    with open(out.bundle, "rb") as f:
+        whole = zstandard.ZstdDecompressor().stream_reader(f, read_across_frames=True).read()
+    assert whole == b"".join(raws)
+
+
+def test_given_pages(spark):
+    sf = "/root/testdata/sf0.001"
+    rows = [tuple(r) for r in spark.read.parquet(f"{sf}/pages.parquet").select("page_id", "url", "html").collect()]
+    got = sorted((tuple(r) for r in registry.op8_warc_bundles(spark, sf).collect()), key=str)
+    assert got == brute(rows)
