@@ -1,0 +1 @@
+"""Alert reconciliation, landing-table quality, grading and progress as Spark jobs."""
