@@ -571,7 +571,7 @@ def _stream_sides(b: _Bank) -> tuple[DataFrame, DataFrame]:
     alerts = b.alerts_raw.select("txn_id", "alert_ts")
 
     def end(df: DataFrame, ts: str) -> DataFrame:  # it must meet the jobs' filters to move their watermark
-        values = {ts: F.to_timestamp(F.lit(FAR_FUTURE)), "status": F.lit("SETTLED"), "amount_inr": F.lit(1e9)}
+        values = {ts: F.to_timestamp(F.lit(FAR_FUTURE)), "status": F.lit("SETTLED"), "amount_inr": F.lit(1e9), "txn_id": F.lit(-1)}
         return b.spark.range(1).select(*[values.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in df.schema])
 
     return land(txns, end(txns, "txn_ts")), land(alerts, end(alerts, "alert_ts"))
