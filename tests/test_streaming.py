@@ -1,0 +1,55 @@
+from datetime import datetime, timedelta
+
+from tallywright.sources import tables as T
+from tallywright.streaming import jobs as S
+from tallywright.streaming.runner import drain, land
+
+from .test_operators import fold, subs_of
+
+TXN = "txn_id long, amount_inr long, channel string, category string, txn_ts timestamp, status string, is_international int"
+ALERT = "txn_id long, alert_ts timestamp"
+START = datetime(2026, 7, 1)
+
+
+def at(minutes):
+    return START + timedelta(minutes=minutes)
+
+
+def sides(spark):
+    rows = [(i, 300_000, "UPI", "RETAIL", at(10 * i), "SETTLED", 0) for i in range(20)] + [(50, 1, "UPI", "RETAIL", at(5), "SETTLED", 0)]
+    alerts = [(i, at(10 * i + (93 if i % 4 == 0 else 94))) for i in range(0, 20, 2)]
+    far = datetime(2027, 1, 1)
+    txns = land(spark.createDataFrame(rows, TXN), spark.createDataFrame([(-1, 300_000, "UPI", "RETAIL", far, "SETTLED", 0)], TXN))
+    return txns, land(spark.createDataFrame(alerts, ALERT), spark.createDataFrame([(-1, far)], ALERT))
+
+
+def test_missing_after_the_allowed_delay(spark):
+    txns, alerts = sides(spark)
+    got = sorted(r.txn_id for r in drain(S.stream_missing_alerts(txns, alerts), "m").collect())
+    assert got == [i for i in range(20) if i % 4]
+
+
+def test_alert_rate_per_window(spark):
+    txns, alerts = sides(spark)
+    got = {r.window_start: (r.settled, r.alerts) for r in drain(S.stream_alert_rate(txns, alerts, "1 hour"), "r").collect()}
+    assert got == {at(0): (7, 2), at(60): (6, 1), at(120): (6, 2), at(180): (2, 0)}
+
+
+def test_dedup_and_quarantine(spark):
+    rows = [(i % 5, at(i)) for i in range(10)]
+    got = drain(S.stream_dedup(land(spark.createDataFrame(rows, "txn_id long, txn_ts timestamp"))), "d").collect()
+    assert sorted(r.txn_id for r in got) == [0, 1, 2, 3, 4]
+    alerts = land(spark.createDataFrame([(1, START), (2, datetime(2025, 12, 1)), (3, None)], ALERT))
+    timely, quarantine = (drain(df, n) for df, n in zip(S.stream_late_alerts(alerts, "2026-01-01"), ("t", "q")))
+    assert [r.txn_id for r in timely.collect()] == [1] and sorted(r.txn_id for r in quarantine.collect()) == [2, 3]
+
+
+def test_progress_folds_across_batches(spark):
+    import random
+
+    rng = random.Random(2)
+    names = [c[0] for c in T.CHALLENGES]
+    rows = [(rng.randrange(4), rng.choice(names), rng.random() < 0.9) for _ in range(400)]
+    subs = subs_of(spark, rows).select("user_id", "challenge_id", "passed", "seq")
+    out = drain(S.stream_progress(land(subs), T.STAGES), "p").collect()
+    assert {r.user_id: (r.completed_stages, r.reward_unlocked) for r in out} == fold(rows)
