@@ -115,8 +115,8 @@ def host_rates(judged: DataFrame) -> DataFrame:
     raw = F.col("n_failed") / F.col("n_docs")
     prior = hosts.agg(F.avg(raw).alias("mean"), F.var_pop(raw).alias("var"))
     mean, var = F.col("mean"), F.col("var")
-    fitted = mean * (1 - mean) / F.when(var > 1e-12, var) - 1
-    prior = prior.select("mean", F.coalesce(F.greatest(fitted, F.lit(1e-6)), F.lit(FLAT_PRIOR_WEIGHT)).alias("weight"))
+    fitted = F.greatest(mean * (1 - mean) / F.when(var > 1e-12, var) - 1, F.lit(1e-6))
+    prior = prior.select("mean", F.when(var > 1e-12, fitted).otherwise(F.lit(FLAT_PRIOR_WEIGHT)).alias("weight"))
     mean, weight = prior.select("mean").scalar(), prior.select("weight").scalar()
     rate = (F.col("n_failed") + mean * weight) / (F.col("n_docs") + weight)
     return hosts.withColumn("host_rate", F.round(rate, 9))

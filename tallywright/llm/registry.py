@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, chat, decontam, html, license, quality, secrets, sharding, simhash, warc
+from .oracle import ORACLE_SQL  # noqa: F401
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -99,4 +100,3 @@ QUERIES = {
         op6_simhash_near_dedup, op7_secret_scan, op8_warc_bundles, op9_winnowing, op10_host_quality,
     )
 }
-ORACLE_SQL: dict[str, str] = {}

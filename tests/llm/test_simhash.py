@@ -53,7 +53,8 @@ def test_edges(spark, tmp_path):
     got = [tuple(r) for r in registry.op6_simhash_near_dedup(spark, str(tmp_path)).collect()]
     assert sorted(got, key=str) == brute(rows)
     kept = simhash.keep_first(spark.createDataFrame(rows, SCHEMA)).collect()
-    assert sorted((r.doc_id for r in kept), key=str) == sorted({c for _, _, c in brute(rows) if c is not None} | {None}, key=str) + [None]
+    ids = sorted(r.doc_id for r in kept if r.doc_id is not None)
+    assert ids == sorted({c for i, _, c in brute(rows) if i is not None}) and len(kept) == len(ids) + 2
     empty = spark.createDataFrame([], SCHEMA)
     assert simhash.near_duplicates(empty).count() == 0 and simhash.keep_first(empty).count() == 0
     clash = spark.createDataFrame(rows, SCHEMA).selectExpr("*", "1 fp", "2 component_id", "3 first_id", "4 DOC_ID", "5 copies")
@@ -94,3 +95,53 @@ def test_long_chain_of_components(spark):
     edges = spark.range(300).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
     got = simhash.connected_components(edges).collect()
     assert len(got) == 300 and {r.root for r in got} == {0}
+
+
+def shingle_sets(texts):
+    out = []
+    for t in texts:
+        w = (t or "").encode().lower().split()
+        out.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set())
+    return out
+
+
+def test_near_copies_are_grouped_and_others_are_not(spark):
+    rng = np.random.default_rng(11)
+    vocabulary = [f"v{i}" for i in range(3000)]
+    text = lambda n: [str(w) for w in rng.choice(vocabulary, n)]
+
+    def edited(words, share):
+        return [str(rng.choice(vocabulary)) if rng.random() < share else w for w in words]
+
+    rows, families = [], []
+    for f in range(12):
+        base = text(int(rng.integers(120, 900)))
+        members = [base] + [edited(base, 0.012) for _ in range(6)]
+        families.append(range(len(rows), len(rows) + len(members)))
+        rows += members
+    loners = len(rows)
+    for f in range(60):  # strangers, and halves of family texts
+        rows.append(text(300) if f % 2 else rows[families[f % 12][0]][: 60 + f] + text(300))
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(rows)], SCHEMA)
+    got = {r.doc_id: r.component_id for r in simhash.near_copies(df).collect()}
+    sets = shingle_sets(" ".join(w) for w in rows)
+    for family in families:
+        first = family[0]
+        for i in family:
+            alike = len(sets[first] & sets[i]) / len(sets[first] | sets[i])
+            assert got[i] == first or alike < 0.82
+    assert all(got[i] == i for i in range(loners, len(rows)))
+    assert simhash.near_copies(df.limit(0)).count() == 0
+
+
+def test_shared_postings_across_batches():
+    import pyarrow as pa
+
+    rng = np.random.default_rng(3)
+    for _ in range(200):
+        key = np.sort(rng.integers(0, 12, rng.integers(0, 30)))
+        node = np.arange(len(key))
+        cuts = np.sort(rng.integers(0, len(key) + 1, 3))
+        batches = [pa.RecordBatch.from_arrays([pa.array(k), pa.array(n)], ["key", "node"]) for k, n in zip(np.split(key, cuts), np.split(node, cuts))]
+        got = [(k, n) for b in simhash._shared_postings(batches) for k, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist())]
+        assert got == [(int(k), int(n)) for k, n in zip(key, node) if (key == k).sum() > 1]
