@@ -1,0 +1,25 @@
+import shutil
+import subprocess
+import sys
+
+import __spark_entry__
+
+from .conftest import ROOT
+
+
+def test_names_are_consistent():
+    queries, twins = __spark_entry__.queries(), __spark_entry__.oracle_sql()
+    assert set(twins) <= set(queries) and all(callable(q) for q in queries.values())
+
+
+def test_flagship(spark):
+    df = __spark_entry__.entry(spark)
+    assert df.columns == ["month", "cause", "n"] and df.count() > 0
+
+
+def test_works_without_the_training_data_operators(tmp_path):
+    shutil.copytree(f"{ROOT}/tallywright", tmp_path / "tallywright", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    shutil.copy(f"{ROOT}/__spark_entry__.py", tmp_path)
+    code = "import __spark_entry__ as e; q = e.queries(); assert len(q) > 50 and set(q) == set(e.oracle_sql()); assert 'pipeline' not in q"
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env={"PATH": "/usr/bin:/bin"}, capture_output=True, text=True)
+    assert done.returncode == 0, done.stderr
