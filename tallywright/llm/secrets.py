@@ -74,7 +74,7 @@ class Scanner:
         out, last = [], -1
         for word in self.sensitive.finditer(text):
             at = max(word.end(), last)
-            for m in self.candidate.finditer(text, at, min(len(text), word.end() + CONTEXT_CHARS)):
+            for m in self.candidate.finditer(text, at, min(len(text), word.end() + CONTEXT_CHARS + 16)):
                 whole = self.candidate.match(text, m.start())  # the reach bounds the start only
                 s, e = whole.span()
                 if s < last:
