@@ -11,16 +11,20 @@ from __future__ import annotations
 import json
 import unicodedata
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .common import pick
 
 VOCABULARY = "word_bpe_49k.json"
 NO_PAIR = 1 << 62
-#: Words whose symbols a task remembers before it starts anew.
-CACHE_WORDS = 200_000
+#: Runs whose tokens a task remembers before it starts anew, and characters that are split at a time.
+CACHE_RUNS = 250_000
+CHUNK_CHARS = 1_000_000
 
 
 def vocabulary_path(name: str = VOCABULARY) -> str:
@@ -83,56 +87,224 @@ def merge_word(symbols: list[int], pairs: dict[tuple[int, int], tuple[int, int]]
     return out
 
 
+def merge_words(ids: np.ndarray, lengths: np.ndarray, pairs: Pairs) -> tuple[np.ndarray, np.ndarray]:
+    """`merge_word` for many words at once: the trees of words of like length are rows of one array.
+
+    ids: the symbols of all words; lengths: of each word. Returns the same for the merged words.
+    """
+    starts = np.concatenate([[0], np.cumsum(lengths)])
+    out = [ids[starts[w] : starts[w + 1]] for w in range(len(lengths))]
+    size = 1
+    while size <= MAX_ROW and (lengths > 1).any():
+        rows = np.flatnonzero((lengths - 1 > size // 2) & (lengths - 1 <= size) & (lengths > 1))
+        for k in range(0, len(rows), ROWS):
+            for w, merged in zip(rows[k : k + ROWS], _merge_rows([out[w] for w in rows[k : k + ROWS]], size, pairs)):
+                out[w] = merged
+        size *= 2
+    for w in np.flatnonzero(lengths - 1 > MAX_ROW):
+        out[w] = np.array(merge_word(out[w].tolist(), pairs.as_dict()), np.int64)
+    return (np.concatenate(out) if out else ids), np.array([len(x) for x in out], np.int64)
+
+
+#: Leaves of the largest tree that stands in a row, and rows handled together.
+MAX_ROW, ROWS = 256, 8192
+
+
+class Pairs:
+    """Mergeable pairs by (left, right), looked up for arrays; every pair has a rank of its own."""
+
+    def __init__(self, pairs: dict[tuple[int, int], tuple[int, int]]) -> None:
+        keys = np.array([left << 32 | right for left, right in pairs] or [-1], np.int64)
+        found = np.array(list(pairs.values()) or [(0, 0)], np.int64)
+        order = np.argsort(keys)
+        self.keys, self.ranks = keys[order], found[order, 0]
+        self.merged = np.zeros(int(found[:, 0].max()) + 1, np.int64)  # by rank
+        self.merged[found[:, 0]] = found[:, 1]
+        self.plain = pairs
+
+    def as_dict(self) -> dict[tuple[int, int], tuple[int, int]]:
+        return self.plain
+
+    def leaves(self, left: np.ndarray, right: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """(rank, position) of each pair as one number, NO_PAIR where it does not merge."""
+        key = left << 32 | right
+        k = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where(self.keys[k] == key, self.ranks[k] << 32 | at, NO_PAIR)
+
+
+def _merge_rows(words: list[np.ndarray], size: int, pairs: Pairs) -> list[np.ndarray]:
+    rows, width = len(words), size + 1
+    n = np.array([len(w) for w in words])
+    at = np.arange(width)
+    inside = at < n[:, None]
+    ids = np.zeros((rows, width), np.int64)
+    ids[inside] = np.concatenate(words)
+    before = np.broadcast_to(at - 1, (rows, width)).copy()
+    after = np.where(at + 1 < n[:, None], at + 1, -1)
+    tree = np.full((rows, 2 * size), NO_PAIR, np.int64)
+    r, i = np.nonzero(after >= 0)
+    tree[r, size + i] = pairs.leaves(ids[r, i], ids[r, i + 1], i)
+    for k in range(size - 1, 0, -1):
+        np.minimum(tree[:, 2 * k], tree[:, 2 * k + 1], out=tree[:, k])
+
+    def climb(r: np.ndarray, leaf: np.ndarray) -> None:
+        k = (size + leaf) >> 1
+        while k.size and k[0]:  # all leaves are on one level
+            tree[r, k] = np.minimum(tree[r, 2 * k], tree[r, 2 * k + 1])
+            k = k >> 1
+
+    while len(r := np.flatnonzero(tree[:, 1] != NO_PAIR)):
+        root = tree[r, 1]
+        i = root & 0xFFFFFFFF
+        j = after[r, i]
+        nxt = after[r, j]
+        ids[r, i] = pairs.merged[root >> 32]
+        ids[r, j] = -1
+        after[r, i] = nxt
+        more = nxt >= 0
+        before[r[more], nxt[more]] = i[more]
+        leaf = np.full(len(r), NO_PAIR, np.int64)
+        leaf[more] = pairs.leaves(ids[r[more], i[more]], ids[r[more], nxt[more]], i[more])
+        prev = before[r, i]
+        some = prev >= 0
+        gone = j < size
+        tree[r[gone], size + j[gone]] = NO_PAIR
+        tree[r, size + i] = leaf
+        tree[r[some], size + prev[some]] = pairs.leaves(ids[r[some], prev[some]], ids[r[some], i[some]], prev[some])
+        climb(r[gone], j[gone])
+        climb(r, i)
+        climb(r[some], prev[some])
+    kept = inside & (ids >= 0)
+    return np.split(ids[kept], np.cumsum(kept.sum(1))[:-1])
+
+
 class WordBpe:
-    """A vocabulary file whose words end in a suffix; one per task."""
+    """A vocabulary file whose words end in a suffix; one per task.
+
+    White space always parts words, so texts are cut there first; each distinct run is split and merged once
+    and remembered as a stretch of token ids.
+    """
 
     def __init__(self, path: str | None = None) -> None:
         with open(path or vocabulary_path(), encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
-        self.vocab: dict[str, int] = model["vocab"]
-        self.suffix: str = model["end_of_word_suffix"] or ""
+        vocab: dict[str, int] = model["vocab"]
+        suffix: str = model["end_of_word_suffix"] or ""
         merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
-        ids = self.vocab
-        self.pairs = {(ids[a], ids[b]): (rank, ids[a + b]) for rank, (a, b) in enumerate(merges)}
+        self.pairs = Pairs({(vocab[a], vocab[b]): (rank, vocab[a + b]) for rank, (a, b) in enumerate(merges)})
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        self.tokens = {i: t for t, i in ids.items()} | {i: t for t, i in self.special.items()}
+        known = {i: t for t, i in vocab.items()} | {i: t for t, i in self.special.items()}
+        self.tokens = pa.array([known.get(i) for i in range(max(known) + 1)], pa.string())
         self.split = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")")
-        self.bytes = _byte_symbols()
-        self.cache: dict[str, list[int]] = {}
+        letters = _byte_symbols()
+        self.inner = np.array([vocab[x] for x in letters], np.int64)
+        self.last = np.array([vocab[x + suffix] for x in letters], np.int64)
+        self._forget()
+
+    def _forget(self) -> None:
+        """Start the memory anew, with the special tokens as its first runs."""
+        self.known = {(s,): k for k, s in enumerate(self.special)}
+        self.flat = np.array(list(self.special.values()), np.int64)
+        self.at, self.size = np.arange(len(self.special)), np.ones(len(self.special), np.int64)
 
     @staticmethod
     def normalize(text: str) -> str:
         """NFC and lower case, letter by letter (a sigma is the same anywhere)."""
         return unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
 
-    def word(self, word: str) -> list[int]:
-        symbols = [self.bytes[b] for b in word.encode("utf-8", "surrogatepass")]
-        symbols[-1] += self.suffix
-        return merge_word([self.vocab[s] for s in symbols], self.pairs)
-
-    def encode(self, text: str | None) -> list[int]:
-        out: list[int] = []
-        cache = self.cache
-        for part in self.cut.split(text or ""):
+    def runs(self, text: str | None) -> list:
+        """The text's runs in order; a special token is a tuple."""
+        out: list = []
+        for part in self.cut.split(text) if text and "<|" in text else [text or ""]:
             if part in self.special:
-                out.append(self.special[part])
-                continue
-            for w in self.split.findall(self.normalize(part)):
-                if (ids := cache.get(w)) is None:
-                    ids = self.word(w)
-                    if len(cache) >= CACHE_WORDS:
-                        cache.clear()
-                    if len(w) <= 64:
-                        cache[w] = ids
-                out += ids
+                out.append((part,))
+            else:
+                part = self.normalize(part)
+                # Python parts words at the separators \x1c to \x1f too, which are symbols here.
+                out += self.split.findall(part) if SEPARATORS.search(part) else part.split()
         return out
 
+    def learn(self, runs) -> None:
+        """Merge runs that are not yet known."""
+        words, counts = {}, []
+        order = []
+        for run in runs:
+            parts = self.split.findall(run)
+            counts.append(len(parts))
+            order += [words.setdefault(p, len(words)) for p in parts]
+        raw = [w.encode("utf-8", "surrogatepass") for w in words]
+        lengths = np.array([len(x) for x in raw], np.int64)
+        octets = np.frombuffer(b"".join(raw), np.uint8)
+        ids = self.inner[octets]
+        ends = np.cumsum(lengths) - 1
+        ids[ends] = self.last[octets[ends]]
+        ids, lengths = merge_words(ids, lengths, self.pairs)
+        starts = np.cumsum(lengths) - lengths
+        order = np.array(order, np.int64)
+        ids = ids[_stretches(starts[order], lengths[order])]
+        per_run = np.add.reduceat(np.append(lengths[order], 0), np.cumsum([0, *counts[:-1]])) if counts else np.zeros(0, np.int64)
+        per_run = np.where(np.array(counts, np.int64) > 0, per_run, 0)
+        first = len(self.size)
+        self.known.update((run, first + k) for k, run in enumerate(runs))
+        self.at = np.concatenate([self.at, len(self.flat) + np.cumsum(per_run) - per_run])
+        self.size = np.concatenate([self.size, per_run])
+        self.flat = np.concatenate([self.flat, ids])
+
+    def encode_batch(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """(offsets of the texts, token ids of all)."""
+        offsets, ids = [np.zeros(1, np.int64)], []
+        for part in _chunks(texts):
+            split = [self.runs(t) for t in part]
+            if len(self.known) > CACHE_RUNS:
+                self._forget()
+            if new := sorted({r for runs in split for r in runs if r not in self.known}):
+                self.learn(new)
+            index = np.fromiter((self.known[r] for runs in split for r in runs), np.int64)
+            sizes = self.size[index]
+            ids.append(self.flat[_stretches(self.at[index], sizes)].astype(np.int32))
+            ends = np.append(0, np.cumsum(sizes))[np.cumsum([len(runs) for runs in split])]
+            offsets.append(ends + offsets[-1][-1])
+        return np.concatenate(offsets), np.concatenate(ids) if ids else np.zeros(0, np.int32)
+
+    def encode(self, text: str | None) -> list[int]:
+        return self.encode_batch([text])[1].tolist()
+
+    def decode_batch(self, ids: pa.Array) -> pa.Array:
+        """Lists of ids as texts. Without a decoder in the file, tokens are joined by one space; unknown ids are left out."""
+        offsets, flat = ids.offsets.to_numpy(), ids.values
+        own = flat.to_numpy(zero_copy_only=False)[offsets[0] : offsets[-1]]
+        fits = (own >= 0) & (own < len(self.tokens))
+        tokens = self.tokens.take(pa.array(np.where(fits, own, 0))).filter(pa.array(fits)) if not fits.all() else self.tokens.take(pa.array(own))
+        kept = np.append(0, np.cumsum(fits))[offsets - offsets[0]]
+        lists = pa.LargeListArray.from_arrays(pa.array(kept, pa.int64()), tokens)
+        return pc.binary_join(lists, " ").cast(pa.large_string())
+
     def decode(self, ids) -> str:
-        """Without a decoder in the file, tokens are joined by one space; unknown ids are left out."""
-        tokens = self.tokens
-        return " ".join([tokens[i] for i in ids if i in tokens])
+        return self.decode_batch(pa.array([list(ids)], pa.list_(pa.int32())))[0].as_py()
+
+
+SEPARATORS = regex.compile("[\x1c-\x1f]")
+
+
+def _stretches(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Positions start, start + 1, …, size of them, of each stretch, one after the other."""
+    ends = np.cumsum(sizes)
+    return np.repeat(starts - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)
+
+
+def _chunks(texts: list[str | None]):
+    """Parts of about CHUNK_CHARS characters, so that word lists stay small whatever the batch holds."""
+    part, held = [], 0
+    for t in texts:
+        part.append(t)
+        held += len(t or "")
+        if held >= CHUNK_CHARS:
+            yield part
+            part, held = [], 0
+    if part:
+        yield part
 
 
 def encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> DataFrame:
@@ -142,8 +314,9 @@ def encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path:
     def run(batches):
         bpe = WordBpe(path)
         for b in batches:
-            ids = pa.array([bpe.encode(t.as_py()) for t in b.column(1)], pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([b.column(0), ids], ["doc_id", "ids"])
+            offsets, ids = bpe.encode_batch(b.column(1).to_pylist())
+            lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids))
+            yield pa.RecordBatch.from_arrays([b.column(0), lists], ["doc_id", "ids"])
 
     return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, ids array<int>")
 
@@ -151,11 +324,12 @@ def encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path:
 def decode(df: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", path: str | None = None) -> DataFrame:
     """doc_id, ids and decoded (text, special tokens included) for each row; null ids count as none."""
     rows = pick(df, doc_id=id_col, ids=ids_col)
+    rows = rows.withColumn("ids", F.coalesce("ids", F.array().cast("array<int>")))
 
     def run(batches):
         bpe = WordBpe(path)
         for b in batches:
-            texts = pa.array([bpe.decode(x.as_py() or ()) for x in b.column(1)], pa.string())
+            texts = bpe.decode_batch(b.column(1)).cast(pa.string())
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), texts], ["doc_id", "ids", "decoded"])
 
     return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, ids array<int>, decoded string")

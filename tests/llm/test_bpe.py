@@ -1,6 +1,7 @@
 import hashlib
 import random
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -43,15 +44,19 @@ def test_random_texts(library, own, text):
 
 
 def test_merge_order_is_that_of_a_plain_scan(own):
-    rng = random.Random(3)
-    pairs = {(a, b): (rng.randrange(9), 10 + rng.randrange(5)) for a in range(15) for b in range(15) if rng.random() < 0.6}
-    for _ in range(300):
-        ids = [rng.randrange(10) for _ in range(rng.randrange(1, 40))]
+    rng, cases = random.Random(3), []
+    ranks = iter(rng.sample(range(300), 225))
+    pairs = {(a, b): (next(ranks), 10 + rng.randrange(5)) for a in range(15) for b in range(15) if rng.random() < 0.6}
+    for _ in range(60):
+        ids = [rng.randrange(10) for _ in range(rng.randrange(1, 400))]
         want = list(ids)
         while found := [(pairs[p][0], i) for i, p in enumerate(zip(want, want[1:])) if p in pairs]:
             _, i = min(found)
             want[i : i + 2] = [pairs[want[i], want[i + 1]][1]]
         assert bpe.merge_word(ids, pairs) == want
+        cases.append((ids, want))
+    flat, lengths = bpe.merge_words(np.array([x for c, _ in cases for x in c]), np.array([len(c) for c, _ in cases]), bpe.Pairs(pairs))
+    assert flat.tolist() == [x for _, w in cases for x in w] and lengths.tolist() == [len(w) for _, w in cases]
 
 
 def test_query_on_given_documents(spark, library):
