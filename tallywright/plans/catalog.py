@@ -50,13 +50,17 @@ class _Bank:
     def txns(self):
         return T.bank_transactions(self.spark, self.dir)
 
+    @property
+    def settled(self):
+        return T.bank_transactions(self.spark, self.dir, "SETTLED")
+
     @property
     def alerts_raw(self):
         return T.bank_alerts_raw(self.spark, self.dir)
 
     @property
     def alerts(self):
-        return T.bank_alerts(self.txns, self.alerts_raw)
+        return T.bank_alerts(self.settled, self.alerts_raw)
 
     @property
     def txns_raw(self):
@@ -64,7 +68,7 @@ class _Bank:
 
     @property
     def missing(self):
-        return A.missing_alerts(self.txns, self.alerts)
+        return A.missing_alerts(self.settled, self.alerts)
 
     @property
     def subs(self):
@@ -170,32 +174,32 @@ def latest_stage_progress(spark, sf_dir):
 
 @_query
 def settled_transactions(spark, sf_dir):
-    return A.settled_transactions(_Bank(spark, sf_dir).txns).select("txn_id", "customer_id", "amount_inr", "month")
+    return A.settled_transactions(_Bank(spark, sf_dir).settled).select("txn_id", "customer_id", "amount_inr", "month")
 
 
 @_query
 def suspicious_transactions(spark, sf_dir):
-    return A.suspicious_transactions(_Bank(spark, sf_dir).txns).select("txn_id", "amount_inr", "channel", "category")
+    return A.suspicious_transactions(_Bank(spark, sf_dir).settled).select("txn_id", "amount_inr", "channel", "category")
 
 
 @_query
 def rule_code(spark, sf_dir):
-    return A.suspicious_transactions(_Bank(spark, sf_dir).txns).select("txn_id", rules.rule_code().alias("rule_code"))
+    return A.suspicious_transactions(_Bank(spark, sf_dir).settled).select("txn_id", rules.rule_code().alias("rule_code"))
 
 
 @_query
 def alert_severity(spark, sf_dir):
-    return A.suspicious_transactions(_Bank(spark, sf_dir).txns).select("txn_id", rules.alert_severity().alias("severity"))
+    return A.suspicious_transactions(_Bank(spark, sf_dir).settled).select("txn_id", rules.alert_severity().alias("severity"))
 
 
 @_query
 def expected_alerts(spark, sf_dir):
-    return A.expected_alerts(_Bank(spark, sf_dir).txns)
+    return A.expected_alerts(_Bank(spark, sf_dir).settled)
 
 
 @_query
 def alert_ids(spark, sf_dir):
-    return A.alert_ids(A.expected_alerts(_Bank(spark, sf_dir).txns)).select("alert_id", "txn_id")
+    return A.alert_ids(A.expected_alerts(_Bank(spark, sf_dir).settled)).select("alert_id", "txn_id")
 
 
 @_query
@@ -227,13 +231,13 @@ def missing_alerts(spark, sf_dir):
 @_query
 def missing_alerts_left_join(spark, sf_dir):
     b = _Bank(spark, sf_dir)
-    return A.missing_alerts_left_join(b.txns, b.alerts).select("txn_id", "customer_id", "amount_inr", "month")
+    return A.missing_alerts_left_join(b.settled, b.alerts).select("txn_id", "customer_id", "amount_inr", "month")
 
 
 @_query
 def missing_priority_cases(spark, sf_dir):
     b = _Bank(spark, sf_dir)
-    return A.missing_priority_cases(b.txns, b.alerts, T.LEAK_MONTH).select("txn_id", "amount_inr")
+    return A.missing_priority_cases(b.settled, b.alerts, T.LEAK_MONTH).select("txn_id", "amount_inr")
 
 
 @_query
@@ -285,12 +289,12 @@ def channel_counts(spark, sf_dir):
 
 @_query
 def suspicious_by_channel(spark, sf_dir):
-    return M.suspicious_by_channel(_Bank(spark, sf_dir).txns)
+    return M.suspicious_by_channel(_Bank(spark, sf_dir).settled)
 
 
 @_query
 def top_suspicious_channel(spark, sf_dir):
-    return M.top_suspicious_channel(_Bank(spark, sf_dir).txns)
+    return M.top_suspicious_channel(_Bank(spark, sf_dir).settled)
 
 
 @_query
@@ -301,7 +305,7 @@ def category_counts(spark, sf_dir):
 
 def _coverage(spark, sf_dir):
     b = _Bank(spark, sf_dir)
-    return M.category_month_coverage(b.txns, b.alerts)
+    return M.category_month_coverage(b.settled, b.alerts)
 
 
 @_query
@@ -348,7 +352,7 @@ def dataset_checks(spark, sf_dir):
     crypto = A.alerts_with_txn_first(b.alerts, b.txns, "txn_ts", ("month", "category"))
     crypto = crypto.where((F.col("txn_month") == T.LEAK_MONTH) & (F.col("txn_category") == "CRYPTO"))
     lowest = M.lowest_rate_month(_rates(spark, sf_dir).where("settled > 0")).select(F.when(F.col("month") == T.LEAK_MONTH, 1).otherwise(0).alias("n"))
-    top = M.top_suspicious_channel(b.txns).select(F.when(F.col("channel") == "WIRE", 1).otherwise(0).alias("n"))
+    top = M.top_suspicious_channel(b.settled).select(F.when(F.col("channel") == "WIRE", 1).otherwise(0).alias("n"))
     return L.checks(
         ("customers", n(b.customers), "n", 1, None),
         ("transactions", n(b.txns), "n", 1, None),
@@ -421,7 +425,7 @@ def grade_id_sets(spark, sf_dir):
 @_query
 def grade_missing_alerts(spark, sf_dir):
     b = _Bank(spark, sf_dir)
-    priority = A.missing_priority_cases(b.txns, b.alerts, T.LEAK_MONTH).select(F.col("txn_id").alias("id"))
+    priority = A.missing_priority_cases(b.settled, b.alerts, T.LEAK_MONTH).select(F.col("txn_id").alias("id"))
     return _grades(G.grade_missing_alerts(_submitted_sets(b), _expected_set(b), priority))
 
 
