@@ -1,11 +1,11 @@
-"""Fresh paths in the cluster's shared folder."""
+"""Fresh paths and tables in the cluster's shared folder."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _own: dict[str, str] = {}
 
@@ -22,3 +22,13 @@ def new_path(spark: SparkSession, name: str) -> str:
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
     return path
+
+
+def materialize(df: DataFrame, name: str) -> DataFrame:
+    """Cut the lineage: write `df` as a table in the shared folder and read it back.
+
+    Lost executors cost no more than a reread, and the work above is done once.
+    """
+    path = new_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
