@@ -7,11 +7,12 @@ import string
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.scratch import new_path
+from ..sources.scratch import materialize, new_path  # noqa: F401
 
 #: A table may be broadcast when it was counted and has at most this many rows of fixed width.
 BROADCAST_ROWS = 1_000_000
 
+
 def pick(df: DataFrame, **columns: str) -> DataFrame:
     """Select columns by exact name under new names, whatever else the table holds.
 
@@ -23,16 +24,6 @@ def pick(df: DataFrame, **columns: str) -> DataFrame:
     return df.toDF(*inner).select(*[F.col(name).alias(out) for out, name in at.items()])
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Cut the lineage: write `df` as a table in the shared folder and read it back.
-
-    Lost executors cost no more than a reread, and the work above is done once.
-    """
-    path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def lower_ascii(text: Column) -> Column:
     """A-Z in lower case, null as empty."""
     return F.translate(F.coalesce(text, F.lit("")), string.ascii_uppercase, string.ascii_lowercase)
