@@ -71,6 +71,5 @@ def percent(part: Column, whole: Column, decimals: int = 1) -> Column:
 
 
 def _ratio(part: Column, whole: Column, times: int, scale: int) -> Column:
-    twice = 2 * F.when(whole > 0, whole)
-    up = (2 * part * (times * scale) + whole - F.pmod(2 * part * (times * scale) + whole, twice)) / twice
-    return F.when(whole > 0, F.round(up).cast("bigint") / F.lit(float(scale))).otherwise(F.lit(0.0))
+    halves_up = F.call_function("div", 2 * part * (times * scale) + whole, 2 * F.when(whole > 0, whole))
+    return F.when(whole > 0, halves_up / F.lit(float(scale))).otherwise(F.lit(0.0))
