@@ -25,6 +25,7 @@ NO_PAIR = 1 << 62
 #: Runs whose tokens a task remembers before it starts anew, and characters that are split at a time.
 CACHE_RUNS = 250_000
 CHUNK_CHARS = 1_000_000
+SLICE_ROWS = 1_000
 
 
 def vocabulary_path(name: str = VOCABULARY) -> str:
@@ -294,6 +295,12 @@ def _stretches(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.repeat(starts - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)
 
 
+def _slices(batch: pa.RecordBatch):
+    """Parts of SLICE_ROWS rows, so that what a worker holds does not follow the batch size of the session."""
+    for k in range(0, batch.num_rows, SLICE_ROWS):
+        yield batch.slice(k, SLICE_ROWS)
+
+
 def _chunks(texts: list[str | None]):
     """Parts of about CHUNK_CHARS characters, so that word lists stay small whatever the batch holds."""
     part, held = [], 0
@@ -314,9 +321,10 @@ def encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path:
     def run(batches):
         bpe = WordBpe(path)
         for b in batches:
-            offsets, ids = bpe.encode_batch(b.column(1).to_pylist())
-            lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids))
-            yield pa.RecordBatch.from_arrays([b.column(0), lists], ["doc_id", "ids"])
+            for part in _slices(b):
+                offsets, ids = bpe.encode_batch(part.column(1).to_pylist())
+                lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids))
+                yield pa.RecordBatch.from_arrays([part.column(0), lists], ["doc_id", "ids"])
 
     return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, ids array<int>")
 
@@ -329,7 +337,8 @@ def decode(df: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", path: st
     def run(batches):
         bpe = WordBpe(path)
         for b in batches:
-            texts = bpe.decode_batch(b.column(1)).cast(pa.string())
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), texts], ["doc_id", "ids", "decoded"])
+            for part in _slices(b):
+                texts = bpe.decode_batch(part.column(1)).cast(pa.string())
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), texts], ["doc_id", "ids", "decoded"])
 
     return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, ids array<int>, decoded string")

@@ -75,3 +75,12 @@ def test_edges(spark, library):
     got = registry.bpe_rows(bpe.decode(bpe.encode(df))).collect()
     assert sorted((str(r.doc_id), r.ids) for r in got) == sorted((str(i), library.encode(t or "", add_special_tokens=False).ids) for i, t in rows)
     assert bpe.decode(bpe.encode(df.limit(0))).count() == 0
+
+
+def test_parts_of_a_batch_decode_alike(own):
+    import pyarrow as pa
+
+    lists = pa.array([own.encode(t) for t in TEXTS] + [[], [49406, -1, 10**6, 0]], pa.list_(pa.int32()))
+    whole = own.decode_batch(lists).to_pylist()
+    assert own.decode_batch(lists.slice(2, 5)).to_pylist() == whole[2:7] and own.decode_batch(lists.slice(3, 0)).to_pylist() == []
+    assert whole[-1] == "<|startoftext|> !" and whole[-2] == ""
