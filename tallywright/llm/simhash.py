@@ -242,9 +242,10 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 COPY_WORDS = 5
 MIN_SIMILARITY = 0.8
 WIDE_WORDS = 16
-#: Fingerprints for the index, over distinct pairs of words. On the sample tables one shares four bytes for 68 % of
-#: pairs at 0.8 or more, one of three for 98.6 %.
-INDEX_WORDS, INDEX_SEEDS = 2, (1, 2, 3)
+#: MinHashes of the five-word shingles for the index: a pair must agree in all rows of a band. A pair at 0.8 does so in
+#: no band with a probability of (1 - 0.8^5)^40 = 1e-7, wherever its texts differ.
+BANDS, BAND_ROWS = 40, 5
+_SEEDS = np.random.default_rng(SEED).integers(0, 2**63, (2, BANDS * BAND_ROWS), np.uint64)
 
 
 def max_wide_bits(similarity: float = MIN_SIMILARITY, slack: float = 1.0) -> int:
@@ -268,6 +269,15 @@ def _distinct_shingles(words: list[bytes], size: int) -> np.ndarray:
     return np.fromiter({digest(b" ".join(words[i : i + size]), SEED) for i in range(n)}, np.uint64)
 
 
+def _minhashes(hashes: np.ndarray) -> np.ndarray:
+    """One byte of each MinHash of distinct hashes: two sets agree in a byte with their Jaccard similarity, or by chance."""
+    low = np.full(BANDS * BAND_ROWS, 2**64 - 1, np.uint64)
+    factors, terms = (2 * _SEEDS[0] + np.uint64(1))[:, None], _SEEDS[1][:, None]
+    for k in range(0, len(hashes), 1024):
+        low = np.minimum(low, (hashes[None, k : k + 1024] * factors + terms).min(1))
+    return (low >> np.uint64(24)).astype(np.uint8)
+
+
 def _mixed(h: np.ndarray, seeds) -> np.ndarray:
     """A column of well-mixed hashes for each seed."""
     with np.errstate(over="ignore"):
@@ -278,25 +288,25 @@ def _mixed(h: np.ndarray, seeds) -> np.ndarray:
 
 
 def copy_signatures(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, fps (three index fingerprints) and wide (1,024 bits) for each row; a text without words has zeros."""
+    """doc_id, low (a byte of each MinHash) and wide (1,024 bits) for each row; a text without words has zeros."""
     rows = pick(df, doc_id=id_col, text=text_col)
     seeds = np.arange(1, WIDE_WORDS + 1)
 
     def run(batches):
         for b in batches:
-            fps, wide = [], []
+            low, wide = [], []
             for t in b.column(1):
                 words = (t.as_py() or "").encode("utf-8", "surrogatepass").lower().split()
                 if not words:
-                    fps.append(np.zeros(len(INDEX_SEEDS), np.int64))
-                    wide.append(np.zeros(WIDE_WORDS, np.int64))
+                    low.append(bytes(BANDS * BAND_ROWS))
+                    wide.append(bytes(8 * WIDE_WORDS))
                     continue
-                fps.append(_majority(_mixed(_distinct_shingles(words, INDEX_WORDS), INDEX_SEEDS)))
-                wide.append(_majority(_mixed(_distinct_shingles(words, COPY_WORDS), seeds)))
-            packed = pa.array([w.tobytes() for w in wide], pa.binary())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(list(fps), pa.list_(pa.int64())), packed], ["doc_id", "fps", "wide"])
+                shingles = _distinct_shingles(words, COPY_WORDS)
+                low.append(_minhashes(shingles).tobytes())
+                wide.append(_majority(_mixed(shingles, seeds)).tobytes())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(low, pa.binary()), pa.array(wide, pa.binary())], ["doc_id", "low", "wide"])
 
-    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, fps array<bigint>, wide binary")
+    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, low binary, wide binary")
 
 
 def _runs(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -328,20 +338,19 @@ def _shared_postings(batches):
 def copy_links(nodes: DataFrame, max_bits: int) -> DataFrame:
     """Edges (a, b) of a spanning forest, per posting, of the pairs of nodes whose wide signatures are near.
 
-    nodes: node (bigint), fps, wide. Pairs come from the byte-position index, each fingerprint with postings of
-    its own; only rows of shared postings meet their wide signatures.
+    nodes: node (bigint), low, wide. Pairs come from the bands of MinHashes; only rows of shared postings meet their
+    wide signatures.
     """
 
     def index(batches):
         for b in batches:
-            node = b.column(0).to_numpy(zero_copy_only=False)
-            flat = b.column(1).flatten().to_numpy(zero_copy_only=False).reshape(len(node), -1)
-            for k in range(0, len(node), 4096):
-                for f in range(flat.shape[1]):
-                    octets = np.ascontiguousarray(flat[k : k + 4096, f]).view(np.uint8).reshape(-1, 8).astype(np.int64)
-                    for choice, (i, j, m, n) in enumerate(combinations(range(8), 4)):
-                        key = octets[:, i] | octets[:, j] << 8 | octets[:, m] << 16 | octets[:, n] << 24 | (choice + 70 * f) << 32
-                        yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(node[k : k + 4096])], ["key", "node"])
+            node = b.column(0)
+            low = np.frombuffer(b"".join(b.column(1).to_pylist()), np.uint8).reshape(len(node), BANDS, BAND_ROWS).astype(np.int64)
+            for band in range(BANDS):
+                key = np.full(len(node), band)
+                for row in range(BAND_ROWS):
+                    key = key << 8 | low[:, band, row]
+                yield pa.RecordBatch.from_arrays([pa.array(key), node], ["key", "node"])
 
     def walk(batches):
         key, node, wide = None, [], []
@@ -372,7 +381,7 @@ def copy_links(nodes: DataFrame, max_bits: int) -> DataFrame:
         if len(node) > 1:
             yield edges()
 
-    rows = nodes.select("node", "fps").mapInArrow(index, "key bigint, node bigint").repartition("key").sortWithinPartitions("key")
+    rows = nodes.select("node", "low").mapInArrow(index, "key bigint, node bigint").repartition("key").sortWithinPartitions("key")
     shared = materialize(rows.mapInArrow(_shared_postings, "key bigint, node bigint"), "shared")
     with_sig = shared.join(nodes.select("node", "wide"), "node").select("key", "node", "wide")
     return with_sig.repartition("key").sortWithinPartitions("key").mapInArrow(walk, "a bigint, b bigint")
@@ -385,10 +394,10 @@ def near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     judged by the distance of 1,024-bit SimHashes, which tells 0.8 from 0.74. Null or empty texts are one group.
     """
     rows = materialize(copy_signatures(df, id_col, text_col).where("doc_id is not null"), "signatures")
-    nodes = materialize(rows.groupBy("wide", "fps").agg(F.min("doc_id").alias("node")), "nodes")
+    nodes = materialize(rows.groupBy("wide", "low").agg(F.min("doc_id").alias("node")), "nodes")
     roots = connected_components(copy_links(nodes, max_wide_bits(similarity)))
-    linked = nodes.join(roots, "node", "left").select("wide", "fps", F.coalesce("root", "node").alias("component_id"))
-    return rows.join(linked, ["wide", "fps"]).select("doc_id", "component_id")
+    linked = nodes.join(roots, "node", "left").select("wide", "low", F.coalesce("root", "node").alias("component_id"))
+    return rows.join(linked, ["wide", "low"]).select("doc_id", "component_id")
 
 
 def keep_first(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -145,3 +145,16 @@ def test_shared_postings_across_batches():
         batches = [pa.RecordBatch.from_arrays([pa.array(k), pa.array(n)], ["key", "node"]) for k, n in zip(np.split(key, cuts), np.split(node, cuts))]
         got = [(k, n) for b in simhash._shared_postings(batches) for k, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist())]
         assert got == [(int(k), int(n)) for k, n in zip(key, node) if (key == k).sum() > 1]
+
+
+def test_index_finds_appended_and_truncated_copies(spark):
+    rng = np.random.default_rng(5)
+    word = lambda n: [f"v{x}" for x in rng.integers(0, 30_000, n)]
+    rows = []
+    for f in range(150):  # one block more or less than the first text: similarity 0.84 to 0.88
+        base = word(200 if f % 2 else 600)
+        extra = int(len(base) * rng.uniform(0.14, 0.18))
+        rows += [base, base + word(extra) if f % 3 else word(extra) + base]
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(rows)], SCHEMA)
+    got = {r.doc_id: r.component_id for r in simhash.near_copies(df).collect()}
+    assert all(got[i] == i - i % 2 for i in got)
