@@ -237,30 +237,19 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return rows.join(classes, "fp").select("doc_id", "fp", "component_id")
 
 
-#: Near copies: five-word shingles of similarity 0.8. Sets of Jaccard similarity s have the cosine
-#: 2s / (1 + s), and a SimHash bit differs with the angle's share of pi: 0.152 of 1,024 bits at 0.8.
+#: Near copies: five-word shingles of Jaccard similarity 0.8.
 COPY_WORDS = 5
 MIN_SIMILARITY = 0.8
-WIDE_WORDS = 16
 #: MinHashes of the five-word shingles for the index: a pair must agree in all rows of a band. A pair at 0.8 does so in
 #: no band with a probability of (1 - 0.8^5)^40 = 1e-7, wherever its texts differ.
 BANDS, BAND_ROWS = 40, 5
 _SEEDS = np.random.default_rng(SEED).integers(0, 2**63, (2, BANDS * BAND_ROWS), np.uint64)
 
 
-def max_wide_bits(similarity: float = MIN_SIMILARITY, slack: float = 1.0) -> int:
-    """Differing bits of 1,024 that are expected at `similarity`, and `slack` standard deviations more."""
-    n, p = 64 * WIDE_WORDS, np.arccos(2 * similarity / (1 + similarity)) / np.pi
-    return int(n * p + slack * np.sqrt(n * p * (1 - p)))
-
-
-def _majority(hashes: np.ndarray) -> np.ndarray:
-    """SimHash of distinct hashes (rows of uint64): bits set in over half of the rows."""
-    counts = np.zeros(64 * hashes.shape[1], np.int64)
-    for k in range(0, len(hashes), 4096):
-        block = np.ascontiguousarray(hashes[k : k + 4096]).view(np.uint8)
-        counts += np.unpackbits(block, axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return np.packbits(2 * counts > len(hashes), bitorder="little").view(np.int64)
+def least_agreeing(similarity: float = MIN_SIMILARITY, slack: float = 5.5) -> int:
+    """Agreeing MinHashes that are expected at `similarity`, less `slack` standard deviations: fewer rule a pair out."""
+    n = BANDS * BAND_ROWS
+    return int(n * similarity - slack * np.sqrt(n * similarity * (1 - similarity)))
 
 
 def _distinct_shingles(words: list[bytes], size: int) -> np.ndarray:
@@ -278,35 +267,42 @@ def _minhashes(hashes: np.ndarray) -> np.ndarray:
     return (low >> np.uint64(24)).astype(np.uint8)
 
 
-def _mixed(h: np.ndarray, seeds) -> np.ndarray:
-    """A column of well-mixed hashes for each seed."""
-    with np.errstate(over="ignore"):
-        x = h[:, None] + np.array(seeds, np.uint64)[None, :] * np.uint64(0x9E3779B97F4A7C15)
-        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-        return x ^ (x >> np.uint64(31))
+def _shingle_set(text: str | None) -> np.ndarray:
+    """The distinct shingle hashes of a text, sorted; none without words."""
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    return np.sort(_distinct_shingles(words, COPY_WORDS)) if words else np.zeros(0, np.uint64)
+
+
+def _name(shingles: np.ndarray) -> int:
+    """The node of a set: texts of equal sets share it."""
+    return xxhash.xxh3_64_intdigest(shingles.tobytes(), SEED) - 2**63
 
 
 def copy_signatures(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, low (a byte of each MinHash) and wide (1,024 bits) for each row; a text without words has zeros."""
+    """doc_id, node (hash of the set of shingles) and low (a byte of each MinHash) for each row."""
+    rows = pick(df, doc_id=id_col, text=text_col)
+
+    def run(batches):
+        for b in batches:
+            sets = (_shingle_set(t.as_py()) for t in b.column(1))
+            node, low = zip(*((_name(s), _minhashes(s).tobytes()) for s in sets)) if b.num_rows else ((), ())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(node, pa.int64()), pa.array(low, pa.binary())], ["doc_id", "node", "low"])
+
+    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, node bigint, low binary")
+
+
+def shingle_sets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, node and shingles (sorted 64-bit hashes) for each row."""
     rows = pick(df, doc_id=id_col, text=text_col)
-    seeds = np.arange(1, WIDE_WORDS + 1)
 
     def run(batches):
         for b in batches:
-            low, wide = [], []
-            for t in b.column(1):
-                words = (t.as_py() or "").encode("utf-8", "surrogatepass").lower().split()
-                if not words:
-                    low.append(bytes(BANDS * BAND_ROWS))
-                    wide.append(bytes(8 * WIDE_WORDS))
-                    continue
-                shingles = _distinct_shingles(words, COPY_WORDS)
-                low.append(_minhashes(shingles).tobytes())
-                wide.append(_majority(_mixed(shingles, seeds)).tobytes())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(low, pa.binary()), pa.array(wide, pa.binary())], ["doc_id", "low", "wide"])
+            for k in range(0, b.num_rows, 256):
+                sets = [_shingle_set(t.as_py()) for t in b.column(1)[k : k + 256]]
+                columns = [pa.array([_name(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())]
+                yield pa.RecordBatch.from_arrays([b.column(0)[k : k + 256], *columns], ["doc_id", "node", "shingles"])
 
-    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, low binary, wide binary")
+    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, node bigint, shingles binary")
 
 
 def _runs(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -335,12 +331,8 @@ def _shared_postings(batches):
             yield pa.RecordBatch.from_arrays([pa.array(key[keep]), pa.array(node[keep])], ["key", "node"])
 
 
-def copy_links(nodes: DataFrame, max_bits: int) -> DataFrame:
-    """Edges (a, b) of a spanning forest, per posting, of the pairs of nodes whose wide signatures are near.
-
-    nodes: node (bigint), low, wide. Pairs come from the bands of MinHashes; only rows of shared postings meet their
-    wide signatures.
-    """
+def copy_postings(nodes: DataFrame) -> DataFrame:
+    """(key, node) for each band of each node (node, low) whose five bytes another node has too."""
 
     def index(batches):
         for b in batches:
@@ -352,52 +344,103 @@ def copy_links(nodes: DataFrame, max_bits: int) -> DataFrame:
                     key = key << 8 | low[:, band, row]
                 yield pa.RecordBatch.from_arrays([pa.array(key), node], ["key", "node"])
 
-    def walk(batches):
-        key, node, wide = None, [], []
-
-        def edges():
-            rest, ids = np.frombuffer(b"".join(wide), np.uint64).reshape(len(node), -1), np.array(node, np.int64)
-            a, b = [], []
-            while len(ids) > 1:
-                root, todo = ids[0], [rest[0]]
-                ids, rest = ids[1:], rest[1:]
-                while todo and len(ids):
-                    near = np.bitwise_count(rest ^ todo.pop()).sum(1, dtype=np.int64) <= max_bits
-                    if near.any():
-                        a += ids[near].tolist()
-                        b += [root] * int(near.sum())
-                        todo += list(rest[near])
-                        ids, rest = ids[~near], rest[~near]
-            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+    rows = nodes.select("node", "low").mapInArrow(index, "key bigint, node bigint").repartition("key").sortWithinPartitions("key")
+    return rows.mapInArrow(_shared_postings, "key bigint, node bigint")
+
+
+def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) whose shingle sets (node, shingles) have an exact Jaccard similarity of `similarity` or more."""
+
+    def run(batches):
+        for b in batches:
+            keep = []
+            for x, y in zip(b.column(2), b.column(3)):
+                x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
+                both = len(np.intersect1d(x, y, assume_unique=True)) if min(len(x), len(y)) / max(len(x), len(y), 1) >= similarity else 0
+                keep.append(both > 0 and both / (len(x) + len(y) - both) >= similarity)
+            yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    first = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a")
+    both = first.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
+    return both.select("a", "b", "x", "y").mapInArrow(run, "a bigint, b bigint")
+
+
+def _across(postings: DataFrame, least: int) -> DataFrame:
+    """Pairs (a, b) of nodes of one posting (key, node, root, low) that differ in root and agree in `least` MinHashes."""
+
+    def run(batches):
+        key, node, root, low = None, [], [], []
+
+        def pairs():
+            ids, of = np.array(node, np.int64), np.array(root, np.int64)
+            low_bytes = np.frombuffer(b"".join(low), np.uint8).reshape(len(ids), BANDS * BAND_ROWS)
+            order = np.argsort(of, kind="stable")
+            ids, of, low_bytes = ids[order], of[order], low_bytes[order]
+            for i in range(1, len(ids)):
+                n = int(np.searchsorted(of, of[i]))  # those of smaller roots
+                for k in range(0, n, 65536):
+                    end = min(n, k + 65536)
+                    near = ids[k:end][(low_bytes[k:end] == low_bytes[i]).sum(1) >= least]
+                    if len(near):
+                        columns = [np.minimum(near, ids[i]), np.maximum(near, ids[i])]
+                        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["a", "b"])
 
         for batch in batches:
-            for k, n, w in zip(*(batch.column(i).to_pylist() for i in range(3))):
+            for k, n, r, w in zip(*(batch.column(i).to_pylist() for i in range(4))):
                 if k != key:
-                    if len(node) > 1:
-                        yield edges()
-                    key, node, wide = k, [], []
+                    yield from pairs()
+                    key, node, root, low = k, [], [], []
                 node.append(n)
-                wide.append(w)
-        if len(node) > 1:
-            yield edges()
+                root.append(r)
+                low.append(w)
+        yield from pairs()
 
-    rows = nodes.select("node", "low").mapInArrow(index, "key bigint, node bigint").repartition("key").sortWithinPartitions("key")
-    shared = materialize(rows.mapInArrow(_shared_postings, "key bigint, node bigint"), "shared")
-    with_sig = shared.join(nodes.select("node", "wide"), "node").select("key", "node", "wide")
-    return with_sig.repartition("key").sortWithinPartitions("key").mapInArrow(walk, "a bigint, b bigint")
+    rows = postings.select("key", "node", "root", "low").repartition("key").sortWithinPartitions("key")
+    return rows.mapInArrow(run, "a bigint, b bigint").distinct()
+
+
+def copy_links(nodes: DataFrame, sets_of, similarity: float = MIN_SIMILARITY) -> DataFrame:
+    """Edges (a, b), exactly verified, whose components are those of all pairs at `similarity` that share a band.
+
+    nodes: node, low; sets_of(nodes) gives their shingles. Each member of a posting meets the posting's smallest node
+    first. Then only pairs whose nodes are still in different components can add anything, so a large group of
+    copies does not expand into its pairs.
+    """
+    shared = materialize(copy_postings(nodes), "shared")
+    sets = materialize(sets_of(shared.select("node").distinct()), "sets")
+    heads = shared.groupBy("key").agg(F.min("node").alias("a"))
+    to_heads = shared.withColumnRenamed("node", "b").join(heads, "key").where("a <> b").select("a", "b").distinct()
+    to_heads = materialize(to_heads, "pairs")
+    links = materialize(verified(to_heads, sets, similarity), "links")
+    roots = connected_components(links).withColumnRenamed("root", "linked")
+    members = shared.join(roots, "node", "left").select("key", "node", F.coalesce("linked", "node").alias("root"))
+    mixed = members.groupBy("key").agg(F.min("root").alias("low_root"), F.max("root").alias("high_root"), F.count(F.lit(1)).alias("n"))
+    mixed = mixed.where("low_root <> high_root and n > 2").select("key")  # of two members, one was the head
+    open_pairs = _across(members.join(mixed, "key").join(nodes.select("node", "low"), "node"), least_agreeing(similarity))
+    open_pairs = materialize(open_pairs.join(to_heads, ["a", "b"], "left_anti"), "pairs")
+    return links.unionByName(verified(open_pairs, sets, similarity))
 
 
 def near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = MIN_SIMILARITY) -> DataFrame:
-    """(doc_id, component_id) for each row with an id: groups of texts whose five-word shingles are alike.
+    """(doc_id, component_id) for each row with an id: groups linked by pairs of texts at `similarity` or more.
 
-    Texts of equal signatures are one node, named by the smallest id, before anything is paired. Similarity is
-    judged by the distance of 1,024-bit SimHashes, which tells 0.8 from 0.74. Null or empty texts are one group.
+    Similarity is the exact Jaccard index of the sets of five-word shingles (as 64-bit hashes). Texts of equal sets are one
+    node before anything is paired; null or empty texts are one group. The index is laid out for 0.8 or more.
     """
-    rows = materialize(copy_signatures(df, id_col, text_col).where("doc_id is not null"), "signatures")
-    nodes = materialize(rows.groupBy("wide", "low").agg(F.min("doc_id").alias("node")), "nodes")
-    roots = connected_components(copy_links(nodes, max_wide_bits(similarity)))
-    linked = nodes.join(roots, "node", "left").select("wide", "low", F.coalesce("root", "node").alias("component_id"))
-    return rows.join(linked, ["wide", "low"]).select("doc_id", "component_id")
+    if similarity < MIN_SIMILARITY:
+        raise ValueError(f"similarity must be {MIN_SIMILARITY} or more")
+    docs = pick(df, doc_id=id_col, text=text_col).where("doc_id is not null")
+    rows = materialize(copy_signatures(docs), "signatures")
+    nodes = materialize(rows.groupBy("node", "low").agg(F.min("doc_id").alias("first_id")), "nodes")
+
+    def sets_of(wanted: DataFrame) -> DataFrame:
+        named = nodes.join(wanted, "node").select(F.col("first_id").alias("doc_id")).distinct()
+        return shingle_sets(docs.join(named, "doc_id", "left_semi")).groupBy("node").agg(F.first("shingles").alias("shingles"))
+
+    roots = connected_components(copy_links(nodes, sets_of, similarity))
+    linked = nodes.join(roots, "node", "left").select("node", "first_id", F.coalesce("root", "node").alias("root"))
+    ids = linked.groupBy("root").agg(F.min("first_id").alias("component_id"))
+    return rows.select("doc_id", "node").join(linked.join(ids, "root").select("node", "component_id"), "node").select("doc_id", "component_id")
 
 
 def keep_first(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -158,3 +158,30 @@ def test_index_finds_appended_and_truncated_copies(spark):
     df = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(rows)], SCHEMA)
     got = {r.doc_id: r.component_id for r in simhash.near_copies(df).collect()}
     assert all(got[i] == i - i % 2 for i in got)
+
+
+def test_near_copies_are_those_of_exact_similarity(spark):
+    rng = np.random.default_rng(6)
+    word = lambda n: [f"v{x}" for x in rng.integers(0, 30_000, n)]
+    rows = []
+    for f in range(200):  # n shingles and n + extra of them: similarity 0.74 to 0.86
+        n = 200 if f % 2 else 600
+        base = word(n + 4)
+        rows += [base, base + word(round(n / rng.uniform(0.74, 0.86)) - n)]
+    center = word(404)  # a group of many pairs, whose members are alike by way of others
+    rows += [center[: 400 - 18 * k] + word(18 * k) if k < 5 else center[:-k] + word(k) for k in range(40)]
+    texts = [" ".join(w) for w in rows]
+    df = spark.createDataFrame(list(enumerate(texts)), SCHEMA)
+    got = {r.doc_id: r.component_id for r in simhash.near_copies(df).collect()}
+    sets, parent = shingle_sets(texts), list(range(len(rows)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i in range(len(rows)):
+        for j in range(i - i % 2 if i < 400 else 400, i):
+            if len(sets[i] & sets[j]) / len(sets[i] | sets[j]) >= 0.8:
+                parent[max(find(i), find(j))] = min(find(i), find(j))
+    assert got == {i: find(i) for i in range(len(rows))}
