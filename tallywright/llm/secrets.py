@@ -10,6 +10,7 @@ cost nearly their entropy.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 
 import pyarrow as pa
 import zstandard
@@ -26,12 +27,16 @@ KINDS = ("assign", "access", "hex", "novel")
 MIN_ASSIGN, MIN_ACCESS, MIN_HEX = 6, 20, 24
 
 #: A candidate for novelty: a long unbroken string near a sensitive word, outside the base spans.
-CANDIDATE = r"[A-Za-z0-9+/_=.-]{16,}"
+MIN_CANDIDATE = 16
+CANDIDATE = rf"(?<![A-Za-z0-9+/_=.-])[A-Za-z0-9+/_=.-]{{{MIN_CANDIDATE},}}"
 SENSITIVE = r"pass(?:word|wd|phrase)?|pwd|secret|token|api.?key|access.?key|private.?key|credential|auth|bearer|signature|client.?id|session"
-CONTEXT_CHARS = 48
+#: Characters between the candidate and the word, whichever comes first.
+CONTEXT_CHARS = 256
 SURROUNDING_CHARS = 512
 #: Marginal compressed bytes for each byte of the candidate: hex of full entropy costs about 0.5.
 MIN_NOVELTY = 0.5
+#: The same for strings without a digit: long words cost 0.5 to 0.7, random letters mostly more.
+MIN_PLAIN_NOVELTY = 0.7
 #: The dictionary that primes the compressor: words of configuration and code, and plain alphabets' order.
 IDENTIFIERS = (
     "password passwd secret token api_key apikey access_key private_key client_id client_secret username user email "
@@ -70,24 +75,35 @@ class Scanner:
         return (len(self.compress(before + own)) - len(self.compress(before))) / max(1, len(own))
 
     def novel(self, text: str, base: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
-        """Incompressible strings within reach of a sensitive word, outside the base spans."""
-        out, last = [], -1
-        for word in self.sensitive.finditer(text):
-            at = max(word.end(), last)
-            for m in self.candidate.finditer(text, at, min(len(text), word.end() + CONTEXT_CHARS + 16)):
-                whole = self.candidate.match(text, m.start())  # the reach bounds the start only
-                s, e = whole.span()
-                if s < last:
-                    continue
-                last = e
-                value = whole[0]
-                if any(s < y and x < e for x, y, _ in base) or not (re.search("[0-9]", value) and re.search("[A-Za-z]", value)):
-                    continue
-                around = text[max(0, s - SURROUNDING_CHARS) : s] + text[e : e + SURROUNDING_CHARS]
-                if self.novelty(around, value) >= MIN_NOVELTY:
-                    out.append((s, e, "novel"))
+        """Incompressible strings within reach of a sensitive word, on either side or inside, outside the base spans."""
+        words = [w.span() for w in self.sensitive.finditer(text)]
+        if not words:
+            return []
+        out, ends = [], [e for _, e in words]
+        for m in self.candidate.finditer(text):
+            s, e = m.span()
+            at = bisect_left(ends, s - CONTEXT_CHARS)
+            if at == len(words) or words[at][0] > e + CONTEXT_CHARS or any(s < y and x < e for x, y, _ in base):
+                continue
+            # The whole string, or what follows a word in it.
+            inside = []
+            for x, y in words[at:]:
+                if x >= e:
+                    break
+                if x >= s and e - y >= MIN_CANDIDATE:
+                    inside.append(y)
+            for start in [s, *inside[:1]]:
+                if self.is_novel(text, start, e):
+                    out.append((start, e, "novel"))
+                    break
         return out
 
+    def is_novel(self, text: str, s: int, e: int) -> bool:
+        value = text[s:e]
+        plain = not re.search("[0-9]", value)
+        around = text[max(0, s - SURROUNDING_CHARS) : s] + text[e : e + SURROUNDING_CHARS]
+        return self.novelty(around, value) >= (MIN_PLAIN_NOVELTY if plain else MIN_NOVELTY)
+
     def spans(self, text: str) -> tuple[list[tuple[int, int, str]], list[tuple[int, int, str]]]:
         """(base spans, all spans), by start, then by kind."""
         base = self.base(text)

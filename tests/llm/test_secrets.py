@@ -60,3 +60,18 @@ def test_query_on_given_documents(spark):
         assert r.base_sha256 == hashlib.sha256(text.encode()).hexdigest()
         assert (r.n_assign, r.n_access, r.n_hex) == tuple(sum(x[0] == k for x in base) for k in ("assign", "access", "hex"))
         assert set(text.split(",")) - {""} <= set(r.spans.split(","))
+
+
+def test_novelty_looks_to_both_sides_and_at_every_alphabet():
+    scanner = secrets.Scanner()
+    words = "the quick report of the day was read by all who came there and none of them "
+    letters, digits = "qWzRtkXvbNpLmJhYdGfCsKxTuEoP", "83059261744903852167"
+    for value in (RANDOM, letters, digits):
+        for text in ("{} # api key", "{} is the session token", "the secret of the day\n\n" + words * 2 + "\n{}", words + "passphrase {}"):
+            text = text.replace("{}", value)
+            at = text.index(value)
+            assert [x for x in scanner.spans(text)[1] if x[2] == "novel"] == [(at, at + len(value), "novel")], text
+    assert scanner.spans(f"{RANDOM} " + words * 5 + " token")[1] == []  # beyond reach
+    assert scanner.spans("the session of the organization-administrator-connection")[1] == []
+    glued = f"x client_secret_{RANDOM}"
+    assert scanner.spans(glued)[1] == [(2, len(glued), "novel")]
