@@ -446,20 +446,24 @@ def near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
 def keep_first(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of `df`, all columns, with one row of each group: that of the smallest id.
 
-    Groups are those of `near_duplicates` and `near_copies` together (integer ids): what either links is one group.
-    Rows with a null id stay, for they cannot be told apart.
+    Groups are those of `near_duplicates` and `near_copies` together: what either links is one group. Texts under one id
+    are told apart by their hash, and only equal or linked ones collapse; of rows with equal id and text, the first
+    by their JSON stays. Rows with a null id stay, for they cannot be told apart.
     """
-    close, copies = near_duplicates(df, id_col, text_col), near_copies(df, id_col, text_col)
+    names = [f"_{i}" for i in range(len(df.columns))]
+    id_, text = (names[df.columns.index(c)] for c in (id_col, text_col))
+    rows = df.toDF(*names)
+    node = F.when(F.col(id_).isNotNull(), F.struct(F.col(id_).alias("id"), F.xxhash64(text).alias("text_hash")))
+    named = rows.select(node.alias("doc_id"), F.col(text).alias("text"))
+    close, copies = near_duplicates(named), near_copies(named)
     close, copies = (materialize(x.where("doc_id is not null").select("doc_id", "component_id"), "groups") for x in (close, copies))
     both = close.unionByName(copies).distinct()
     roots = connected_components(both.select(F.col("doc_id").alias("a"), F.col("component_id").alias("b")))
     found = close.join(roots, F.col("doc_id") == F.col("node"), "left").select("doc_id", F.coalesce("root", "doc_id").alias("component_id"))
     reps = found.where("doc_id = component_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("copies"))
-    names = [f"_{i}" for i in range(len(df.columns))]
-    key = names[df.columns.index(id_col)]
-    rows = df.toDF(*names)
-    nulls = rows.where(F.col(key).isNull())
-    kept = rows.join(reps, rows[key] == reps["doc_id"], "inner").drop("doc_id")
+    reps = reps.select("doc_id.id", "doc_id.text_hash", "copies")
+    nulls = rows.where(F.col(id_).isNull())
+    kept = rows.join(reps, (rows[id_] == reps["id"]) & (F.xxhash64(rows[text]) == reps["text_hash"]), "inner").drop("id")
     once = kept.where("copies = 1").select(*names)
-    again = kept.where("copies > 1").select(*names).dropDuplicates([key])
-    return once.unionByName(again).unionByName(nulls).toDF(*df.columns)
+    again = kept.where("copies > 1").groupBy(id_, "text_hash").agg(F.min_by(F.struct(*names), F.to_json(F.struct(*names))).alias("row"))
+    return once.unionByName(again.select("row.*")).unionByName(nulls).toDF(*df.columns)

@@ -185,3 +185,11 @@ def test_near_copies_are_those_of_exact_similarity(spark):
             if len(sets[i] & sets[j]) / len(sets[i] | sets[j]) >= 0.8:
                 parent[max(find(i), find(j))] = min(find(i), find(j))
     assert got == {i: find(i) for i in range(len(rows))}
+
+
+def test_keep_first_keeps_different_texts_under_one_id(spark):
+    a, b = (" ".join(f"{x}{i}" for i in range(60)) for x in "ab")
+    rows = [(1, a, "z"), (1, b, "y"), (1, b, "x"), (2, a, "w"), (3, b, "v")]
+    for order in (rows, rows[::-1]):
+        kept = simhash.keep_first(spark.createDataFrame(order, SCHEMA + ", note string").repartition(3))
+        assert sorted(tuple(r) for r in kept.collect()) == [(1, a, "z"), (1, b, "x")]
