@@ -27,11 +27,13 @@ j AS (
     base_failed OR 100 * n_symbols > {quality.MAX_SYMBOL_PERCENT} * n_words OR 100 * n_dup_lines > {quality.MAX_DUP_LINE_PERCENT} * n_lines
       OR word_chars < {_LOW} * n_words OR word_chars > {_HIGH} * n_words AS failed FROM m),
 h AS (SELECT host, count(*) AS n, count(*) FILTER (failed) AS f FROM j GROUP BY host),
-p AS (SELECT avg(f::DOUBLE / n) AS mean, var_pop(f::DOUBLE / n) AS var FROM h),
+p AS (SELECT sum(f)::DOUBLE / sum(n) AS mean, sum((f * f)::DOUBLE / n) / sum(n) - mean * mean AS var FROM h),
 prior AS (SELECT mean, CASE WHEN var > 1e-12 THEN greatest(mean * (1 - mean) / var - 1, 1e-6) ELSE {quality.FLAT_PRIOR_WEIGHT} END AS weight FROM p),
-rate AS (SELECT host, round((f + mean * weight) / (n + weight), 9) AS host_rate FROM h, prior)
+rate AS (
+  SELECT host, round((f + mean * weight) / (n + weight), 9)
+    > round(least({quality.MAX_HOST_RATE}, mean + {quality.HOST_DEVIATIONS} * sqrt(mean * (1 - mean) / (weight + 1))), 9) AS poor FROM h, prior)
 SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols, n_dup_lines::BIGINT AS n_dup_lines,
-  n_repeat_words::BIGINT AS n_repeat_words, base_failed, NOT base_failed AND NOT (host_rate > {quality.MAX_HOST_RATE} AND failed) AS kept
+  n_repeat_words::BIGINT AS n_repeat_words, base_failed, NOT base_failed AND NOT (poor AND failed) AS kept
 FROM j JOIN rate USING (host)"""
 
 WINNOWING = rf"""WITH d AS (SELECT row_number() OVER () AS rid, doc_id, {_WORDS} AS w FROM documents),

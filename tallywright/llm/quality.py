@@ -2,7 +2,8 @@
 
 Document rules count words, symbols, repeated lines and repeated three-word windows.
 Host rules gather the documents' failures by host, shrink each host's failure rate with a
-beta prior fitted to all hosts by the method of moments, and join the verdicts back.
+beta prior fitted to all hosts by the method of moments, judge the shrunken rate against that
+prior, and join the verdicts back. A small host with a bad record is shrunk to the others and passes.
 """
 
 from __future__ import annotations
@@ -10,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, let, materialize, pick
+from .common import BROADCAST_ROWS, broadcast_if_small, let, materialize, pick
 
 WORD = r"[^\x20\x09-\x0D]+"
 SPACES = " \t\n\x0b\x0c\r"
@@ -20,10 +21,12 @@ MIN_WORDS = 50
 MAX_REPEATED_PERCENT = 50
 #: Soft rules: symbols per hundred words, repeated lines per hundred lines, mean word length.
 MAX_SYMBOL_PERCENT = 30
-MAX_DUP_LINE_PERCENT = 30
+MAX_DUP_LINE_PERCENT = 50
 MEAN_WORD_LENGTH = (2, 15)
-#: A host is poor if its shrunken failure rate is over this.
+#: A host is poor if its shrunken failure rate is over this, or in the upper quarter of the prior: so many of the
+#: prior's standard deviations over its mean.
 MAX_HOST_RATE = 0.5
+HOST_DEVIATIONS = 0.674
 #: Weight of the prior, in documents, where the hosts' rates do not vary.
 FLAT_PRIOR_WEIGHT = 10.0
 
@@ -104,46 +107,61 @@ def with_document_verdicts(metrics: DataFrame) -> DataFrame:
 
 
 def host_rates(judged: DataFrame) -> DataFrame:
-    """One row per host: n_docs, n_failed, host_rate (posterior mean of the failure rate).
+    """One row per host: n_docs, n_failed, host_rate (posterior mean of the failure rate) and poor.
 
-    The beta prior has the mean and variance of the hosts' raw rates; where they do not vary
-    (one host, or equal rates) it has that mean and a fixed weight.
+    The beta prior has the mean and variance of the hosts' raw rates, each host with the weight of its documents, so that many
+    tiny hosts do not make it flat; where the rates do not vary (one host, or equal rates) it has that mean and a fixed
+    weight, and no host stands out.
     """
     hosts = judged.groupBy("host").agg(
         F.count(F.lit(1)).alias("n_docs"), F.sum(F.col("failed").cast("long")).alias("n_failed")
     )
-    raw = F.col("n_failed") / F.col("n_docs")
-    prior = hosts.agg(F.avg(raw).alias("mean"), F.var_pop(raw).alias("var"))
-    mean, var = F.col("mean"), F.col("var")
+    squares = F.sum(F.col("n_failed") * F.col("n_failed") / F.col("n_docs")) / F.sum("n_docs")
+    prior = hosts.agg((F.sum("n_failed") / F.sum("n_docs")).alias("mean"), squares.alias("squares"))
+    mean, var = F.col("mean"), F.col("squares") - F.col("mean") * F.col("mean")
     fitted = F.greatest(mean * (1 - mean) / F.when(var > 1e-12, var) - 1, F.lit(1e-6))
     prior = prior.select("mean", F.when(var > 1e-12, fitted).otherwise(F.lit(FLAT_PRIOR_WEIGHT)).alias("weight"))
-    mean, weight = prior.select("mean").scalar(), prior.select("weight").scalar()
+    spread = F.sqrt(mean * (1 - mean) / (F.col("weight") + 1))
+    prior = prior.select("mean", "weight", F.round(F.least(F.lit(MAX_HOST_RATE), mean + HOST_DEVIATIONS * spread), 9).alias("line"))
+    mean, weight, line = (prior.select(c).scalar() for c in ("mean", "weight", "line"))
     rate = (F.col("n_failed") + mean * weight) / (F.col("n_docs") + weight)
-    return hosts.withColumn("host_rate", F.round(rate, 9))
+    return hosts.withColumn("host_rate", F.round(rate, 9)).withColumn("poor", F.col("host_rate") > line)
 
 
-def quality_rules(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
-    """One row per input row: the metrics, base_failed, failed, host_rate and kept.
+def _keeps(poor: Column) -> Column:
+    return ~F.col("base_failed") & ~(poor & F.col("failed"))
+
+
+def quality_rules(
+    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", broadcast_limit: int = BROADCAST_ROWS
+) -> DataFrame:
+    """One row per input row: the metrics, base_failed, failed, host_rate, poor and kept.
 
     A document goes if a base rule fails, or if its host is poor and a soft rule fails too;
-    a clean document of a poor host stays. An empty table gives an empty result.
+    a clean document of a poor host stays. Null text is empty and fails; a null host is the host ''. Repeated rows get
+    equal results each, and count each in their host's rate. An empty table gives an empty result. Hosts are broadcast
+    while there are at most `broadcast_limit`; beyond that two tables are joined by host.
     """
     judged = materialize(with_document_verdicts(document_metrics(df, id_col, text_col, host_col)), "quality")
-    hosts = materialize(host_rates(judged).select("host", "host_rate"), "hosts")
-    hosts, _ = broadcast_if_small(hosts)
-    poor = F.col("host_rate") > MAX_HOST_RATE
-    return judged.join(hosts, "host").withColumn("kept", ~F.col("base_failed") & ~(poor & F.col("failed")))
+    hosts = materialize(host_rates(judged).select("host", "host_rate", "poor"), "hosts")
+    hosts, _ = broadcast_if_small(hosts, broadcast_limit)
+    return judged.join(hosts, "host").withColumn("kept", _keeps(F.col("poor")))
 
 
-def keep_good(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
-    """The rows of `df`, all columns, that `quality_rules` keeps."""
+def keep_good(
+    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", broadcast_limit: int = BROADCAST_ROWS
+) -> DataFrame:
+    """The rows of `df`, all columns, that `quality_rules` keeps; repeated rows stay or go together.
+
+    The metrics are worked out once: rows that pass the base rules are written beside their verdicts, and the hosts' verdicts,
+    which need all rows, then filter that table.
+    """
     names = [f"_{i}" for i in range(len(df.columns))]
-    at = {c: names[df.columns.index(c)] for c in (id_col, text_col, host_col)}
-    inner = df.toDF(*names)
-    packed = inner.select(F.struct(*names).alias("row"), F.col(at[text_col]).alias("text"), F.col(at[host_col]).alias("host"))
+    text, host = (names[df.columns.index(c)] for c in (text_col, host_col))
+    packed = df.toDF(*names).select(F.struct(*names).alias("row"), F.col(text).alias("text"), F.col(host).alias("host"))
     judged = with_document_verdicts(document_metrics(packed, "row", "text", "host"))
-    slim = with_document_verdicts(document_metrics(df, id_col, text_col, host_col)).select("host", "failed")
-    hosts, _ = broadcast_if_small(materialize(host_rates(slim).select("host", "host_rate"), "hosts"))
-    poor = F.col("host_rate") > MAX_HOST_RATE
-    kept = judged.join(hosts, "host").where(~F.col("base_failed") & ~(poor & F.col("failed")))
-    return kept.select("doc_id.*").toDF(*df.columns)
+    judged = judged.select("host", "base_failed", "failed", F.when(~F.col("base_failed"), F.col("doc_id")).alias("row"))
+    judged = materialize(judged, "judged")
+    poor, _ = broadcast_if_small(materialize(host_rates(judged.select("host", "failed")).where("poor").select("host", "poor"), "poor-hosts"), broadcast_limit)
+    kept = judged.join(poor, "host", "left").where(_keeps(F.coalesce("poor", F.lit(False))))
+    return kept.select("row.*").toDF(*df.columns)

@@ -1,12 +1,13 @@
-"""SimHash near-duplicates: fingerprints, a byte-position index with count filtering, components.
+"""SimHash near-duplicates: fingerprints, a byte-position inverted index with count filtering, components.
 
 Two 64-bit fingerprints that differ in at most four bits differ in at most four of their eight
-bytes, so they share at least four (position, byte) pairs. Single bytes would give posting lists
-that hold 1/256 of all documents, so the index is kept on what the count filter asks for: each
-choice of four positions with their four bytes. A pair shares a posting exactly if its tally of
-shared positional bytes is four or more; the tally survivors are then verified by Hamming
-distance. Only distinct fingerprints are indexed, and a posting yields a spanning forest of its
-verified links, so exact or near copies never expand into all their pairs.
+bytes, so they share at least four (position, byte) pairs. A list of all fingerprints with one given byte
+would hold 1/256 of the corpus, so the index is keyed by three positions and their bytes at a time: a pair that
+shares four bytes meets in four of the 56 lists. Within a list the shared positional bytes of each pair
+are tallied, pairs that reach the guaranteed minimum are retained, and those are verified by
+Hamming distance. Only distinct fingerprints are indexed, and a list yields a spanning forest of its verified
+links, so exact or near copies never expand into all their pairs. Lists that are too large for one task are
+searched through midpoints instead, in groups of bounded size.
 """
 
 from __future__ import annotations
@@ -19,13 +20,17 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, pick
+from .common import broadcast_if_small, materialize, pick
 
 SHINGLE_WORDS = 4
 SEED = 42
 MAX_BITS = 4
-#: Up to this many fingerprints, a posting is searched from member to member; beyond, by midpoints.
-WALK_LIMIT = 20_000
+#: Positional bytes in a key of the index; at most the guaranteed number of shared ones.
+KEY_BYTES = 3
+#: A posting of so many fingerprints is searched by midpoints. It is told by one fingerprint in SAMPLE_EVERY; which way a
+#: posting is searched changes no result.
+HOT_POSTING = 20_000
+SAMPLE_EVERY = 64
 
 
 def fingerprint(text: str | None, size: int = SHINGLE_WORDS) -> int:
@@ -67,7 +72,7 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def postings(fps: DataFrame) -> DataFrame:
-    """The index: for each fingerprint its 70 keys of four positions and their bytes."""
+    """The index: for each fingerprint its 56 keys of three positions and their bytes."""
 
     def run(batches):
         for b in batches:
@@ -75,13 +80,32 @@ def postings(fps: DataFrame) -> DataFrame:
             for k in range(0, len(fp), 4096):
                 part = np.ascontiguousarray(fp[k : k + 4096])
                 octets = part.view(np.uint8).reshape(-1, 8).astype(np.int64)
-                for choice, (i, j, m, n) in enumerate(combinations(range(8), 4)):
-                    key = octets[:, i] | octets[:, j] << 8 | octets[:, m] << 16 | octets[:, n] << 24 | choice << 32
+                for choice, positions in enumerate(combinations(range(8), KEY_BYTES)):
+                    key = np.full(len(part), choice)
+                    for i in positions:
+                        key = key << 8 | octets[:, i]
                     yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(part)], ["key", "fp"])
 
     return fps.select("fp").mapInArrow(run, "key bigint, fp bigint")
 
 
+def shared_bytes(x: np.ndarray, y) -> np.ndarray:
+    """The tally: how many positional bytes each fingerprint of `x` shares with `y`."""
+    return (np.ascontiguousarray(x ^ y).view(np.uint8).reshape(-1, 8) == 0).sum(1)
+
+
+def differing_bits(x: np.ndarray, y) -> np.ndarray:
+    return np.bitwise_count(np.ascontiguousarray(x ^ y).view(np.uint64))
+
+
+def _near(x: np.ndarray, y, max_bits: int) -> np.ndarray:
+    """Which of the pairs link: first the count filter, then the distance of those that it retains."""
+    out = shared_bytes(x, y) >= 8 - max_bits
+    kept = np.flatnonzero(out)
+    out[kept] = differing_bits(x[kept], y[kept] if isinstance(y, np.ndarray) else y) <= max_bits
+    return out
+
+
 def _walk(fp: np.ndarray, max_bits: int) -> list[tuple[np.ndarray, int]]:
     """Components of the links among `fp`: (members but the root, root)."""
     out, rest = [], fp
@@ -89,7 +113,7 @@ def _walk(fp: np.ndarray, max_bits: int) -> list[tuple[np.ndarray, int]]:
         root, rest = rest[0], rest[1:]
         found, todo = [], [root]
         while todo and len(rest):
-            near = np.bitwise_count((rest ^ todo.pop()).view(np.uint64)) <= max_bits
+            near = _near(rest, todo.pop(), max_bits)
             if near.any():
                 new = rest[near]
                 found.append(new)
@@ -100,93 +124,97 @@ def _walk(fp: np.ndarray, max_bits: int) -> list[tuple[np.ndarray, int]]:
     return out
 
 
-def _merge(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Join the classes of a[i] and b[i]: the smallest member labels each class."""
-    while len(a):
-        la, lb = label[a], label[b]
-        differ = la != lb
-        a, b, la, lb = a[differ], b[differ], la[differ], lb[differ]
-        np.minimum.at(label, np.maximum(la, lb), np.minimum(la, lb))
-        while not np.array_equal(label, up := label[label]):
-            label = up
-    return label
-
-
-def _midpoints(fp: np.ndarray, choice: int, max_bits: int = MAX_BITS) -> list[tuple[np.ndarray, int]]:
-    """As `_walk`, in time linear in the posting, for postings of any size.
-
-    Two values that differ in at most four bits have a value between them that differs from either
-    in at most two, and values with such a midpoint differ in at most four. The bits of the shared
-    bytes never differ, so 32 bits are free and 529 midpoints a member are enough.
-    """
-    shared = set(list(combinations(range(8), 4))[choice])
-    free = [8 * byte + bit for byte in range(8) if byte not in shared for bit in range(8)]
-    reach = max_bits // 2
-    flips = [sum(1 << x for x in bits) for n in range(reach + 1) for bits in combinations(free, n)]
-    flips = np.array(flips, np.uint64).view(np.int64)
-    label, own = np.arange(len(fp)), np.arange(len(fp))
-    rounds = max(1, len(fp) * len(flips) // 8_000_000)
-    for r in range(rounds):  # midpoints in rounds by their hash, so that memory stays bounded
-        values, members = [], []
-        for f in flips:
-            mid = fp ^ f
-            here = ((mid.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)) % np.uint64(rounds) == r
-            values.append(mid[here])
-            members.append(own[here])
-        values, members = np.concatenate(values), np.concatenate(members)
-        order = np.argsort(values, kind="stable")
-        values, members = values[order], members[order]
-        same = values[1:] == values[:-1]
-        label = _merge(label, members[1:][same], members[:-1][same])
-    out = []
-    order = np.argsort(label, kind="stable")
-    cuts = np.flatnonzero(np.diff(label[order])) + 1
-    for part in np.split(order, cuts):
-        if len(part) > 1:
-            out.append((fp[part[1:]], fp[part[0]]))
-    return out
+def _runs(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(starts, ends) of the runs of equal keys."""
+    cuts = np.flatnonzero(key[1:] != key[:-1]) + 1
+    return np.concatenate([[0], cuts]), np.concatenate([cuts, [len(key)]])
 
 
-def links(fps: DataFrame, max_bits: int = MAX_BITS, walk_limit: int = WALK_LIMIT) -> DataFrame:
-    """Edges (a, b) whose components are those of all pairs at `max_bits` or less. Even limits up to 4."""
-    if max_bits not in (0, 2, 4):
-        raise ValueError("max_bits must be 0, 2 or 4")
+def _links_in_postings(index: DataFrame, max_bits: int) -> DataFrame:
+    """Edges (a, b): a spanning forest of the links within each posting."""
 
     def run(batches):
-        held: list[np.ndarray] = []
+        held: list[np.ndarray] = []  # the posting that the last batch ended in
         held_key = None
 
-        def edges(key: int, fp: np.ndarray):
-            found = _walk(fp, max_bits) if len(fp) <= walk_limit else _midpoints(fp, key >> 32, max_bits)
-            return [(m, np.full(len(m), root)) for m, root in found]
+        def edges(fp: np.ndarray):
+            return [(m, np.full(len(m), root)) for m, root in _walk(fp, max_bits)] if len(fp) > 1 else []
 
         for b in batches:
             key, fp = (b.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
             if not len(key):
                 continue
-            cuts = np.flatnonzero(key[1:] != key[:-1]) + 1
-            starts, ends = np.concatenate([[0], cuts]), np.concatenate([cuts, [len(key)]])
+            starts, ends = _runs(key)
             out = []
             if held_key is not None and held_key != key[0]:
-                if sum(map(len, held)) > 1:
-                    out += edges(held_key, np.concatenate(held))
-                held, held_key = [], None
-            if held_key is not None and len(starts) > 1:  # the first run ends the one held back
-                out += edges(held_key, np.concatenate([*held, fp[: ends[0]]]))
-                held, held_key = [], None
-                starts, ends = starts[1:], ends[1:]
-            for s, e in zip(starts[:-1], ends[:-1]):
+                out += edges(np.concatenate(held))
+                held = []
+            if len(starts) > 1:
+                out += edges(np.concatenate([*held, fp[: ends[0]]]))
+                held = []
+            for s, e in zip(starts[1:-1], ends[1:-1]):
                 if e - s > 1:
-                    out += edges(int(key[s]), fp[s:e])
+                    out += edges(fp[s:e])
             held.append(fp[starts[-1] :].copy())
-            held_key = int(key[-1])
+            held_key = key[-1]
             if out:
                 yield _edge_batch(out)
-        if held_key is not None and sum(map(len, held)) > 1 and (out := edges(held_key, np.concatenate(held))):
+        if held and (out := edges(np.concatenate(held))):
             yield _edge_batch(out)
 
-    sorted_rows = postings(fps).repartition("key").sortWithinPartitions("key")
-    return sorted_rows.mapInArrow(run, "a bigint, b bigint")
+    return index.repartition("key").sortWithinPartitions("key").mapInArrow(run, "a bigint, b bigint")
+
+
+def _links_by_midpoints(fps: DataFrame, max_bits: int) -> DataFrame:
+    """Edges (a, b) whose components are those of all links among `fps`, in groups of bounded size.
+
+    Two values that differ in at most four bits have a value between them that differs from either in at most two,
+    and values with such a midpoint differ in at most four. No midpoint has more than 2,081 values.
+    """
+    flips = [sum(1 << x for x in bits) for n in range(max_bits // 2 + 1) for bits in combinations(range(64), n)]
+    flips = np.array(flips, np.uint64).view(np.int64)
+
+    def spread(batches):
+        for b in batches:
+            fp = b.column(0).to_numpy(zero_copy_only=False)
+            for k in range(0, len(fp), 128):
+                part = fp[k : k + 128]
+                mid = (part[:, None] ^ flips).ravel()
+                yield pa.RecordBatch.from_arrays([pa.array(mid), pa.array(np.repeat(part, len(flips)))], ["mid", "fp"])
+
+    def stars(batches):
+        last, root = None, None
+        for b in batches:
+            mid, fp = (b.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+            if not len(mid):
+                continue
+            starts, ends = _runs(mid)
+            roots = fp[starts]
+            if mid[0] == last:
+                roots[0] = root
+            of = np.repeat(roots, ends - starts)
+            last, root = mid[-1], of[-1]
+            linked = (fp != of) & _near(fp, of, max_bits)
+            if linked.any():
+                yield _edge_batch([(fp[linked], of[linked])])
+
+    return fps.mapInArrow(spread, "mid bigint, fp bigint").repartition("mid").sortWithinPartitions("mid").mapInArrow(stars, "a bigint, b bigint")
+
+
+def links(fps: DataFrame, max_bits: int = MAX_BITS, hot_posting: int = HOT_POSTING, sample_every: int = SAMPLE_EVERY) -> DataFrame:
+    """Edges (a, b) whose components are those of all pairs of distinct `fp` at `max_bits` or less. Even limits up to 4."""
+    if max_bits not in (0, 2, 4):
+        raise ValueError("max_bits must be 0, 2 or 4")
+    index = postings(fps)
+    sample = postings(fps.where(F.pmod(F.xxhash64("fp"), F.lit(sample_every)) == 0))
+    hot = sample.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= 0.7 * hot_posting / sample_every)
+    hot = materialize(hot.select("key"), "hot-postings")
+    if hot.isEmpty():
+        return _links_in_postings(index, max_bits)
+    hot, _ = broadcast_if_small(hot)
+    crowded = materialize(index.join(hot, "key", "left_semi").select("fp").distinct(), "crowded")
+    rest = index.join(hot, "key", "left_anti")
+    return _links_in_postings(rest, max_bits).unionByName(_links_by_midpoints(crowded, max_bits))
 
 
 def _edge_batch(parts: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
@@ -195,9 +223,11 @@ def _edge_batch(parts: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
 
 
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """(node, root) for each node of `edges` (a, b): root is the smallest node of its component.
+    """(node, root) for each node of `edges` (a, b) but the roots: root is the smallest node of its component.
 
-    Alternating large and small stars; each round's edges are written to the shared folder.
+    Alternating large and small stars; each round's edges are written to the shared folder, and so is the smallest
+    neighbour of each node, so that both sides of the joins are plain tables: a node with a large part of all edges
+    is then split over tasks by the engine's skew handling.
     """
     stars = materialize(
         edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "stars"
@@ -205,10 +235,10 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     mark = _mark(stars)
     for _ in range(max_rounds):
         both = stars.unionByName(stars.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m"))
+        low = materialize(both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m")), "low")
         large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         large = materialize(large, "stars")
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
+        least = materialize(large.groupBy("a").agg(F.min("b").alias("m")), "low")
         small = large.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         stars = materialize(small.unionByName(least.select("a", F.col("m").alias("b"))).distinct(), "stars")
         before, mark = mark, _mark(stars)
@@ -229,12 +259,21 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """
     rows = materialize(fingerprints(df, id_col, text_col, size), "fingerprints")
     distinct = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "distinct")
-    roots = connected_components(links(distinct, max_bits))
-    linked = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left")
-    linked = linked.select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
-    ids = linked.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    classes = materialize(linked.join(ids, "root").select("fp", "component_id"), "classes")
-    return rows.join(classes, "fp").select("doc_id", "fp", "component_id")
+    classes = _classes(distinct.withColumnRenamed("fp", "node"), connected_components(links(distinct, max_bits)))
+    return rows.join(classes.withColumnRenamed("node", "fp"), "fp").select("doc_id", "fp", "component_id")
+
+
+def _classes(nodes: DataFrame, roots: DataFrame) -> DataFrame:
+    """(node, component_id) for each of `nodes` (node, first_id): the smallest first_id of its component.
+
+    Nodes without a link keep their own and meet no join by root; both sides of that join are tables (see above).
+    """
+    roots = roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
+    linked = materialize(nodes.join(roots, "node"), "linked")
+    ids = materialize(linked.groupBy("root").agg(F.min("first_id").alias("component_id")), "ids")
+    named = linked.join(ids, "root").select("node", "component_id")
+    out = nodes.join(named, "node", "left").select("node", F.coalesce("component_id", "first_id").alias("component_id"))
+    return materialize(out, "classes")
 
 
 #: Near copies: five-word shingles of Jaccard similarity 0.8.
@@ -243,6 +282,8 @@ MIN_SIMILARITY = 0.8
 #: MinHashes of the five-word shingles for the index: a pair must agree in all rows of a band. A pair at 0.8 does so in
 #: no band with a probability of (1 - 0.8^5)^40 = 1e-7, wherever its texts differ.
 BANDS, BAND_ROWS = 40, 5
+#: Nodes of a posting that a task compares with each other, or with so many others.
+BLOCK = 4096
 _SEEDS = np.random.default_rng(SEED).integers(0, 2**63, (2, BANDS * BAND_ROWS), np.uint64)
 
 
@@ -305,34 +346,8 @@ def shingle_sets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, node bigint, shingles binary")
 
 
-def _runs(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    cuts = np.flatnonzero(key[1:] != key[:-1]) + 1
-    return np.concatenate([[0], cuts]), np.concatenate([cuts, [len(key)]])
-
-
-def _shared_postings(batches):
-    """Rows of postings (key, node; sorted by key) that hold two rows or more."""
-    last = None  # the last row, still alone
-    open_key = None  # the key of the last row, if its posting is already known to be shared
-    for b in batches:
-        key, node = (b.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
-        if not len(key):
-            continue
-        if last is not None:
-            key, node = np.append(last[0], key), np.append(last[1], node)
-        starts, ends = _runs(key)
-        keep = np.repeat(ends - starts > 1, ends - starts)
-        if open_key is not None and key[0] == open_key:
-            keep[: ends[0]] = True
-        alone = ends[-1] - starts[-1] == 1 and not (len(starts) == 1 and key[0] == open_key)
-        open_key = None if alone else key[-1]
-        last = (key[-1], node[-1]) if alone else None
-        if keep.any():
-            yield pa.RecordBatch.from_arrays([pa.array(key[keep]), pa.array(node[keep])], ["key", "node"])
-
-
 def copy_postings(nodes: DataFrame) -> DataFrame:
-    """(key, node) for each band of each node (node, low) whose five bytes another node has too."""
+    """(key, node) for each band of each node (node, low)."""
 
     def index(batches):
         for b in batches:
@@ -344,8 +359,7 @@ def copy_postings(nodes: DataFrame) -> DataFrame:
                     key = key << 8 | low[:, band, row]
                 yield pa.RecordBatch.from_arrays([pa.array(key), node], ["key", "node"])
 
-    rows = nodes.select("node", "low").mapInArrow(index, "key bigint, node bigint").repartition("key").sortWithinPartitions("key")
-    return rows.mapInArrow(_shared_postings, "key bigint, node bigint")
+    return nodes.select("node", "low").mapInArrow(index, "key bigint, node bigint")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -365,37 +379,42 @@ def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return both.select("a", "b", "x", "y").mapInArrow(run, "a bigint, b bigint")
 
 
-def _across(postings: DataFrame, least: int) -> DataFrame:
-    """Pairs (a, b) of nodes of one posting (key, node, root, low) that differ in root and agree in `least` MinHashes."""
+def _across(members: DataFrame, least: int, block: int = BLOCK) -> DataFrame:
+    """Pairs (a, b) of nodes of one posting that differ in root and agree in `least` MinHashes.
+
+    members: key, node, root, low, n (members of the posting). A posting is cut into blocks of about `block` nodes, and each pair of blocks
+    is a group of its own, so that no task holds more than two blocks.
+    """
 
     def run(batches):
-        key, node, root, low = None, [], [], []
+        key, rows = None, ([], [], [], [])
 
         def pairs():
-            ids, of = np.array(node, np.int64), np.array(root, np.int64)
-            low_bytes = np.frombuffer(b"".join(low), np.uint8).reshape(len(ids), BANDS * BAND_ROWS)
-            order = np.argsort(of, kind="stable")
-            ids, of, low_bytes = ids[order], of[order], low_bytes[order]
-            for i in range(1, len(ids)):
-                n = int(np.searchsorted(of, of[i]))  # those of smaller roots
-                for k in range(0, n, 65536):
-                    end = min(n, k + 65536)
-                    near = ids[k:end][(low_bytes[k:end] == low_bytes[i]).sum(1) >= least]
-                    if len(near):
-                        columns = [np.minimum(near, ids[i]), np.maximum(near, ids[i])]
-                        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["a", "b"])
+            ids, of, first = np.array(rows[0], np.int64), np.array(rows[1], np.int64), np.array(rows[3], bool)
+            low = np.frombuffer(b"".join(rows[2]), np.uint8).reshape(len(ids), BANDS * BAND_ROWS)
+            x, y = (np.flatnonzero(first), np.flatnonzero(~first)) if key and key[1] != key[2] else (np.arange(len(ids)),) * 2
+            for i in x:
+                other = y[of[y] < of[i]] if y is x else y[of[y] != of[i]]
+                near = ids[other[(low[other] == low[i]).sum(1) >= least]]
+                if len(near):
+                    columns = [np.minimum(near, ids[i]), np.maximum(near, ids[i])]
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["a", "b"])
 
         for batch in batches:
-            for k, n, r, w in zip(*(batch.column(i).to_pylist() for i in range(4))):
-                if k != key:
+            for k, i, j, *row in zip(*(c.to_pylist() for c in batch.columns)):
+                if (k, i, j) != key:
                     yield from pairs()
-                    key, node, root, low = k, [], [], []
-                node.append(n)
-                root.append(r)
-                low.append(w)
+                    key, rows = (k, i, j), ([], [], [], [])
+                for column, value in zip(rows, row):
+                    column.append(value)
         yield from pairs()
 
-    rows = postings.select("key", "node", "root", "low").repartition("key").sortWithinPartitions("key")
+    blocks = F.ceil(F.col("n") / block).cast("int")
+    rows = members.withColumn("own", F.pmod(F.xxhash64("node"), blocks).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    rows = rows.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other"))
+    rows = rows.select("key", "i", "j", "node", "root", "low", (F.col("own") == F.col("i")).alias("first"))
+    rows = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
     return rows.mapInArrow(run, "a bigint, b bigint").distinct()
 
 
@@ -404,19 +423,23 @@ def copy_links(nodes: DataFrame, sets_of, similarity: float = MIN_SIMILARITY) ->
 
     nodes: node, low; sets_of(nodes) gives their shingles. Each member of a posting meets the posting's smallest node
     first. Then only pairs whose nodes are still in different components can add anything, so a large group of
-    copies does not expand into its pairs.
+    copies does not expand into its pairs. Postings are counted and joined from tables, so that a large one is
+    pre-aggregated before the shuffle and split over tasks in the join.
     """
-    shared = materialize(copy_postings(nodes), "shared")
+    index = copy_postings(nodes)
+    heads = index.groupBy("key").agg(F.min("node").alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    heads = materialize(heads, "heads")
+    shared = materialize(index.join(heads, "key"), "shared")
     sets = materialize(sets_of(shared.select("node").distinct()), "sets")
-    heads = shared.groupBy("key").agg(F.min("node").alias("a"))
-    to_heads = shared.withColumnRenamed("node", "b").join(heads, "key").where("a <> b").select("a", "b").distinct()
-    to_heads = materialize(to_heads, "pairs")
+    to_heads = materialize(shared.where("a <> node").select("a", F.col("node").alias("b")).distinct(), "pairs")
     links = materialize(verified(to_heads, sets, similarity), "links")
-    roots = connected_components(links).withColumnRenamed("root", "linked")
-    members = shared.join(roots, "node", "left").select("key", "node", F.coalesce("linked", "node").alias("root"))
-    mixed = members.groupBy("key").agg(F.min("root").alias("low_root"), F.max("root").alias("high_root"), F.count(F.lit(1)).alias("n"))
-    mixed = mixed.where("low_root <> high_root and n > 2").select("key")  # of two members, one was the head
-    open_pairs = _across(members.join(mixed, "key").join(nodes.select("node", "low"), "node"), least_agreeing(similarity))
+    roots = connected_components(links)
+    members = shared.where("n > 2").join(roots, "node", "left")  # of two members, one was the head
+    members = materialize(members.select("key", "node", "n", F.coalesce("root", "node").alias("root")), "members")
+    mixed = members.groupBy("key").agg(F.min("root").alias("low_root"), F.max("root").alias("high_root"))
+    mixed = materialize(mixed.where("low_root <> high_root").select("key"), "mixed")
+    open_rows = members.join(mixed, "key").join(nodes.select("node", "low"), "node")
+    open_pairs = _across(open_rows, least_agreeing(similarity))
     open_pairs = materialize(open_pairs.join(to_heads, ["a", "b"], "left_anti"), "pairs")
     return links.unionByName(verified(open_pairs, sets, similarity))
 
@@ -437,10 +460,8 @@ def near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
         named = nodes.join(wanted, "node").select(F.col("first_id").alias("doc_id")).distinct()
         return shingle_sets(docs.join(named, "doc_id", "left_semi")).groupBy("node").agg(F.first("shingles").alias("shingles"))
 
-    roots = connected_components(copy_links(nodes, sets_of, similarity))
-    linked = nodes.join(roots, "node", "left").select("node", "first_id", F.coalesce("root", "node").alias("root"))
-    ids = linked.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    return rows.select("doc_id", "node").join(linked.join(ids, "root").select("node", "component_id"), "node").select("doc_id", "component_id")
+    classes = _classes(nodes.select("node", "first_id"), connected_components(copy_links(nodes, sets_of, similarity)))
+    return rows.select("doc_id", "node").join(classes, "node").select("doc_id", "component_id")
 
 
 def keep_first(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -3,7 +3,7 @@ from collections import Counter
 
 import pytest
 
-from tallywright.llm import quality
+from tallywright.llm import quality, registry
 
 SCHEMA = "doc_id long, text string, source string"
 
@@ -47,6 +47,26 @@ def test_host_verdict_takes_soft_failures_only(spark):
     assert {r.doc_id for r in quality.keep_good(df).collect()} == {i for i, k in kept.items() if k}
 
 
+def test_query_judges_hosts_by_their_shrunken_rate(spark, tmp_path):
+    """Poor, good and tiny hosts; the last has the worst raw rate of all and passes."""
+    symbols = lambda i: " ".join(f"word{i}x{k}##" for k in range(60))
+    rows, i = [], 0
+    for host, n, bad in [("poor", 200, 70), *[(f"good{g}", 200, 20) for g in range(8)], ("tiny", 1, 1), ("middling", 200, 30)]:
+        for k in range(n):
+            rows.append((i, symbols(i) if k < bad else _good(i), host))
+            i += 1
+    spark.createDataFrame(rows, SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r for r in registry.op10_host_quality(spark, str(tmp_path)).collect()}
+    gone = {i for i, r in got.items() if not r.kept}
+    assert gone == {i for i, text, host in rows if host == "poor" and "##" in text} and not any(r.base_failed for r in got.values())
+    df = spark.createDataFrame(rows, SCHEMA)
+    rates = {r.host: r for r in quality.quality_rules(df).select("host", "host_rate", "poor").distinct().collect()}
+    assert rates["tiny"].host_rate < rates["poor"].host_rate < 0.5 and not rates["tiny"].poor
+    assert {r.doc_id for r in quality.keep_good(df).collect()} == set(got) - gone
+    for shuffled in (quality.quality_rules(df, broadcast_limit=0).where("kept"), quality.keep_good(df, broadcast_limit=0)):
+        assert {r.doc_id for r in shuffled.collect()} == set(got) - gone
+
+
 def test_edges(spark):
     empty = spark.createDataFrame([], SCHEMA)
     assert quality.quality_rules(empty).count() == 0 and quality.keep_good(empty).count() == 0

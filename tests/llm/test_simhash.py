@@ -1,4 +1,5 @@
 import re
+from collections import Counter
 
 import numpy as np
 import xxhash
@@ -85,8 +86,8 @@ def test_links_find_every_component(spark):
     fps = _planted(1, 60)
     want = brute_components(fps)
     df = spark.createDataFrame([(f,) for f in fps], "fp long")
-    for limit in (20_000, 3):  # walking, and midpoints for postings of over three
-        got = {r.node: r.root for r in simhash.connected_components(simhash.links(df, walk_limit=limit)).collect()}
+    for limit in (20_000, 3):  # walking, and midpoints for postings of three and more
+        got = {r.node: r.root for r in simhash.connected_components(simhash.links(df, hot_posting=limit, sample_every=1)).collect()}
         classes = lambda of: sorted(sorted(f for f in fps if of(f) == r) for r in {of(f) for f in fps})
         assert classes(lambda f: got.get(f, f)) == classes(want.get)
 
@@ -134,17 +135,87 @@ def test_near_copies_are_grouped_and_others_are_not(spark):
     assert simhash.near_copies(df.limit(0)).count() == 0
 
 
-def test_shared_postings_across_batches():
-    import pyarrow as pa
+def test_tally_and_verification():
+    rng = np.random.default_rng(9)
+    x = rng.integers(-(2**63), 2**63 - 1, 3000)
+    masks = rng.integers(0, 256, (3000, 8)) * (rng.random((3000, 8)) < rng.random((3000, 1)))
+    few = rng.random(3000) < 0.5  # half of the pairs differ in a few bits only
+    masks[few] = 0
+    for i in np.flatnonzero(few):
+        for bit in rng.choice(64, rng.integers(0, 7), replace=False):
+            masks[i, bit // 8] ^= 1 << bit % 8
+    y = x ^ np.array([int.from_bytes(m.astype(np.uint8).tobytes(), "little", signed=True) for m in masks])
+    octets = lambda v: int(v).to_bytes(8, "little", signed=True)
+    tally = [sum(p == q for p, q in zip(octets(a), octets(b))) for a, b in zip(x, y)]
+    bits = [bin((int(a) ^ int(b)) & (2**64 - 1)).count("1") for a, b in zip(x, y)]
+    assert simhash.shared_bytes(x, y).tolist() == tally and simhash.differing_bits(x, y).tolist() == bits
+    assert all(t >= 4 for t, d in zip(tally, bits) if d <= 4), "the count filter loses no link"
+    assert any(t >= 4 and d > 4 for t, d in zip(tally, bits)), "and lets through what verification must take out"
+    assert simhash._near(x, y, 4).tolist() == [d <= 4 for d in bits]
+    assert simhash.shared_bytes(x, x[0]).tolist() == [sum(p == q for p, q in zip(octets(a), octets(x[0]))) for a in x]
+
+
+def test_index_holds_every_pair_that_the_tally_could_retain(spark):
+    fps = _planted(2, 20)
+    rows = simhash.postings(spark.createDataFrame([(f,) for f in fps], "fp long")).collect()
+    assert len(rows) == 56 * len(fps)
+    lists = {}
+    for r in rows:
+        lists.setdefault(r.key, set()).add(r.fp)
+    together = {(a, b) for members in lists.values() for a in members for b in members if a < b}
+    shared = lambda a, b: int(simhash.shared_bytes(np.array([a]), b)[0])
+    assert together == {(a, b) for a in fps for b in fps if a < b and shared(a, b) >= simhash.KEY_BYTES}
+
+
+def test_blocks_of_a_large_posting(spark):
+    rng = np.random.default_rng(4)
+    n = 120
+    base = rng.integers(0, 256, 200)
+    low = [np.where(rng.random(200) < rng.random() * 0.4, rng.integers(0, 256, 200), base).astype(np.uint8) for _ in range(n)]
+    root = rng.integers(0, 9, n)
+    rows = [(k, i, int(root[i]), bytearray(low[i].tobytes()), n) for k in (1, 2) for i in range(n)]
+    df = spark.createDataFrame(rows, "key long, node long, root long, low binary, n long")
+    want = {(i, j) for j in range(n) for i in range(j) if root[i] != root[j] and (low[i] == low[j]).sum() >= 128}
+    for block in (7, 50, 4096):
+        got = [tuple(r) for r in simhash._across(df, 128, block).collect()]
+        assert len(got) == len(set(got)) and set(got) == want
+
+
+def jaccard_components(texts, ids, similarity=0.8):
+    """Smallest id of each component of all pairs at `similarity`, by counting shared shingles."""
+    sets = [frozenset(x) for x in shingle_sets(texts)]
+    of = {}
+    for i, x in zip(ids, sets):
+        of.setdefault(x, []).append(i)
+    distinct = list(of)
+    parent = {x: x for x in distinct}
 
-    rng = np.random.default_rng(3)
-    for _ in range(200):
-        key = np.sort(rng.integers(0, 12, rng.integers(0, 30)))
-        node = np.arange(len(key))
-        cuts = np.sort(rng.integers(0, len(key) + 1, 3))
-        batches = [pa.RecordBatch.from_arrays([pa.array(k), pa.array(n)], ["key", "node"]) for k, n in zip(np.split(key, cuts), np.split(node, cuts))]
-        got = [(k, n) for b in simhash._shared_postings(batches) for k, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist())]
-        assert got == [(int(k), int(n)) for k, n in zip(key, node) if (key == k).sum() > 1]
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    holders, pairs = {}, 0
+    for k, x in enumerate(distinct):
+        common = Counter(j for s in x for j in holders.get(s, ()))
+        for j, both in common.items():
+            if both / (len(x) + len(distinct[j]) - both) >= similarity:
+                pairs += 1
+                parent[find(x)] = find(distinct[j])
+        for s in x:
+            holders.setdefault(s, []).append(k)
+    low = {}
+    for x, same in of.items():
+        low[find(x)] = min(low.get(find(x), same[0]), *same)
+    return {i: low[find(x)] for x, same in of.items() for i in same}, pairs
+
+
+def test_near_copies_of_the_given_documents(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    rows = docs.select("doc_id", "text").collect()
+    want, pairs = jaccard_components([r.text for r in rows], [r.doc_id for r in rows])
+    got = {r.doc_id: r.component_id for r in simhash.near_copies(docs).collect()}
+    assert pairs > 20 and got == want  # recall and precision of 1: required are 0.95
 
 
 def test_index_finds_appended_and_truncated_copies(spark):
