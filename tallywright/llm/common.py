@@ -7,7 +7,7 @@ import string
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.scratch import materialize, new_path  # noqa: F401
+from ..sources.scratch import counted_broadcast, materialize, new_path, scratch_scope  # noqa: F401
 
 #: A table may be broadcast when it was counted and has at most this many rows of fixed width.
 BROADCAST_ROWS = 1_000_000
@@ -36,5 +36,4 @@ def let(value: Column, use) -> Column:
 
 def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_ROWS) -> tuple[DataFrame, bool]:
     """Hint a broadcast when the (materialized) table has at most `limit` rows."""
-    small = df.limit(limit + 1).count() <= limit
-    return (F.broadcast(df) if small else df), small
+    return counted_broadcast(df, limit)

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, materialize, pick
+from .common import broadcast_if_small, materialize, pick, scratch_scope
 
 SHINGLE_WORDS = 4
 SEED = 42
@@ -282,8 +282,8 @@ MIN_SIMILARITY = 0.8
 #: MinHashes of the five-word shingles for the index: a pair must agree in all rows of a band. A pair at 0.8 does so in
 #: no band with a probability of (1 - 0.8^5)^40 = 1e-7, wherever its texts differ.
 BANDS, BAND_ROWS = 40, 5
-#: Nodes of a posting that a task compares with each other, or with so many others.
-BLOCK = 4096
+#: Bytes of shingles of a posting's nodes that a task compares with each other, or with as many of others.
+BLOCK_BYTES = 8 << 20
 _SEEDS = np.random.default_rng(SEED).integers(0, 2**63, (2, BANDS * BAND_ROWS), np.uint64)
 
 
@@ -320,16 +320,17 @@ def _name(shingles: np.ndarray) -> int:
 
 
 def copy_signatures(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, node (hash of the set of shingles) and low (a byte of each MinHash) for each row."""
+    """doc_id, node (hash of the set of shingles), size (of the set) and low (a byte of each MinHash) for each row."""
     rows = pick(df, doc_id=id_col, text=text_col)
 
     def run(batches):
         for b in batches:
             sets = (_shingle_set(t.as_py()) for t in b.column(1))
-            node, low = zip(*((_name(s), _minhashes(s).tobytes()) for s in sets)) if b.num_rows else ((), ())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(node, pa.int64()), pa.array(low, pa.binary())], ["doc_id", "node", "low"])
+            node, size, low = zip(*((_name(s), len(s), _minhashes(s).tobytes()) for s in sets)) if b.num_rows else ((), (), ())
+            columns = [pa.array(node, pa.int64()), pa.array(size, pa.int64()), pa.array(low, pa.binary())]
+            yield pa.RecordBatch.from_arrays([b.column(0), *columns], ["doc_id", "node", "size", "low"])
 
-    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, node bigint, low binary")
+    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, node bigint, size bigint, low binary")
 
 
 def shingle_sets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -362,6 +363,14 @@ def copy_postings(nodes: DataFrame) -> DataFrame:
     return nodes.select("node", "low").mapInArrow(index, "key bigint, node bigint")
 
 
+def _jaccard(x: np.ndarray, y: np.ndarray) -> float:
+    """Similarity of two sets, or 0 where their sizes alone keep it under the least that is of use."""
+    if min(len(x), len(y)) < MIN_SIMILARITY * max(len(x), len(y)):
+        return 0.0
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return both / max(1, len(x) + len(y) - both)
+
+
 def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """The pairs (a, b) whose shingle sets (node, shingles) have an exact Jaccard similarity of `similarity` or more."""
 
@@ -369,9 +378,7 @@ def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
         for b in batches:
             keep = []
             for x, y in zip(b.column(2), b.column(3)):
-                x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
-                both = len(np.intersect1d(x, y, assume_unique=True)) if min(len(x), len(y)) / max(len(x), len(y), 1) >= similarity else 0
-                keep.append(both > 0 and both / (len(x) + len(y) - both) >= similarity)
+                keep.append(_jaccard(*(np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))) >= similarity)
             yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     first = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a")
@@ -379,49 +386,89 @@ def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return both.select("a", "b", "x", "y").mapInArrow(run, "a bigint, b bigint")
 
 
-def _across(members: DataFrame, least: int, block: int = BLOCK) -> DataFrame:
-    """Pairs (a, b) of nodes of one posting that differ in root and agree in `least` MinHashes.
+def _blocks(members: DataFrame, block_bytes: int) -> DataFrame:
+    """members (key, node, size, root, low, bytes of the posting's sets) as groups (key, i, j) of two blocks of a posting.
 
-    members: key, node, root, low, n (members of the posting). A posting is cut into blocks of about `block` nodes, and each pair of blocks
-    is a group of its own, so that no task holds more than two blocks.
+    A posting is cut into blocks of about `block_bytes`, and each pair of blocks is a group of its own, so that what a task
+    holds does not grow with the posting. `first`: whether the node is in block i.
     """
-
-    def run(batches):
-        key, rows = None, ([], [], [], [])
-
-        def pairs():
-            ids, of, first = np.array(rows[0], np.int64), np.array(rows[1], np.int64), np.array(rows[3], bool)
-            low = np.frombuffer(b"".join(rows[2]), np.uint8).reshape(len(ids), BANDS * BAND_ROWS)
-            x, y = (np.flatnonzero(first), np.flatnonzero(~first)) if key and key[1] != key[2] else (np.arange(len(ids)),) * 2
-            for i in x:
-                other = y[of[y] < of[i]] if y is x else y[of[y] != of[i]]
-                near = ids[other[(low[other] == low[i]).sum(1) >= least]]
-                if len(near):
-                    columns = [np.minimum(near, ids[i]), np.maximum(near, ids[i])]
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["a", "b"])
-
-        for batch in batches:
-            for k, i, j, *row in zip(*(c.to_pylist() for c in batch.columns)):
-                if (k, i, j) != key:
-                    yield from pairs()
-                    key, rows = (k, i, j), ([], [], [], [])
-                for column, value in zip(rows, row):
-                    column.append(value)
-        yield from pairs()
-
-    blocks = F.ceil(F.col("n") / block).cast("int")
+    blocks = F.ceil(F.col("bytes") / block_bytes).cast("int")
     rows = members.withColumn("own", F.pmod(F.xxhash64("node"), blocks).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
     rows = rows.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other"))
-    rows = rows.select("key", "i", "j", "node", "root", "low", (F.col("own") == F.col("i")).alias("first"))
-    rows = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    return rows.mapInArrow(run, "a bigint, b bigint").distinct()
+    return rows.select("key", "i", "j", "node", "root", (F.col("own") == F.col("i")).alias("first"), "low")
+
+
+def _groups(batches):
+    """(key, i, j) and the other columns of each group; rows of a group follow one another."""
+    group, rows = None, []
+    for batch in batches:
+        for k, i, j, *row in zip(*(c.to_pylist() for c in batch.columns)):
+            if (k, i, j) != group:
+                if rows:
+                    yield group, list(zip(*rows))
+                group, rows = (k, i, j), []
+            rows.append(row)
+    if rows:
+        yield group, list(zip(*rows))
+
+
+def _partners(group, root, first, low, least: int):
+    """For each row of a group the rows of another root that agree in `least` MinHashes, each pair once.
+
+    A pair that shares several bands counts in the first of them only.
+    """
+    (key, i, j), root, first = group, np.array(root, np.int64), np.array(first, bool)
+    low = np.frombuffer(b"".join(low), np.uint8).reshape(len(root), BANDS, BAND_ROWS)
+    band = key >> 8 * BAND_ROWS
+    for r in np.flatnonzero(first):
+        other = np.flatnonzero(root != root[r]) if i == j else np.flatnonzero(~first & (root != root[r]))
+        other = other[other > r] if i == j else other
+        same = low[other] == low[r]
+        near = (same.sum((1, 2)) >= least) & (same.all(2).argmax(1) == band)
+        if near.any():
+            yield r, other[near]
+
+
+def _open_links(members: DataFrame, nodes: DataFrame, sets: DataFrame, similarity: float, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """Edges (a, b), exactly verified, of nodes of one posting that are in different components.
+
+    members: key, node, root, bytes; nodes: node, low; sets: node, shingles. The MinHashes alone tell first which nodes have any partner
+    in their group; only those get their shingles, and the pairs are verified where they are found.
+    """
+    least = least_agreeing(similarity)
+
+    def wanted(batches):
+        for group, (node, root, first, low) in _groups(batches):
+            found = np.zeros(len(node), bool)
+            for r, others in _partners(group, root, first, low, least):
+                found[r] = found[others] = True
+            if found.any():
+                at = np.flatnonzero(found)
+                columns = [[k] * len(at) for k in group] + [[c[x] for x in at] for c in (node, root, first, low)]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names)
+
+    def verify(batches):
+        for group, (node, root, first, low, shingles) in _groups(batches):
+            sets = [np.frombuffer(x, np.uint64) for x in shingles]
+            for r, others in _partners(group, root, first, low, least):
+                near = [node[x] for x in others if _jaccard(sets[r], sets[x]) >= similarity]
+                if near:
+                    yield _edge_batch([(np.array(near, np.int64), np.full(len(near), node[r], np.int64))])
+
+    names = ["key", "i", "j", "node", "root", "first", "low"]
+    kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.bool_(), pa.binary()]
+    dealt = lambda rows: rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    rows = dealt(_blocks(members.join(nodes.select("node", "low"), "node"), block_bytes))
+    rows = rows.mapInArrow(wanted, "key bigint, i int, j int, node bigint, root bigint, first boolean, low binary")
+    rows = materialize(rows, "wanted").join(sets, "node").select(*names, "shingles")
+    return dealt(rows).mapInArrow(verify, "a bigint, b bigint")
 
 
 def copy_links(nodes: DataFrame, sets_of, similarity: float = MIN_SIMILARITY) -> DataFrame:
     """Edges (a, b), exactly verified, whose components are those of all pairs at `similarity` that share a band.
 
-    nodes: node, low; sets_of(nodes) gives their shingles. Each member of a posting meets the posting's smallest node
+    nodes: node, low, size; sets_of(nodes) gives their shingles. Each member of a posting meets the posting's smallest node
     first. Then only pairs whose nodes are still in different components can add anything, so a large group of
     copies does not expand into its pairs. Postings are counted and joined from tables, so that a large one is
     pre-aggregated before the shuffle and split over tasks in the join.
@@ -434,14 +481,11 @@ def copy_links(nodes: DataFrame, sets_of, similarity: float = MIN_SIMILARITY) ->
     to_heads = materialize(shared.where("a <> node").select("a", F.col("node").alias("b")).distinct(), "pairs")
     links = materialize(verified(to_heads, sets, similarity), "links")
     roots = connected_components(links)
-    members = shared.where("n > 2").join(roots, "node", "left")  # of two members, one was the head
-    members = materialize(members.select("key", "node", "n", F.coalesce("root", "node").alias("root")), "members")
-    mixed = members.groupBy("key").agg(F.min("root").alias("low_root"), F.max("root").alias("high_root"))
-    mixed = materialize(mixed.where("low_root <> high_root").select("key"), "mixed")
-    open_rows = members.join(mixed, "key").join(nodes.select("node", "low"), "node")
-    open_pairs = _across(open_rows, least_agreeing(similarity))
-    open_pairs = materialize(open_pairs.join(to_heads, ["a", "b"], "left_anti"), "pairs")
-    return links.unionByName(verified(open_pairs, sets, similarity))
+    members = shared.where("n > 2").join(roots, "node", "left").join(nodes.select("node", "size"), "node")  # of two, one was the head
+    members = materialize(members.select("key", "node", "size", F.coalesce("root", "node").alias("root")), "members")
+    mixed = members.groupBy("key").agg(F.min("root").alias("low_root"), F.max("root").alias("high_root"), (8 * F.sum("size") + 1).alias("bytes"))
+    mixed = materialize(mixed.where("low_root <> high_root").select("key", "bytes"), "mixed")
+    return links.unionByName(_open_links(members.join(mixed, "key"), nodes, sets, similarity))
 
 
 def near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = MIN_SIMILARITY) -> DataFrame:
@@ -454,7 +498,7 @@ def near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
         raise ValueError(f"similarity must be {MIN_SIMILARITY} or more")
     docs = pick(df, doc_id=id_col, text=text_col).where("doc_id is not null")
     rows = materialize(copy_signatures(docs), "signatures")
-    nodes = materialize(rows.groupBy("node", "low").agg(F.min("doc_id").alias("first_id")), "nodes")
+    nodes = materialize(rows.groupBy("node", "low", "size").agg(F.min("doc_id").alias("first_id")), "nodes")
 
     def sets_of(wanted: DataFrame) -> DataFrame:
         named = nodes.join(wanted, "node").select(F.col("first_id").alias("doc_id")).distinct()
@@ -476,13 +520,13 @@ def keep_first(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     rows = df.toDF(*names)
     node = F.when(F.col(id_).isNotNull(), F.struct(F.col(id_).alias("id"), F.xxhash64(text).alias("text_hash")))
     named = rows.select(node.alias("doc_id"), F.col(text).alias("text"))
-    close, copies = near_duplicates(named), near_copies(named)
-    close, copies = (materialize(x.where("doc_id is not null").select("doc_id", "component_id"), "groups") for x in (close, copies))
-    both = close.unionByName(copies).distinct()
-    roots = connected_components(both.select(F.col("doc_id").alias("a"), F.col("component_id").alias("b")))
-    found = close.join(roots, F.col("doc_id") == F.col("node"), "left").select("doc_id", F.coalesce("root", "doc_id").alias("component_id"))
-    reps = found.where("doc_id = component_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("copies"))
-    reps = reps.select("doc_id.id", "doc_id.text_hash", "copies")
+    with scratch_scope() as finished:
+        close, copies = (materialize(x.where("doc_id is not null").select("doc_id", "component_id"), "groups") for x in (near_duplicates(named), near_copies(named)))
+        both = close.unionByName(copies).distinct()
+        roots = connected_components(both.select(F.col("doc_id").alias("a"), F.col("component_id").alias("b")))
+        found = close.join(roots, F.col("doc_id") == F.col("node"), "left").select("doc_id", F.coalesce("root", "doc_id").alias("component_id"))
+        reps = found.where("doc_id = component_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("copies"))
+        reps = finished(reps.select("doc_id.id", "doc_id.text_hash", "copies"), "representatives")
     nulls = rows.where(F.col(id_).isNull())
     kept = rows.join(reps, (rows[id_] == reps["id"]) & (F.xxhash64(rows[text]) == reps["text_hash"]), "inner").drop("id")
     once = kept.where("copies = 1").select(*names)

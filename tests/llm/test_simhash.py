@@ -169,16 +169,25 @@ def test_index_holds_every_pair_that_the_tally_could_retain(spark):
 
 def test_blocks_of_a_large_posting(spark):
     rng = np.random.default_rng(4)
-    n = 120
-    base = rng.integers(0, 256, 200)
-    low = [np.where(rng.random(200) < rng.random() * 0.4, rng.integers(0, 256, 200), base).astype(np.uint8) for _ in range(n)]
-    root = rng.integers(0, 9, n)
-    rows = [(k, i, int(root[i]), bytearray(low[i].tobytes()), n) for k in (1, 2) for i in range(n)]
-    df = spark.createDataFrame(rows, "key long, node long, root long, low binary, n long")
-    want = {(i, j) for j in range(n) for i in range(j) if root[i] != root[j] and (low[i] == low[j]).sum() >= 128}
-    for block in (7, 50, 4096):
-        got = [tuple(r) for r in simhash._across(df, 128, block).collect()]
-        assert len(got) == len(set(got)) and set(got) == want
+    base = [f"v{x}" for x in rng.integers(0, 30_000, 150)]
+    texts = [" ".join(f"v{rng.integers(0, 30_000)}" if rng.random() < share else w for w in base) for share in rng.random(90) * 0.06]
+    sets = [simhash._shingle_set(t) for t in texts]
+    root = rng.integers(0, 9, len(texts))
+    low = [simhash._minhashes(x) for x in sets]
+    keys = {(band, *x.reshape(40, 5)[band].tolist()) for x in low for band in range(40)}
+    key = lambda k: int.from_bytes(bytes(k), "big")
+    rows = [(key(k), i, int(root[i])) for k in keys for i in range(len(texts)) if tuple(low[i].reshape(40, 5)[k[0]].tolist()) == k[1:]]
+    members = spark.createDataFrame(rows, "key long, node long, root long")
+    sizes = spark.createDataFrame([(i, len(x)) for i, x in enumerate(sets)], "node long, size long")
+    nodes = spark.createDataFrame([(i, bytearray(x.tobytes())) for i, x in enumerate(low)], "node long, low binary")
+    shingles = spark.createDataFrame([(i, bytearray(x.tobytes())) for i, x in enumerate(sets)], "node long, shingles binary")
+    alike = lambda x, y: len(set(x) & set(y)) / len(set(x) | set(y))
+    want = {(j, i) for j in range(len(texts)) for i in range(j) if root[i] != root[j] and alike(sets[i], sets[j]) >= 0.8}
+    total = members.join(sizes, "node").groupBy("key").agg((8 * F.sum("size") + 1).alias("bytes"))
+    for block in (3_000, 20_000, 8 << 20):
+        got = [tuple(r) for r in simhash._open_links(members.join(total, "key"), nodes, shingles, 0.8, block).collect()]
+        assert len(got) == len(want) and {(max(x), min(x)) for x in got} == want
+    assert len(want) > 100
 
 
 def jaccard_components(texts, ids, similarity=0.8):
