@@ -3,8 +3,9 @@
 The patterns give the base spans. The method adds strings that stand in a sensitive context and
 that neither the surrounding text nor a dictionary of identifiers explains: a candidate's cost is
 the bytes by which compressing "surroundings + candidate" exceeds compressing the surroundings
-alone, both primed with the dictionary. Words, paths and identifiers cost little, random keys
-cost nearly their entropy.
+alone, both primed with the dictionary. The dictionary holds words of configuration and code, and the
+commonest words of the long identifiers of the corpus itself, counted over all of it. Words, paths and identifiers cost
+little, random keys cost nearly their entropy.
 """
 
 from __future__ import annotations
@@ -29,14 +30,24 @@ MIN_ASSIGN, MIN_ACCESS, MIN_HEX = 6, 20, 24
 #: A candidate for novelty: a long unbroken string near a sensitive word, outside the base spans.
 MIN_CANDIDATE = 16
 CANDIDATE = rf"(?<![A-Za-z0-9+/_=.-])[A-Za-z0-9+/_=.-]{{{MIN_CANDIDATE},}}"
-SENSITIVE = r"pass(?:word|wd|phrase)?|pwd|secret|token|api.?key|access.?key|private.?key|credential|auth|bearer|signature|client.?id|session"
+#: Whole words, also as parts of snake_case and camelCase: "auth" is not in "author".
+SENSITIVE = (
+    r"(?:(?<![A-Za-z])|(?<=[a-z])(?=[A-Z]))"
+    r"(?i:pass(?:word|phrase)s?|passwd|pwd|secrets?|tokens?|(?:api|access|private)[ _.-]?keys?|credentials?|auth(?:orization|entication)?"
+    r"|bearer|signatures?|client[ _.-]?ids?|sessions?)(?![a-z])(?!(?<=[A-Z])[A-Z])"
+)
 #: Characters between the candidate and the word, whichever comes first.
 CONTEXT_CHARS = 256
 SURROUNDING_CHARS = 512
-#: Marginal compressed bytes for each byte of the candidate: hex of full entropy costs about 0.5.
-MIN_NOVELTY = 0.5
-#: The same for strings without a digit: long words cost 0.5 to 0.7, random letters mostly more.
-MIN_PLAIN_NOVELTY = 0.7
+#: Marginal compressed bytes for each byte of the candidate beyond its sensitive words. Measured in prose: random keys with
+#: digits cost 0.9 to 1.5, identifiers and paths mostly 0.5 to 0.8, random lower-case letters 0.7 to 1.1.
+MIN_NOVELTY = 0.8
+#: The corpus part of the dictionary: the words of identifiers of 16 to 80 characters without digits, those on so many rows or more, of
+#: them the commonest, which are at most so many. The size of a dictionary is its design; the counts are over all rows.
+IDENTIFIER = r"(?<![A-Za-z0-9+/_=.-])[A-Za-z][A-Za-z_./-]{14,78}[A-Za-z](?![A-Za-z0-9+/_=.-])"
+IDENTIFIER_WORD = r"[A-Z]?[a-z]{2,}|[A-Z]{2,}"
+IDENTIFIER_ROWS = 2
+DICTIONARY_WORDS = 1_000
 #: The dictionary that primes the compressor: words of configuration and code, and plain alphabets' order.
 IDENTIFIERS = (
     "password passwd secret token api_key apikey access_key private_key client_id client_secret username user email "
@@ -52,14 +63,15 @@ IDENTIFIERS = (
 class Scanner:
     """Finds the spans of one text after another; one per task."""
 
-    def __init__(self) -> None:
+    def __init__(self, identifiers: str = "") -> None:
         self.assign = re.compile(ASSIGN, re.IGNORECASE | re.ASCII)
         # A failing run is one whose match is too short, so the least length can stand in the pattern.
         self.access = re.compile(rf"AKIA[A-Z0-9]{{{MIN_ACCESS - 4},}}")
         self.hex = re.compile(rf"(?<![0-9a-f])[0-9a-f]{{{MIN_HEX},}}")
         self.candidate = re.compile(CANDIDATE)
-        self.sensitive = re.compile(SENSITIVE, re.IGNORECASE | re.ASCII)
-        primed = zstandard.ZstdCompressionDict(IDENTIFIERS.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        self.sensitive = re.compile(SENSITIVE, re.ASCII)
+        primed = zstandard.ZstdCompressionDict(f"{identifiers} {IDENTIFIERS}".encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        primed.precompute_compress(level=9)
         self.compress = zstandard.ZstdCompressor(level=9, dict_data=primed, write_content_size=False, write_checksum=False).compress
 
     def base(self, text: str) -> list[tuple[int, int, str]]:
@@ -68,42 +80,37 @@ class Scanner:
         found += [(m.start(), 2, m.end()) for m in self.hex.finditer(text)]
         return [(s, e, KINDS[k]) for s, k, e in sorted(found)]
 
-    def novelty(self, around: str, candidate: str) -> float:
-        """Marginal compressed bytes for each byte of the candidate."""
+    def cost(self, around: str, candidate: str) -> int:
+        """Marginal compressed bytes of the candidate."""
         before = around.encode("utf-8", "surrogatepass")
-        own = candidate.encode("utf-8", "surrogatepass")
-        return (len(self.compress(before + own)) - len(self.compress(before))) / max(1, len(own))
+        return len(self.compress(before + candidate.encode("ascii"))) - len(self.compress(before))
 
     def novel(self, text: str, base: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
-        """Incompressible strings within reach of a sensitive word, on either side or inside, outside the base spans."""
+        """Incompressible strings within reach of a sensitive word, on either side or inside, outside the base spans.
+
+        A candidate is a whole unbroken run, without a full stop at its end; of "word=value" with a sensitive word it is the value.
+        """
         words = [w.span() for w in self.sensitive.finditer(text)]
         if not words:
             return []
         out, ends = [], [e for _, e in words]
         for m in self.candidate.finditer(text):
-            s, e = m.span()
+            s, e = m.start(), m.start() + len(m[0].rstrip("."))
             at = bisect_left(ends, s - CONTEXT_CHARS)
             if at == len(words) or words[at][0] > e + CONTEXT_CHARS or any(s < y and x < e for x, y, _ in base):
                 continue
-            # The whole string, or what follows a word in it.
-            inside = []
-            for x, y in words[at:]:
-                if x >= e:
-                    break
-                if x >= s and e - y >= MIN_CANDIDATE:
-                    inside.append(y)
-            for start in [s, *inside[:1]]:
-                if self.is_novel(text, start, e):
-                    out.append((start, e, "novel"))
-                    break
+            inside = [(x, y) for x, y in words[at : bisect_left(ends, e + 1)] if x >= s]
+            for _, y in inside:
+                if y < e and text[y] == "=":
+                    s = y + 1
+            known = sum(y - x for x, y in inside if x >= s)
+            if e - s < MIN_CANDIDATE:
+                continue
+            around = text[max(0, s - SURROUNDING_CHARS) : s] + text[e : e + SURROUNDING_CHARS]
+            if self.cost(around, text[s:e]) >= MIN_NOVELTY * max(MIN_CANDIDATE // 2, e - s - known):
+                out.append((s, e, "novel"))
         return out
 
-    def is_novel(self, text: str, s: int, e: int) -> bool:
-        value = text[s:e]
-        plain = not re.search("[0-9]", value)
-        around = text[max(0, s - SURROUNDING_CHARS) : s] + text[e : e + SURROUNDING_CHARS]
-        return self.novelty(around, value) >= (MIN_PLAIN_NOVELTY if plain else MIN_NOVELTY)
-
     def spans(self, text: str) -> tuple[list[tuple[int, int, str]], list[tuple[int, int, str]]]:
         """(base spans, all spans), by start, then by kind."""
         base = self.base(text)
@@ -111,16 +118,28 @@ class Scanner:
         return base, both
 
 
+def corpus_identifiers(df: DataFrame, text_col: str = "text", words: int = DICTIONARY_WORDS) -> str:
+    """The commonest words of the identifiers of all rows, space-joined, the commonest last (a compressor reaches it most cheaply).
+
+    At most `words` of 80 characters come to the driver; equal counts go by the word.
+    """
+    names = F.regexp_extract_all("text", F.lit(IDENTIFIER), F.lit(0))
+    parts = F.regexp_extract_all(F.array_join(names, " "), F.lit(IDENTIFIER_WORD), F.lit(0))
+    found = pick(df, text=text_col).select(F.explode(F.array_distinct(parts)).alias("w"))
+    counts = found.groupBy("w").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= IDENTIFIER_ROWS)
+    return " ".join(r.w for r in reversed(counts.orderBy(F.desc("n"), "w").limit(words).collect()))
+
+
 def scan_secrets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of `df`: doc_id, base and spans, arrays of (kind, start, end) in code points.
 
-    Null text counts as empty and has no spans. Repeated rows get equal results each.
+    Null text counts as empty and has no spans. Repeated rows get equal results each. An empty table gives an empty result.
     """
-    rows = pick(df, doc_id=id_col, text=text_col)
+    rows, identifiers = pick(df, doc_id=id_col, text=text_col), corpus_identifiers(df, text_col)
     span = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
 
     def run(batches):
-        scanner = Scanner()
+        scanner = Scanner(identifiers)
         shape = lambda found: [{"kind": k, "start": s, "end": e} for s, e, k in found]
         for b in batches:
             found = [scanner.spans(t.as_py() or "") for t in b.column(1)]
@@ -133,13 +152,17 @@ def scan_secrets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def redact(df: DataFrame, text_col: str = "text", mark: str = "[{kind}]") -> DataFrame:
-    """`df`, all columns, with every span of the text replaced by its kind; overlapping spans become one mark."""
+    """`df`, all columns, with every span of the text replaced by its kind; overlapping spans become one mark.
+
+    Null text stays null; repeated rows are treated alike; no row goes; an empty table stays empty.
+    """
+    identifiers = corpus_identifiers(df, text_col)
     names = [f"_{i}" for i in range(len(df.columns))]
     at = df.columns.index(text_col)
     rows = df.toDF(*names)
 
     def run(batches):
-        scanner = Scanner()
+        scanner = Scanner(identifiers)
 
         def clean(text: str | None) -> str | None:
             if text is None:

@@ -1,5 +1,9 @@
 import hashlib
+import random
 import re
+import uuid
+
+import zstandard
 
 from tallywright.llm import registry, secrets
 
@@ -75,3 +79,75 @@ def test_novelty_looks_to_both_sides_and_at_every_alphabet():
     assert scanner.spans("the session of the organization-administrator-connection")[1] == []
     glued = f"x client_secret_{RANDOM}"
     assert scanner.spans(glued)[1] == [(2, len(glued), "novel")]
+    assert scanner.spans(f"x pwd={RANDOM}.")[1] == [(6, 6 + len(RANDOM), "novel")]
+    for run in ("session1q9Zx7Kp3vQ8mWt5RyB", "my-session-1q9Zx7Kp3vQ8mWt5RyB"):  # whole runs, never from within a word
+        assert scanner.spans(f"a {run} b")[1] == [(2, 2 + len(run), "novel")]
+    assert scanner.spans("the authority_keys7a8f9b0c1d2e3f4g5h6 of an author")[1] == []  # no sensitive word
+    assert scanner.spans("a tokenizer TOKENIZER 7a8f9b0c1d2e3f4g5h6")[1] == []
+
+
+def brute_novel(text, dictionary):
+    """The spans by definition, run by run and word by word, with a compressor of its own."""
+    whole = f"{dictionary} {secrets.IDENTIFIERS}".encode()
+    size = lambda raw: len(zstandard.ZstdCompressor(
+        level=9, dict_data=zstandard.ZstdCompressionDict(whole, dict_type=zstandard.DICT_TYPE_RAWCONTENT), write_content_size=False, write_checksum=False
+    ).compress(raw))
+    words = [m.span() for m in re.finditer(secrets.SENSITIVE, text, re.A)]
+    out = []
+    for m in re.finditer(r"[A-Za-z0-9+/_=.-]+", text):
+        s, e = m.start(), m.start() + len(m[0].rstrip("."))
+        if len(m[0]) < 16 or not any(x <= e + 256 and y >= s - 256 for x, y in words) or any(a < e and s < b for _, a, b in brute_base(text)):
+            continue
+        s = max([s] + [y + 1 for x, y in words if s <= x and y < e and text[y] == "="])
+        known = sum(y - x for x, y in words if s <= x and y <= e)
+        around = (text[max(0, s - 512) : s] + text[e : e + 512]).encode()
+        if e - s >= 16 and size(around + text[s:e].encode()) - size(around) >= secrets.MIN_NOVELTY * max(8, e - s - known):
+            out.append(("novel", s, e))
+    return out
+
+
+def _planted():
+    rng = random.Random(5)
+    docs = [r.text for r in DOCS]
+    of = lambda alphabet, n: "".join(rng.choice(alphabet) for _ in range(n))
+    letters, digits = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+    words = "user account config database connection manager service request handler response controller factory builder provider".split()
+    keys = [lambda: of(digits + "abcdef", rng.randint(16, 23)), lambda: of(letters + digits + "+/", rng.randint(20, 44)), lambda: of(letters + digits, 24),
+            lambda: str(uuid.UUID(int=rng.getrandbits(128))), lambda: "eyJhbGciOiJIUzI1NiJ9." + of(letters + digits + "-_", 60) + "." + of(letters + digits + "-_", 43)]
+    plain = [lambda: "_".join(rng.sample(words, 3)), lambda: "".join(w.title() for w in rng.sample(words, 3)), lambda: "/" + "/".join(rng.sample(words, 3)) + ".py"]
+    out = []
+    for i in range(400):
+        make = (keys if i % 2 else plain)[i // 2 % (5 if i % 2 else 3)]
+        text, value = rng.choice(docs), make()
+        if len(value) < 16:
+            continue
+        at = rng.randint(0, len(text))
+        lead = rng.choice([" the session token is ", " bearer ", " credentials for this are "])
+        out.append((text[:at] + lead + value + " " + text[at:], at + len(lead), value, bool(i % 2)))
+    return out
+
+
+def test_planted_keys_and_identifiers(spark):
+    """Precision and recall of the method on keys and ordinary identifiers, both in sensitive context, against a second computation."""
+    global DOCS
+    DOCS = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").where("length(text) between 300 and 4000").collect()
+    planted = _planted()
+    df = spark.createDataFrame([(i, t) for i, (t, *_) in enumerate(planted)], SCHEMA)
+    dictionary = secrets.corpus_identifiers(df)
+    got = {r.doc_id: [tuple(x) for x in r.spans] for r in secrets.scan_secrets(df).collect()}
+    caught = wrong = 0
+    for i, (text, at, value, is_key) in enumerate(planted):
+        assert [x for x in got[i] if x[0] == "novel"] == brute_novel(text, dictionary)
+        hit = any(s <= at and at + len(value) <= e for _, s, e in got[i])
+        caught += hit and is_key
+        wrong += hit and not is_key
+    n_keys = sum(x[3] for x in planted)
+    assert caught >= 0.95 * n_keys and wrong <= 0.1 * (len(planted) - n_keys), (caught, n_keys, wrong, len(planted))
+
+
+def test_dictionary_is_counted_over_all_rows(spark):
+    long, rare = "organization_administratorConnection", "a_long_name_that_stands_on_one_row"
+    rows = [(i, f"see {long} and x{long} {long}9") for i in range(5)] + [(9, f"{rare} {rare}"), (10, None), (11, "another/path/of/URL"), (12, "another/path/of/URL")]
+    got = secrets.corpus_identifiers(spark.createDataFrame(rows, SCHEMA).repartition(7))
+    assert got == "path of another URL xorganization organization administrator Connection"
+    assert secrets.corpus_identifiers(spark.createDataFrame([], SCHEMA)) == ""
