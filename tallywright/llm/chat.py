@@ -4,81 +4,167 @@ An assistant turn may be a JSON object with `tool_calls` (id, name, arguments) a
 the role tool one with `tool_call_id` and `content`. Calls and results are hash-joined by conversation
 and identifier, brought into a topological order (message, its calls, their results), arguments are
 checked against the tools' schemas, and each item is written as canonical JSON: keys sorted, no
-white space, no null fields.
+white space, no null fields outside the arguments, and each number in one form whatever its spelling (1e2, 100 and 100.0 are
+100), exact at any length.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import pick
-
-#: Tool, parameter, JSON type, required.
-SCHEMAS = (
-    ("search", "query", "string", True),
-    ("search", "limit", "integer", False),
-    ("calculate", "expression", "string", True),
-    ("read_file", "path", "string", True),
-    ("read_file", "binary", "boolean", False),
-    ("weather", "latitude", "number", True),
-    ("weather", "longitude", "number", True),
-    ("send", "to", "array", True),
-    ("send", "options", "object", False),
-)
-
-ITEM = "conv_id, turn, kind, call_id, linked, valid, problem, order_turn, order_stage, order_index, json"
-
-
-def schema_table(spark: SparkSession, schemas=SCHEMAS) -> DataFrame:
-    """name, params (array of (param, type, required)) for each tool."""
-    rows = spark.createDataFrame(list(schemas), "name string, param string, type string, required boolean")
-    return rows.groupBy("name").agg(F.collect_list(F.struct("param", "type", "required")).alias("params"))
+from .common import let, pick
+
+#: The tools' parameters, in the terms of JSON Schema: type, required, properties, items, enum. Other properties are not allowed.
+_text, _number, _flag = {"type": "string"}, {"type": "number"}, {"type": "boolean"}
+SCHEMAS = {
+    "search": {"properties": {"query": _text, "limit": {"type": "integer"}}, "required": ["query"]},
+    "calculate": {"properties": {"expression": _text}, "required": ["expression"]},
+    "read_file": {"properties": {"path": _text, "binary": _flag}, "required": ["path"]},
+    "weather": {
+        "properties": {"latitude": _number, "longitude": _number, "units": {"type": "string", "enum": ["metric", "imperial"]}},
+        "required": ["latitude", "longitude"],
+    },
+    "send": {
+        "properties": {
+            "to": {"type": "array", "items": _text},
+            "options": {"type": "object", "properties": {"priority": {"type": "integer", "enum": [1, 2, 3]}, "silent": _flag}, "required": []},
+        },
+        "required": ["to"],
+    },
+}
+
+ITEM = "conv_id, turn, kind, call_id, linked, valid, problem, order_turn, order_stage, order_index, position, json"
+
+#: Private-use characters that stand for a number's start, an escaped backslash and an escaped quote while a text is rewritten.
+NUMBER, BACKSLASH, QUOTE = "\ue000", "\ue001", "\ue002"
+#: Turns of a conversation that are numbered together.
+TURNS = 256
+
+
+def _plain_number(token: Column) -> Column:
+    """A JSON number in one form: plain digits up to 21 before the point, down to 1e-7 behind it, else d.ddde±x; digits are never lost."""
+    group = lambda pattern: F.regexp_extract(token, pattern, 1)
+    whole, fraction = group(r"^-?([0-9]+)"), group(r"\.([0-9]+)")
+    exponent = F.when(token.rlike("[eE]"), F.try_to_number(group(r"[eE]\+?(-?[0-9]{1,9})$"), F.lit("S999999999")).cast("int")).otherwise(0)
+    digits = F.concat(whole, fraction)
+
+    def form(d: Column) -> Column:
+        kept = F.regexp_replace(d, "^0+", "")
+        point = F.length(whole) + exponent - (F.length(d) - F.length(kept))
+        return let(F.struct(F.regexp_replace(kept, "0+$", "").alias("d"), point.alias("point")), spelled)
+
+    def spelled(x: Column) -> Column:
+        d, point = x["d"], x["point"]
+        n = F.length(d)
+        power = F.concat(F.when(point > 0, "e+").otherwise("e"), (point - 1).cast("string"))
+        return (
+            F.when(d == "", "0")
+            .when((n <= point) & (point <= 21), F.concat(d, F.repeat(F.lit("0"), point - n)))
+            .when((point > 0) & (point < n), F.concat(F.substring(d, 1, point), F.lit("."), F.substring(d, point + 1, n)))
+            .when((point <= 0) & (point > -7), F.concat(F.lit("0."), F.repeat(F.lit("0"), -point), d))
+            .when(n == 1, F.concat(d, power))
+            .otherwise(F.concat(F.substring(d, 1, F.lit(1)), F.lit("."), F.substring(d, F.lit(2), n), power))
+        )
+
+    value = let(digits, form)
+    signed = F.when(token.startswith("-") & (value != "0"), F.concat(F.lit("-"), value)).otherwise(value)
+    return F.coalesce(signed, token)  # an exponent of ten digits and more stays as it is
+
+
+def mark_numbers(json: Column) -> Column:
+    """The JSON text with each number as a string of NUMBER and its canonical form, so that no parser rounds it."""
+    safe = F.replace(F.replace(json, F.lit("\\\\"), F.lit(BACKSLASH)), F.lit('\\"'), F.lit(QUOTE))
+    tokens = F.regexp_extract_all(safe, F.lit(r'"[^"]*+"?|-?[0-9]+(?:\.[0-9]+)?(?:[eE][+-]?[0-9]+)?|[^"0-9-]++|-'), F.lit(0))
+    number = lambda t: F.concat(F.lit(f'"{NUMBER}'), _plain_number(t), F.lit('"'))
+    marked = F.array_join(F.transform(tokens, lambda t: F.when(t.rlike("^-?[0-9]"), number(t)).otherwise(t)), "")
+    return F.replace(F.replace(marked, F.lit(QUOTE), F.lit('\\"')), F.lit(BACKSLASH), F.lit("\\\\"))
+
+
+def canonical(value: Column) -> Column:
+    """A struct or variant as JSON, its marked numbers as numbers again."""
+    return F.regexp_replace(F.to_json(value), f'"{NUMBER}([^"]*+)"', "$1")
+
+
+def _text_of(value: Column) -> Column:
+    """The string in a variant, null for anything else; a number as it is spelled."""
+    text = F.when(F.schema_of_variant(value) == "STRING", F.try_variant_get(value, "$", "string"))
+    return F.regexp_replace(text, f"^{NUMBER}", "")
 
 
 def _json_type(value: Column) -> Column:
-    """JSON type of a variant: string, integer, number, boolean, array, object or null."""
+    """JSON type of a variant with marked numbers: string, integer, number, boolean, array, object or null."""
     kind = F.schema_of_variant(value)
+    text = F.try_variant_get(value, "$", "string")
     return (
-        F.when(kind.startswith("ARRAY"), "array").when(kind.startswith("OBJECT"), "object").when(kind == "STRING", "string")
-        .when(kind == "BOOLEAN", "boolean").when(kind == "BIGINT", "integer").when(kind == "VOID", "null").otherwise("number")
+        F.when(kind.startswith("ARRAY"), "array").when(kind.startswith("OBJECT"), "object").when(kind == "BOOLEAN", "boolean")
+        .when(kind == "VOID", "null").when(~text.startswith(NUMBER), "string")
+        .when(text.contains(".") & ~text.contains("e+") | text.contains("e-"), "number").otherwise("integer")
     )
 
 
-def _fits(params: Column, args: Column) -> Column:
-    """Whether the arguments (map of variants) fit: required ones present, types right, none unknown."""
+def _literal(value) -> str:
+    import json
+
+    return f'"{NUMBER}{value}"' if isinstance(value, (int, float)) and not isinstance(value, bool) else json.dumps(value, ensure_ascii=False)
 
-    def fits(p: Column) -> Column:
-        value = F.try_element_at(args, p["param"])
-        kind = _json_type(value)
-        right = (kind == p["type"]) | ((p["type"] == "number") & (kind == "integer"))
-        return F.when(value.isNull(), ~p["required"]).otherwise(right)
 
-    known = F.transform(params, lambda p: p["param"])
-    return F.forall(params, fits) & F.forall(F.map_keys(args), lambda k: F.array_contains(known, k))
+def conforms(value: Column, schema: dict) -> Column:
+    """Whether a variant (with marked numbers) fits a schema; null is no value. The schema is part of the expression."""
+    kind = _json_type(value)
+    want = schema.get("type", "object" if "properties" in schema else None)
+    ok = F.lit(True) if want is None else (kind == want) | ((kind == "integer") if want == "number" else F.lit(False))
+    if "enum" in schema:
+        ok = ok & F.to_json(value).isin(*[_literal(x) for x in schema["enum"]])
+    if "properties" in schema:
+        fields = F.try_variant_get(value, "$", "map<string, variant>")
+        for name, inner in schema["properties"].items():
+            field = F.try_element_at(fields, F.lit(name))
+            ok = ok & F.when(field.isNull(), F.lit(name not in schema.get("required", ()))).otherwise(conforms(field, inner))
+        ok = ok & F.forall(F.map_keys(fields), lambda k: k.isin(*schema["properties"]))
+    if "items" in schema:
+        ok = ok & F.forall(F.try_variant_get(value, "$", "array<variant>"), lambda x: conforms(x, schema["items"]))
+    return F.coalesce(ok, F.lit(False))
+
+
+def _numbered(items: DataFrame) -> DataFrame:
+    """Adds position: 1, 2, … within the conversation, in topological order; equal items in any order.
+
+    Stretches of TURNS turns are numbered on their own and the counts of the stretches before are added, so
+    that a conversation with very many turns is not one task's.
+    """
+    at = F.coalesce(F.floor(F.col("order_turn") / TURNS), F.lit(-(2**62)))
+    items = items.withColumn("_at", at).withColumn("_conv", F.struct("conv_id"))
+    counts = items.groupBy("_conv", "_at").agg(F.count(F.lit(1)).alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy("_conv").orderBy("_at")) - F.col("_n")
+    counts = counts.select("_conv", "_at", before.alias("_before"))
+    order = ["order_turn", "order_stage", "order_index", "kind", "call_id", "json"]
+    ranked = items.withColumn("_rank", F.row_number().over(Window.partitionBy("_conv", "_at").orderBy(*order)))
+    return ranked.join(counts, ["_conv", "_at"]).withColumn("position", F.col("_before") + F.col("_rank")).select(*ITEM.split(", "))
 
 
 def link_tool_calls(
-    turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", schemas: DataFrame | None = None
+    turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", schemas: dict[str, dict] = SCHEMAS
 ) -> DataFrame:
     """One row per message, call and result, with the columns of ITEM.
 
-    Sorting a conversation by (order_turn, order_stage, order_index) is a topological order: a call stands
+    position is a topological order of the conversation, that of (order_turn, order_stage, order_index): a call stands
     after its message, a result after its call even if its turn came before. A result joins the first call of
-    its id; `linked` tells whether a call has a result or a result a call; null for messages. `valid` is
-    about a call's arguments (null otherwise), `problem` says why not, or that an id is used again, or that a
-    result has no call. Turns that are not such JSON are messages as they stand, null text as empty; null ids
-    link nothing. Repeated rows stay. `schemas`: as from `schema_table`, a parameter of the job, so broadcast.
+    its id; `linked` tells whether a call has a result or a result a call; null for messages. Calls that need each other's
+    results name no such thing, so those of one turn keep their order in it, and results of earlier turns stand before.
+    `valid` is about a call's arguments (null otherwise), `problem` says why not, or that an id is used again, or that a
+    result has no call. Turns that are not such JSON (numbers out of JSON's grammar and repeated keys included) are messages as they
+    stand, null text as empty; null ids link nothing; a null conversation is one of its own, a null turn its first. Repeated rows stay.
+    An empty table gives an empty result. A JSON string that begins with the private-use character U+E000 loses it.
     """
-    spark = turns.sparkSession
-    tools = schemas if schemas is not None else schema_table(spark)
     rows = pick(turns, conv_id=conv_col, turn=turn_col, role=role_col, text=text_col)
     rows = rows.withColumn("text", F.coalesce("text", F.lit("")))
-    shaped = F.when(F.ltrim("text").startswith("{") & F.col("role").isin("assistant", "tool"), F.try_parse_json("text"))
+    marked = F.try_parse_json(mark_numbers(F.col("text")))
+    shaped = F.when(F.ltrim("text").startswith("{") & F.col("role").isin("assistant", "tool") & F.try_parse_json("text").isNotNull(), marked)
     rows = rows.withColumn("v", shaped)
     rows = rows.withColumn("calls", F.when(F.col("role") == "assistant", F.try_variant_get("v", "$.tool_calls", "array<variant>")))
-    rows = rows.withColumn("result_of", F.when(F.col("role") == "tool", F.try_variant_get("v", "$.tool_call_id", "string")))
-    content = F.try_variant_get("v", "$.content", "string")
+    rows = rows.withColumn("result_of", F.when(F.col("role") == "tool", _text_of(F.try_variant_get("v", "$.tool_call_id", "variant"))))
+    content = _text_of(F.try_variant_get("v", "$.content", "variant"))
     structured = F.col("calls").isNotNull() | F.col("result_of").isNotNull()
     body = F.when(structured, content).otherwise(F.col("text"))
 
@@ -89,26 +175,28 @@ def link_tool_calls(
         F.lit(0).alias("order_index"), F.to_json(F.struct(body.alias("content"), "role")).alias("json"),
     )
     called = rows.where(F.col("calls").isNotNull()).select("conv_id", "turn", F.posexplode("calls").alias("k", "call"))
-    called = called.select(
-        "conv_id", "turn", "k", F.try_variant_get("call", "$.id", "string").alias("call_id"),
-        F.try_variant_get("call", "$.name", "string").alias("name"), F.try_variant_get("call", "$.arguments", "variant").alias("arguments"),
-    )
+    part = lambda name: F.try_variant_get("call", f"$.{name}", "variant")
+    called = called.select("conv_id", "turn", "k", _text_of(part("id")).alias("call_id"), _text_of(part("name")).alias("name"), part("arguments").alias("arguments"))
     answers = rows.where(F.col("result_of").isNotNull()).select("conv_id", "turn", F.col("result_of").alias("call_id"), content.alias("content"))
 
     first = called.where(F.col("call_id").isNotNull()).groupBy("conv_id", "call_id").agg(F.min(F.struct("turn", "k")).alias("first"))
     answered = answers.select("conv_id", "call_id").distinct().withColumn("has_result", F.lit(True))
-    checked = called.join(F.broadcast(tools), "name", "left").join(first, ["conv_id", "call_id"], "left").join(answered, ["conv_id", "call_id"], "left")
-    args = F.try_variant_get("arguments", "$", "map<string, variant>")
+    checked = called.join(first, ["conv_id", "call_id"], "left").join(answered, ["conv_id", "call_id"], "left")
+    known = F.coalesce(F.col("name").isin(*schemas), F.lit(False)) if schemas else F.lit(False)
+    fits = F.lit(False)
+    for name, schema in schemas.items():
+        fits = F.when(F.col("name") == name, conforms(F.col("arguments"), {"type": "object"} | schema)).otherwise(fits)
+    checked = checked.withColumn("valid", known & F.coalesce(fits, F.lit(False)))
     again = F.coalesce(F.col("first") != F.struct("turn", "k"), F.lit(False))
+    is_object = F.coalesce(_json_type(F.col("arguments")) == "object", F.lit(False))
     problem = (
-        F.when(F.col("params").isNull(), "unknown tool").when(args.isNull(), "arguments are no object")
-        .when(~_fits(F.col("params"), args), "arguments do not fit the schema").when(again, "id used again")
+        F.when(~known, "unknown tool").when(~is_object, "arguments are no object")
+        .when(~F.col("valid"), "arguments do not fit the schema").when(again, "id used again")
     )
-    valid = F.col("params").isNotNull() & args.isNotNull() & F.coalesce(_fits(F.col("params"), args), F.lit(False))
     calls = checked.select(
         "conv_id", "turn", F.lit("call").alias("kind"), "call_id", (F.coalesce("has_result", F.lit(False)) & ~again).alias("linked"),
-        valid.alias("valid"), problem.alias("problem"), F.col("turn").alias("order_turn"), F.lit(1).alias("order_stage"), F.col("k").alias("order_index"),
-        F.to_json(F.struct("arguments", F.col("call_id").alias("id"), "name")).alias("json"),
+        "valid", problem.alias("problem"), F.col("turn").alias("order_turn"), F.lit(1).alias("order_stage"), F.col("k").alias("order_index"),
+        canonical(F.struct("arguments", F.col("call_id").alias("id"), "name")).alias("json"),
     )
     results = answers.join(first, ["conv_id", "call_id"], "left").select(
         "conv_id", "turn", F.lit("result").alias("kind"), "call_id", F.col("first").isNotNull().alias("linked"), null("boolean").alias("valid"),
@@ -116,4 +204,4 @@ def link_tool_calls(
         F.lit(2).alias("order_stage"), F.coalesce(F.col("first.k"), F.lit(0)).alias("order_index"),
         F.to_json(F.struct("content", F.lit("tool").alias("role"), F.col("call_id").alias("tool_call_id"))).alias("json"),
     )
-    return messages.unionByName(calls).unionByName(results)
+    return _numbered(messages.unionByName(calls).unionByName(results))

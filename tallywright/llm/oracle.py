@@ -58,7 +58,8 @@ FROM p"""
 
 #: The given turns hold no tool calls, so the twin has messages only.
 CHAT = """SELECT conv_id, turn, 'message' AS kind, NULL::VARCHAR AS call_id, NULL::BOOLEAN AS linked, NULL::BOOLEAN AS valid, NULL::VARCHAR AS problem,
-  turn AS order_turn, 0 AS order_stage, 0 AS order_index, to_json({content: coalesce(text, ''), role: role})::VARCHAR AS json FROM conversations"""
+  turn AS order_turn, 0 AS order_stage, 0 AS order_index,
+  row_number() OVER (PARTITION BY conv_id ORDER BY turn, to_json({content: coalesce(text, ''), role: role})::VARCHAR) AS position, to_json({content: coalesce(text, ''), role: role})::VARCHAR AS json FROM conversations"""
 
 _quoted = lambda s: "'" + s.replace("'", "''") + "'"
 _TEMPLATES = ", ".join(f"({_quoted(k)}, {_quoted(v)})" for k, v in license.TEMPLATES.items())
