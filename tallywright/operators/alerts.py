@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import rules
 from ..functions.scalars import padded_id
+from ..sources.scratch import materialize
 
 
 def settled_transactions(transactions: DataFrame) -> DataFrame:
@@ -22,20 +23,20 @@ def expected_alerts(transactions: DataFrame) -> DataFrame:
     return suspicious_transactions(transactions).select("txn_id", rules.rule_code().alias("rule_code"), rules.alert_severity().alias("severity"))
 
 
-def number_rows(df: DataFrame, key: str, out: str, ranges: int = 64) -> DataFrame:
+def number_rows(df: DataFrame, key: str, out: str, rows_per_range: int = 500_000) -> DataFrame:
     """Adds 1, 2, … in the order of a unique numeric `key`, without a sort on one task.
 
-    Approximate quantiles cut the key into `ranges` of like size; each range is ranked on its own, and
-    the counts of the ranges before it, one row a range, are added.
+    The rows are dealt by ranges of the key, as many as their count asks for, and written with the number of their range, so that
+    no recomputation deals them otherwise. Each range is ranked on its own, and the counts of the ranges before it, one row
+    a range, are added.
     """
-    cuts = df.agg(F.percentile_approx(key, [i / ranges for i in range(1, ranges)], 10_000).alias("cuts"))
-    dealt = df.crossJoin(F.broadcast(cuts)).withColumn("_range", F.size(F.filter("cuts", lambda c: c < F.col(key)))).drop("cuts")
+    ranges = max(1, -(-df.count() // rows_per_range))
+    dealt = materialize(df.repartitionByRange(ranges, key).withColumn("_range", F.spark_partition_id()), "ranges")
     counts = dealt.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
-    table = F.broadcast(counts.agg(F.map_from_entries(F.collect_list(F.struct("_range", "_n"))).alias("_counts")))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    before = F.broadcast(counts.select("_range", before.alias("_before")))  # as many rows as there are ranges
     ranked = dealt.withColumn("_rank", F.row_number().over(Window.partitionBy("_range").orderBy(key)))
-    earlier = lambda acc, r: acc + F.coalesce(F.try_element_at("_counts", r), F.lit(0))
-    before = F.when(F.col("_range") > 0, F.aggregate(F.sequence(F.lit(0), F.greatest(F.col("_range") - 1, F.lit(0))), F.lit(0).cast("bigint"), earlier))
-    return ranked.crossJoin(table).withColumn(out, F.coalesce(before, F.lit(0)) + F.col("_rank")).drop("_range", "_rank", "_counts")
+    return ranked.join(before, "_range").withColumn(out, F.col("_before") + F.col("_rank")).drop("_range", "_rank", "_before")
 
 
 def alert_ids(alerts: DataFrame, key: str = "txn_id") -> DataFrame:

@@ -43,6 +43,13 @@ def id_column(columns: list[str], wanted: str) -> str | None:
     return next((c for c in columns if c.lower() == wanted.lower()), None)
 
 
+def submitted_ids(results: DataFrame, wanted: str, sub: str = "sub_id", challenge: str = "challenge_id") -> tuple[DataFrame, bool]:
+    """A submitted result set as (sub_id, challenge_id, id) and whether it has the wanted column; without it the ids are null."""
+    found = id_column([c for c in results.columns if c not in (sub, challenge)], wanted)
+    ids = F.col(found) if found else F.lit(None).cast("string")
+    return results.select(F.col(sub).alias("sub_id"), F.col(challenge).alias("challenge_id"), ids.alias("id")), found is not None
+
+
 def grade_id_sets(submitted: DataFrame, expected: DataFrame, subs: DataFrame | None = None) -> DataFrame:
     """One row per submission: matched, extra, missing, expected, recall, precision, first_hits, passed.
 
@@ -137,10 +144,58 @@ def grade_viva(df: DataFrame, question: str, text: str, keywords=None, other=OTH
     return df.withColumn("passed", (F.length(trim_all(F.coalesce(F.col(text), F.lit("")))) >= VIVA_CHARS) & hit)
 
 
-def grading_feedback(grades: DataFrame, column: str = "txn_id", fail_message: str = "Check the result set.") -> DataFrame:
-    """Adds feedback; recall as whole percent, halves up."""
+#: The sentences that graders answer with.
+GOOD_SET, BAD_SET, NO_COLUMN = "Result set checks out. ", "Check the result set.", "Result must include a {} column."
+NO_PRIORITY = "Hidden cases from the July CRYPTO leak are missing. Keep going."
+GOOD_LEAK = "Result set matches the leak. "
+GOOD_EVIDENCE = "Evidence pack accepted. The CRO can work with this."
+AFTER_MISSES = "Re-query the warehouse and the raw landing tables."
+GOOD_EXPLANATION = "The write-up covers the core of the case."
+BAD_EXPLANATION = (
+    "Add more evidence: July drop, the alert pipeline leak (especially CRYPTO / WIRE), and data-quality noise such as duplicates. "
+    "Write at least a short paragraph."
+)
+GOOD_VIVA = "Noted for the exec briefing."
+BAD_VIVA = "Too thin. Answer in a sentence or two using the evidence from the investigation."
+EVIDENCE_NAMES = {
+    "total_transactions": "totalTransactions", "suspicious_transactions": "suspiciousTransactions", "fraud_rate_pct": "fraudRatePct",
+    "missing_alerts": "missingAlerts", "duplicate_txn_ids": "duplicateTxnIds",
+}
+
+
+def grading_feedback(grades: DataFrame, column: str = "txn_id", fail_message: str = BAD_SET, has_column: bool = True) -> DataFrame:
+    """Adds feedback; recall as whole percent, halves up. Without the wanted column (`submitted_ids`) that is the answer."""
+    if not has_column:
+        return grades.withColumn("passed", F.lit(False)).withColumn("feedback", F.lit(NO_COLUMN.format(column)))
     pct = F.when(F.col("expected") > 0, F.floor(F.try_divide(200 * F.col("matched") + F.col("expected"), 2 * F.col("expected")))).otherwise(0)
     matched, expected = F.col("matched").cast("string"), F.col("expected").cast("string")
-    good = F.concat(F.lit("Result set checks out. "), matched, F.lit(" of "), expected, F.lit(f" expected {column} values."))
+    good = F.concat(F.lit(GOOD_SET), matched, F.lit(" of "), expected, F.lit(f" expected {column} values."))
     bad = F.concat(F.lit(f"{fail_message} Matched "), matched, F.lit("/"), expected, F.lit(" ("), pct.cast("bigint").cast("string"), F.lit("% recall)."))
     return grades.withColumn("feedback", F.when(F.col("passed"), good).otherwise(bad))
+
+
+def missing_alerts_feedback(grades: DataFrame, set_grades: DataFrame, column: str = "txn_id", fail_message: str = BAD_SET) -> DataFrame:
+    """Adds feedback to `grade_missing_alerts`; set_grades: `grade_id_sets` of the same submissions, whose failure is answered first."""
+    by_set = grading_feedback(set_grades, column, fail_message).select("sub_id", "challenge_id", F.col("passed").alias("_set"), F.col("feedback").alias("_said"))
+    n = lambda c: F.col(c).cast("string")
+    good = F.concat(F.lit(GOOD_LEAK), n("matched"), F.lit(" of "), n("expected"), F.lit(" missing alerts recovered."))
+    said = F.when(~F.col("_set"), F.col("_said")).when(~F.col("passed"), NO_PRIORITY).otherwise(good)
+    return grades.join(by_set, ["sub_id", "challenge_id"]).withColumn("feedback", said).drop("_set", "_said")
+
+
+def evidence_feedback(grades: DataFrame) -> DataFrame:
+    """Adds feedback to `grade_evidence`: how many figures are off, and which."""
+    names = F.array_join(F.transform("misses", lambda m: F.create_map(*[F.lit(x) for kv in EVIDENCE_NAMES.items() for x in kv])[m]), ", ")
+    figures = F.when(F.col("n_misses") == 1, " figure (").otherwise(" figures (")
+    bad = F.concat(F.lit("Off on "), F.col("n_misses").cast("string"), figures, names, F.lit(f"). {AFTER_MISSES}"))
+    return grades.withColumn("feedback", F.when(F.col("passed"), GOOD_EVIDENCE).otherwise(bad))
+
+
+def explanation_feedback(grades: DataFrame) -> DataFrame:
+    """Adds feedback to `grade_explanation`."""
+    return grades.withColumn("feedback", F.when(F.col("passed"), GOOD_EXPLANATION).otherwise(BAD_EXPLANATION))
+
+
+def viva_feedback(grades: DataFrame) -> DataFrame:
+    """Adds feedback to `grade_viva`."""
+    return grades.withColumn("feedback", F.when(F.col("passed"), GOOD_VIVA).otherwise(BAD_VIVA))

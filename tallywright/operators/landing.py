@@ -5,8 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.scratch import counted_broadcast, materialize
 from . import alerts as alert_ops
 
+#: A table may be broadcast when it was counted and has at most this many rows of fixed width.
+BROADCAST_ROWS = 1_000_000
+
 
 def build_transactions_raw(transactions: DataFrame, null_customer: Column, ghost_customer: Column, ghost: Column, cloned: Column) -> DataFrame:
     """Clean rows, some with a null or an unknown customer, and clones one rupee dearer with the true customer."""
@@ -27,15 +31,22 @@ def duplicate_keys(df: DataFrame, key: str) -> DataFrame:
     return df.select(key).groupBy(key).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(key)
 
 
-def orphan_customers(transactions: DataFrame, customers: DataFrame) -> DataFrame:
-    """txn_id and reason (NULL or GHOST) of transactions without a known customer.
+def unknown_customers(transactions: DataFrame, customers: DataFrame, broadcast_limit: int = BROADCAST_ROWS) -> DataFrame:
+    """The customer ids of transactions that no customer has, as a table, broadcast while there are at most `broadcast_limit`.
 
-    Null customers never reach the join, where they would all meet in one task; the reduced
-    list of unknown ids is what a hot ghost id costs.
+    The ids are made distinct within each task first, so a ghost id that holds a large part of the rows costs a row a task; rows
+    are never dealt out by it. Beyond the limit both sides of the join are tables, and the engine splits a large id.
     """
+    ids = transactions.where(F.col("customer_id").isNotNull()).select("customer_id").distinct()
+    unknown = ids.join(customers.select("customer_id"), "customer_id", "left_anti")
+    return counted_broadcast(materialize(unknown, "unknown-customers"), broadcast_limit)[0]
+
+
+def orphan_customers(transactions: DataFrame, customers: DataFrame, broadcast_limit: int = BROADCAST_ROWS) -> DataFrame:
+    """txn_id and reason (NULL or GHOST) of transactions without a known customer."""
     rows = transactions.select("txn_id", "customer_id")
     nulls = rows.where(F.col("customer_id").isNull()).select("txn_id", F.lit("NULL").alias("reason"))
-    ghosts = rows.where(F.col("customer_id").isNotNull()).join(customers.select("customer_id").distinct(), "customer_id", "left_anti")
+    ghosts = rows.join(unknown_customers(rows, customers, broadcast_limit), "customer_id", "left_semi")
     return nulls.unionByName(ghosts.select("txn_id", F.lit("GHOST").alias("reason"))).distinct()
 
 
@@ -51,11 +62,10 @@ def clean_transactions(transactions_raw: DataFrame, customers: DataFrame, order:
     """One row per txn_id, the first by `order`, with verdict CLEAN, or QUARANTINE without a known customer."""
     rest = [c for c in transactions_raw.columns if c not in ("txn_id", order)]
     one = transactions_raw.groupBy("txn_id").agg(F.min(F.struct(order, *rest)).alias("t")).select("txn_id", "t.*")
-    known = customers.select("customer_id").distinct()
-    clean = one.join(known, "customer_id", "left_semi").withColumn("verdict", F.lit("CLEAN"))
-    orphans = one.where(F.col("customer_id").isNotNull()).join(known, "customer_id", "left_anti")
-    orphans = orphans.unionByName(one.where(F.col("customer_id").isNull()))
-    return clean.unionByName(orphans.withColumn("verdict", F.lit("QUARANTINE"))).select(*transactions_raw.columns, "verdict")
+    unknown = unknown_customers(transactions_raw, customers).withColumn("_unknown", F.lit(True))
+    orphan = F.col("customer_id").isNull() | F.col("_unknown").isNotNull()
+    verdict = F.when(orphan, "QUARANTINE").otherwise("CLEAN")
+    return one.join(unknown, "customer_id", "left").select(*transactions_raw.columns, verdict.alias("verdict"))
 
 
 def _count(df: DataFrame, name: str, what: Column | None = None) -> DataFrame:
@@ -70,20 +80,48 @@ def _one_row(*parts: DataFrame) -> DataFrame:
     return out
 
 
-def quality_summary(transactions_raw: DataFrame, alerts_raw: DataFrame, customers: DataFrame, book_start: str) -> DataFrame:
-    """One row: the number of findings of each defect class."""
-    impossible = alert_ops.impossible_alert_times(alerts_raw, transactions_raw, book_start)
-    return _one_row(
-        _count(duplicate_keys(transactions_raw, "txn_id"), "duplicate_txn_ids"),
-        _count(orphan_customers(transactions_raw, customers).select("txn_id").distinct(), "invalid_customer_txns"),
-        _count(duplicate_keys(alerts_raw, "txn_id"), "duplicate_alert_txn_ids"),
-        _count(duplicate_alert_customers(alerts_raw, transactions_raw, customers), "duplicate_alert_customers"),
-        _count(impossible.select("alert_id").distinct(), "impossible_alert_times"),
+def raw_by_txn(transactions_raw: DataFrame, customers: DataFrame, order: str = "amount_inr") -> DataFrame:
+    """One row per txn_id of the raw table, from one pass over it: n_rows, invalid (a row without a known customer), txn_ts (the
+    least), and customer_id and known of the first row by `order`. Written, as several figures rest on it."""
+    unknown = unknown_customers(transactions_raw, customers).withColumn("_unknown", F.lit(True))
+    rows = transactions_raw.select("txn_id", "customer_id", "txn_ts", order).join(unknown, "customer_id", "left")
+    rows = rows.withColumn("known", F.col("customer_id").isNotNull() & F.col("_unknown").isNull())
+    grouped = rows.groupBy("txn_id").agg(
+        F.count(F.lit(1)).alias("n_rows"), F.max(~F.col("known")).alias("invalid"), F.min("txn_ts").alias("txn_ts"),
+        F.min(F.struct(F.col(order).alias("_o"), "customer_id", "known")).alias("t"),
+    )
+    return materialize(grouped.select("txn_id", "n_rows", "invalid", "txn_ts", "t.customer_id", "t.known"), "raw-by-txn")
+
+
+def _raw_counts(by_txn: DataFrame) -> DataFrame:
+    return by_txn.agg(
+        F.count(F.when(F.col("n_rows") > 1, 1)).alias("duplicate_txn_ids"),
+        F.count(F.when(F.col("invalid"), 1)).alias("invalid_customer_txns"),
+        F.coalesce(F.sum("n_rows"), F.lit(0)).alias("raw_transaction_rows"),
     )
 
 
+def _alert_counts(alerts_raw: DataFrame) -> DataFrame:
+    """n_rows for each txn_id of the raw alerts; one pass, reduced within each task."""
+    return alerts_raw.groupBy("txn_id").agg(F.count(F.lit(1)).alias("n_alerts"))
+
+
+def quality_summary(transactions_raw: DataFrame, alerts_raw: DataFrame, customers: DataFrame, book_start: str) -> DataFrame:
+    """One row: the number of findings of each defect class. One grouping by transaction feeds them all."""
+    by_txn = raw_by_txn(transactions_raw, customers)
+    own = F.struct("n_rows", "txn_ts", "customer_id", "known").alias("t")
+    alerts = alerts_raw.select("alert_id", "txn_id", "alert_ts").join(by_txn.select("txn_id", own), "txn_id", "left")
+    impossible = (F.col("alert_ts") < F.to_timestamp(F.lit(book_start))) | (F.col("alert_ts") < F.col("t.txn_ts"))
+    per_txn = alerts.groupBy("txn_id").agg(F.count(F.lit(1)).alias("n"), F.first("t").alias("t"))
+    owner = F.when(F.col("t.known"), F.col("t.customer_id"))
+    doubled = per_txn.where("n > 1").agg(F.count(F.lit(1)).alias("duplicate_alert_txn_ids"), F.count_distinct(owner).alias("duplicate_alert_customers"))
+    impossible_ids = alerts.where(impossible).agg(F.count_distinct(F.struct("alert_id")).alias("impossible_alert_times"))
+    counts = _raw_counts(by_txn).select("duplicate_txn_ids", "invalid_customer_txns")
+    return _one_row(counts, doubled, impossible_ids)
+
+
 def evidence_metrics(transactions: DataFrame, alerts: DataFrame, transactions_raw: DataFrame, alerts_raw: DataFrame, customers: DataFrame) -> DataFrame:
-    """One row with the eleven figures of the evidence pack."""
+    """One row with the eleven figures of the evidence pack; each table is passed over once, the alerts twice."""
     from ..functions import rules
 
     clean = transactions.agg(
@@ -91,17 +129,20 @@ def evidence_metrics(transactions: DataFrame, alerts: DataFrame, transactions_ra
         F.count(F.when(rules.is_settled(), 1)).alias("settled_transactions"),
         F.count(F.when(rules.is_suspicious(), 1)).alias("suspicious_transactions"),
     )
+    raw_alerts = _alert_counts(alerts_raw).agg(
+        F.count(F.when(F.col("n_alerts") > 1, 1)).alias("duplicate_alert_txn_ids"), F.coalesce(F.sum("n_alerts"), F.lit(0)).alias("raw_alert_rows")
+    )
     row = _one_row(
         clean,
         _count(alerts, "alert_count"),
         _count(alert_ops.missing_alerts(transactions, alerts), "missing_alerts"),
-        _count(duplicate_keys(transactions_raw, "txn_id"), "duplicate_txn_ids"),
-        _count(duplicate_keys(alerts_raw, "txn_id"), "duplicate_alert_txn_ids"),
-        _count(orphan_customers(transactions_raw, customers).select("txn_id").distinct(), "invalid_customer_txns"),
-        _count(transactions_raw, "raw_transaction_rows"),
-        _count(alerts_raw, "raw_alert_rows"),
-    )
-    return row.withColumn("fraud_rate_pct", rules.percent(F.col("alert_count"), F.col("settled_transactions")))
+        _raw_counts(raw_by_txn(transactions_raw, customers)),
+        raw_alerts,
+    ).withColumn("fraud_rate_pct", rules.percent(F.col("alert_count"), F.col("settled_transactions")))
+    return row.select(
+        "total_transactions", "settled_transactions", "suspicious_transactions", "alert_count", "missing_alerts", "duplicate_txn_ids",
+        "duplicate_alert_txn_ids", "invalid_customer_txns", "raw_transaction_rows", "raw_alert_rows", "fraud_rate_pct",
+    )
 
 
 def checks(*parts: tuple[str, DataFrame, str, float | None, float | None]) -> DataFrame:

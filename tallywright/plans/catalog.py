@@ -98,7 +98,10 @@ class _Bank:
 
 @_query
 def load_tables(spark, sf_dir):
-    T.register(T.bank_tables(spark, sf_dir))
+    """The six tables written with their declared types, loaded from their files and asked by SQL."""
+    folder = new_path(spark, "bank")
+    T.save_tables(T.bank_tables(spark, sf_dir), folder)
+    T.load_tables(spark, folder)
     return spark.sql("SELECT channel, status, count(*) AS n, count(customer_id) AS n_owned FROM transactions_raw GROUP BY channel, status")
 
 
@@ -342,12 +345,14 @@ def duplicate_alert_txn_ids(spark, sf_dir):
 @_query
 def quality_summary(spark, sf_dir):
     b = _Bank(spark, sf_dir)
-    return L.quality_summary(b.txns_raw, b.alerts_raw, b.customers, T.BOOK_START)
+    raw = materialize(b.txns_raw.select("txn_id", "customer_id", "txn_ts", "amount_inr"), "raw")
+    return L.quality_summary(raw, b.alerts_raw, b.customers, T.BOOK_START)
 
 
 def _evidence(spark, sf_dir):
     b = _Bank(spark, sf_dir)
-    return L.evidence_metrics(b.txns, b.alerts, b.txns_raw, b.alerts_raw, b.customers)
+    raw = materialize(b.txns_raw.select("txn_id", "customer_id", "txn_ts", "amount_inr"), "raw")
+    return L.evidence_metrics(b.txns, b.alert_ids, raw, b.alerts_raw, b.customers)
 
 
 @_query
@@ -363,6 +368,9 @@ def dataset_checks(spark, sf_dir):
     crypto = crypto.where((F.col("txn_month") == T.LEAK_MONTH) & (F.col("txn_category") == "CRYPTO"))
     lowest = M.lowest_rate_month(_rates(spark, sf_dir).where("settled > 0")).select(F.when(F.col("month") == T.LEAK_MONTH, 1).otherwise(0).alias("n"))
     top = M.top_suspicious_channel(b.settled).select(F.when(F.col("channel") == "WIRE", 1).otherwise(0).alias("n"))
+    off = lambda found, planted: n(found).crossJoin(F.broadcast(n(planted).withColumnRenamed("n", "planted"))).select((F.col("n") - F.col("planted")).alias("n"))
+    wrong_owner = (F.col("txn_id") % 53 == 7) | (F.col("txn_id") % 71 == 11)
+    both_ways = L.id_set_diff(A.missing_alerts_left_join(b.settled, b.alerts).select("txn_id"), b.missing_ids.select("txn_id"))
     return L.checks(
         ("customers", n(b.customers), "n", 1, None),
         ("transactions", n(b.txns), "n", 1, None),
@@ -370,6 +378,9 @@ def dataset_checks(spark, sf_dir):
         ("leak month crypto alerts", n(crypto), "n", None, 0),
         ("lowest month", lowest, "n", 1, 1),
         ("top channel", top, "n", 1, 1),
+        ("duplicate ids beyond the planted", off(L.duplicate_keys(b.txns_raw, "txn_id"), b.txns.where("txn_id % 97 = 5")), "n", 0, 0),
+        ("invalid customers beyond the planted", off(L.orphan_customers(b.txns_raw, b.customers).select("txn_id").distinct(), b.txns.where(wrong_owner)), "n", 0, 0),
+        ("anti join and left join differ", n(both_ways.where("verdict <> 'MATCHED'")), "n", 0, 0),
     )
 
 
@@ -437,7 +448,17 @@ def grade_missing_alerts(spark, sf_dir):
     b = _Bank(spark, sf_dir)
     leaked = b.missing_ids.where((F.col("month") == T.LEAK_MONTH) & (F.col("category") == "CRYPTO"))
     priority = leaked.orderBy("txn_id").limit(8).select(F.col("txn_id").alias("id"))
-    return _grades(G.grade_missing_alerts(_submitted_sets(b), _expected_set(b), priority))
+    graded = _grades(G.grade_missing_alerts(_submitted_sets(b), _expected_set(b), priority))
+    return G.missing_alerts_feedback(graded, G.grade_id_sets(_submitted_sets(b), _expected_set(b)))
+
+
+@_query
+def grade_without_column(spark, sf_dir):
+    """Submissions whose result set names its ids otherwise: all are failed, and told why."""
+    b = _Bank(spark, sf_dir)
+    results, found = G.submitted_ids(_submitted_sets(b).withColumnRenamed("id", "order_no"), "txn_id")
+    graded = G.grading_feedback(G.grade_id_sets(results, _expected_set(b)), "txn_id", has_column=found)
+    return graded.select("sub_id", "matched", "expected", "passed", "feedback")
 
 
 @_query
@@ -448,8 +469,8 @@ def grade_evidence(spark, sf_dir):
         "sub_id", "total_transactions", "suspicious_transactions", "duplicate_txn_ids", (F.col("missing_alerts") + s % 2).alias("missing_alerts"),
         F.when(s == 9, None).otherwise(F.round(F.col("fraud_rate_pct") + s * 5 / 100, 2)).alias("fraud_rate_pct"),
     )
-    graded = G.grade_evidence(rows, truth)
-    return graded.select("sub_id", F.col("n_misses").cast("bigint").alias("n_misses"), F.array_join("misses", ",").alias("misses"), "passed")
+    graded = G.evidence_feedback(G.grade_evidence(rows, truth))
+    return graded.select("sub_id", F.col("n_misses").cast("bigint").alias("n_misses"), F.array_join("misses", ",").alias("misses"), "passed", "feedback")
 
 
 @_query
@@ -465,8 +486,8 @@ TEXT_GROUPS = (("the", "que"), ("und",), ("license", "@"), ("of",))
 @_query
 def grade_explanation(spark, sf_dir):
     docs = T.read_star(spark, sf_dir, "documents")
-    graded = G.grade_explanation(docs, "text", TEXT_GROUPS)
-    return graded.select("doc_id", F.col("hits").cast("bigint").alias("hits"), "passed")
+    graded = G.explanation_feedback(G.grade_explanation(docs, "text", TEXT_GROUPS))
+    return graded.select("doc_id", F.col("hits").cast("bigint").alias("hits"), "passed", "feedback")
 
 
 VIVA_WORDS = {"user": ("the", "que"), "assistant": ("und", "of")}
@@ -475,7 +496,8 @@ VIVA_WORDS = {"user": ("the", "que"), "assistant": ("und", "of")}
 @_query
 def grade_viva(spark, sf_dir):
     turns = T.read_star(spark, sf_dir, "conversations")
-    return G.grade_viva(turns, "role", "text", VIVA_WORDS, ("la", "die")).select("conv_id", "turn", "passed")
+    graded = G.viva_feedback(G.grade_viva(turns, "role", "text", VIVA_WORDS, ("la", "die")))
+    return graded.select("conv_id", "turn", "passed", "feedback")
 
 
 @_query

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from ..operators import grading as G
 from ..operators.grading import EVIDENCE
 from ..sources import tables as T
 from .catalog import TEXT_GROUPS, VIVA_WORDS
@@ -196,6 +197,9 @@ _BODIES = {
     "evidence_metrics": "SELECT * FROM figures",
     "dataset_checks": "SELECT *, coalesce((lower IS NULL OR actual >= lower) AND (upper IS NULL OR actual <= upper), false) AS passed FROM ("
     + " UNION ALL ".join((
+        _CHECK("duplicate ids beyond the planted", "SELECT (SELECT count(*) FROM dup_txn) - (SELECT count(*) FROM txn WHERE txn_id % 97 = 5)", 0, 0),
+        _CHECK("invalid customers beyond the planted", "SELECT (SELECT count(DISTINCT txn_id) FROM orphan) - (SELECT count(*) FROM txn WHERE txn_id % 53 = 7 OR txn_id % 71 = 11)", 0, 0),
+        _CHECK("anti join and left join differ", "SELECT count(*) FROM miss FULL JOIN (SELECT s.txn_id FROM susp s LEFT JOIN alert a ON a.txn_id = s.txn_id WHERE a.txn_id IS NULL) l ON l.txn_id = miss.txn_id WHERE l.txn_id IS NULL OR miss.txn_id IS NULL", 0, 0),
         _CHECK("customers", "SELECT count(*) FROM cust", 1, "NULL"), _CHECK("transactions", "SELECT count(*) FROM txn", 1, "NULL"),
         _CHECK("alerts", "SELECT count(*) FROM alert", 400, 900),
         _CHECK("leak month crypto alerts", f"SELECT count(*) FROM alert JOIN txn USING (txn_id) WHERE month = '{LEAK}' AND category = 'CRYPTO'", "NULL", 0),
@@ -264,4 +268,18 @@ _BODIES = {
         USING (user_id)""",
 }
 
+# The graders' answers stand beside the grades.
+_PERCENT = "CASE WHEN {0}expected > 0 THEN (200 * {0}matched + {0}expected) // (2 * {0}expected) ELSE 0 END".format
+_BODIES["grade_missing_alerts"] = f"""SELECT m.*, CASE
+  WHEN NOT g.passed THEN '{G.BAD_SET} Matched ' || g.matched || '/' || g.expected || ' (' || ({_PERCENT('g.')})::BIGINT || '% recall).'
+  WHEN NOT m.passed THEN '{G.NO_PRIORITY}' ELSE '{G.GOOD_LEAK}' || g.matched || ' of ' || g.expected || ' missing alerts recovered.' END AS feedback
+  FROM ({_BODIES["grade_missing_alerts"]}) m JOIN grade g USING (sub_id)"""
+_BODIES["grade_without_column"] = f"""SELECT s AS sub_id, 0::BIGINT AS matched, (SELECT count(*) FROM miss) AS expected, false AS passed,
+  '{G.NO_COLUMN.format("txn_id")}' AS feedback FROM range(10) t(s)"""
+_BODIES["grade_evidence"] = f"""SELECT *, CASE WHEN passed THEN '{G.GOOD_EVIDENCE}' ELSE 'Off on ' || n_misses || CASE WHEN n_misses = 1 THEN ' figure (' ELSE ' figures (' END
+  || array_to_string(list_transform(string_split(misses, ','), lambda x: {_case("x", G.EVIDENCE_NAMES)}), ', ') || '). {G.AFTER_MISSES}' END AS feedback
+  FROM ({_BODIES["grade_evidence"]})"""
+for _name, _good, _bad in (("grade_explanation", G.GOOD_EXPLANATION, G.BAD_EXPLANATION), ("grade_viva", G.GOOD_VIVA, G.BAD_VIVA)):
+    _BODIES[_name] = f"SELECT *, CASE WHEN passed THEN '{_good}' ELSE '{_bad}' END AS feedback FROM ({_BODIES[_name]})"
+
 ORACLE_SQL = {name: PRELUDE + body for name, body in _BODIES.items()}

@@ -58,6 +58,14 @@ def months(spark: SparkSession, first: str = SPINE[0], last: str = SPINE[1]) ->
     return spark.range(1).select(F.explode(days).alias("day")).select(F.date_format("day", "yyyy-MM").alias("month"))
 
 
+def save_tables(tables: dict[str, DataFrame], directory: str) -> None:
+    """Write tables where `load_tables` finds them, with their declared columns and types; a column that is not there is null."""
+    for name, df in tables.items():
+        fields = T.StructType.fromDDL(SCHEMAS[name])
+        column = lambda f, have=frozenset(df.columns): (F.col(f.name) if f.name in have else F.lit(None)).cast(f.dataType).alias(f.name)
+        df.select(*[column(f) for f in fields]).write.parquet(f"{directory}/{name}.parquet")
+
+
 # --- the bank tables as views of the star schema ---------------------------------------------
 
 CHANNELS = {"1-URGENT": "WIRE", "2-HIGH": "CARD", "3-MEDIUM": "UPI", "4-NOT SPECIFIED": "NEFT", "5-LOW": "IMPS"}

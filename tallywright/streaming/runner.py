@@ -7,13 +7,14 @@ from pyspark.sql import DataFrame, SparkSession
 from ..sources.scratch import new_path
 
 
-def land(df: DataFrame, *closing: DataFrame) -> DataFrame:
-    """Write `df`, and rows that close its time, to a landing folder and open it as a stream."""
+def land(df: DataFrame, *closing: DataFrame, files_per_batch: int | None = None) -> DataFrame:
+    """Write `df`, and then other rows such as those that close its time, to a landing folder and open it as a stream."""
     path = new_path(df.sparkSession, "landing")
     df.write.parquet(path)
     for rows in closing:
         rows.write.mode("append").parquet(path)
-    return df.sparkSession.readStream.schema(df.schema).parquet(path)
+    reader = df.sparkSession.readStream.schema(df.schema)
+    return (reader.option("maxFilesPerTrigger", files_per_batch) if files_per_batch else reader).parquet(path)
 
 
 def drain(stream: DataFrame, name: str) -> DataFrame:

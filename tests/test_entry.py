@@ -23,3 +23,11 @@ def test_works_without_the_training_data_operators(tmp_path):
     code = "import __spark_entry__ as e; q = e.queries(); assert len(q) > 50 and set(q) == set(e.oracle_sql()); assert 'pipeline' not in q"
     done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env={"PATH": "/usr/bin:/bin"}, capture_output=True, text=True)
     assert done.returncode == 0, done.stderr
+
+
+def test_works_without_a_library_of_the_training_data_operators(tmp_path):
+    (tmp_path / "zstandard.py").write_text("raise ImportError('not here')")
+    code = "import __spark_entry__ as e; q = e.queries(); assert len(q) > 50 and set(q) == set(e.oracle_sql()); assert 'pipeline' not in q"
+    env = {"PATH": "/usr/bin:/bin", "PYTHONPATH": f"{tmp_path}:{ROOT}"}
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True)
+    assert done.returncode == 0 and "without the training-data operators" in done.stderr, done.stderr

@@ -43,6 +43,8 @@ def test_running_ids_follow_the_key_across_ranges(spark):
     rows = A.alert_ids(df).orderBy("txn_id").collect()
     assert [r.alert_id for r in rows] == [f"AL{i:06d}" for i in range(1, 1001)]
     assert A.alert_ids(df.limit(0)).count() == 0
+    numbers = A.number_rows(df, "txn_id", "n", rows_per_range=70).orderBy("txn_id").collect()
+    assert [r.n for r in numbers] == list(range(1, 1001))
 
 
 def test_landing_defects_and_cleaning(spark):
@@ -52,10 +54,49 @@ def test_landing_defects_and_cleaning(spark):
     assert raw.count() == 8
     assert values(L.orphan_customers(raw, customers), "txn_id", "reason") == [("a", "NULL"), ("b", "GHOST")]
     assert values(L.duplicate_keys(raw, "txn_id"), "txn_id") == [("a",), ("c",)]
+    assert values(L.orphan_customers(raw, customers, broadcast_limit=0), "txn_id", "reason") == [("a", "NULL"), ("b", "GHOST")]
     clean = L.clean_transactions(raw, customers)
     assert clean.count() == 6 and values(clean.where("verdict = 'QUARANTINE'"), "txn_id") == [("a",), ("b",)]
     alerts = spark.createDataFrame([(1, "c"), (2, "c"), (3, "b"), (4, "b"), (5, "d")], "alert_id int, txn_id string")
     assert values(L.duplicate_alert_customers(alerts, raw, customers), "customer_id") == [("C1",)]
+    timed = alerts.withColumn("alert_ts", F.when(F.col("alert_id") == 5, F.lit(datetime(2025, 1, 1))).otherwise(F.lit(datetime(2027, 1, 1))))
+    summary = L.quality_summary(raw, timed, customers, "2026-01-01")
+    assert summary.first().asDict() == {
+        "duplicate_txn_ids": 2, "invalid_customer_txns": 2, "duplicate_alert_txn_ids": 2, "duplicate_alert_customers": 1, "impossible_alert_times": 1,
+    }
+
+
+def _scans(df):
+    df.collect()
+    return df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0].count("FileScan")
+
+
+def test_summaries_pass_over_the_tables_once(spark):
+    from tallywright.plans import catalog
+
+    sf = "/root/testdata/sf0.001"
+    assert _scans(catalog.QUERIES["quality_summary"](spark, sf)) <= 5 and _scans(catalog.QUERIES["evidence_metrics"](spark, sf)) <= 12
+    assert _scans(catalog.QUERIES["clean_transactions"](spark, sf)) <= 7
+
+
+def test_scratch_folder_is_shared_or_refused(spark, tmp_path):
+    from types import SimpleNamespace
+
+    from tallywright.sources import scratch
+
+    unset = SimpleNamespace(get=lambda key, default: default)
+    cluster = SimpleNamespace(conf=unset, sparkContext=SimpleNamespace(master="spark://host:7077", applicationId="a"))
+    with pytest.raises(RuntimeError):
+        scratch.shared_folder(cluster)
+    named = SimpleNamespace(conf=SimpleNamespace(get=lambda key, default: "hdfs://x/y/"), sparkContext=cluster.sparkContext)
+    assert scratch.shared_folder(named) == "hdfs://x/y"
+    with scratch.scratch_scope() as finished:
+        inner = scratch.materialize(spark.range(3), "inner")
+        kept = finished(inner.where("id > 0"), "kept")
+        path = inner.inputFiles()[0].removeprefix("file://")
+    import os
+
+    assert not os.path.exists(path) and kept.count() == 2
 
 
 def test_impossible_times_compare_instants(spark):
@@ -98,6 +139,14 @@ def test_id_set_grades(spark):
     priority = spark.createDataFrame([(f"t{i:02d}",) for i in range(6)], "id string")
     strict = {r.sub_id: r for r in G.grade_missing_alerts(spark.createDataFrame(rows, SUB), expected, priority, subs).collect()}
     assert (strict[1].priority_hits, strict[1].passed, strict[2].priority_hits) == (6, True, 3)
+    said = {r.sub_id: r.feedback for r in G.missing_alerts_feedback(G.grade_missing_alerts(spark.createDataFrame(rows, SUB), expected, priority, subs), G.grade_id_sets(spark.createDataFrame(rows, SUB), expected, subs)).collect()}
+    assert said[1] == "Result set matches the leak. 20 of 20 missing alerts recovered." and said[2].endswith("Matched 17/20 (85% recall).")
+    results = spark.createDataFrame([(1, "q", "t00")], "sub_id int, challenge_id string, Txn_ID string")
+    ids, found = G.submitted_ids(results, "txn_id")
+    assert found and values(ids, "id") == [("t00",)]
+    ids, found = G.submitted_ids(results, "customer_id")
+    failed = G.grading_feedback(G.grade_id_sets(ids, expected), "customer_id", has_column=found).first()
+    assert not found and (failed.matched, failed.passed, failed.feedback) == (0, False, "Result must include a customer_id column.")
     assert G.id_column(["A", "Txn_ID"], "txn_id") == "Txn_ID" and G.id_column(["A"], "txn_id") is None
 
 
@@ -106,6 +155,7 @@ def test_figures_and_texts(spark):
     rows = [(1, 10, 5, 13.7, 2, 1), (2, 10, 5, float("nan"), None, 1), (3, 11, 5, 13.8, 2, 1)]
     got = {r.i: r for r in G.grade_evidence(spark.createDataFrame(rows, "i int, total_transactions long, suspicious_transactions long, fraud_rate_pct double, missing_alerts long, duplicate_txn_ids long"), truth).collect()}
     assert got[1].passed and got[2].misses == ["fraud_rate_pct", "missing_alerts"] and got[3].misses == ["total_transactions", "fraud_rate_pct"]
+    assert G.evidence_feedback(spark.createDataFrame([(1, ["fraud_rate_pct"], False), (2, ["fraud_rate_pct", "missing_alerts"], False)], "n_misses int, misses array<string>, passed boolean")).first().feedback == "Off on 1 figure (fraudRatePct). Re-query the warehouse and the raw landing tables."
     exact = spark.createDataFrame([(" July\n",), ("JULY",), ("june",), (None,)], "a string")
     assert [r.passed for r in G.grade_exact(exact, "a", F.lit("july ")).collect()] == [True, True, False, False]
     long = "In July the pipeline dropped CRYPTO alerts, and duplicate rows hid it. " + "x" * 30

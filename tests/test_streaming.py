@@ -53,3 +53,9 @@ def test_progress_folds_across_batches(spark):
     subs = subs_of(spark, rows).select("user_id", "challenge_id", "passed", "seq")
     out = drain(S.stream_progress(land(subs), T.STAGES), "p").collect()
     assert {r.user_id: (r.completed_stages, r.reward_unlocked) for r in out} == fold(rows)
+    parts = [subs.where(f"seq >= '{k * 100:09d}' and seq < '{(k + 1) * 100:09d}'").coalesce(1) for k in range(4)]
+    out = drain(S.stream_progress(land(*parts, files_per_batch=1), T.STAGES), "p").collect()
+    last = {}
+    for r in out:
+        last[r.user_id] = max(last.get(r.user_id, (0, 0, 0)), (r.seen, r.completed_stages, r.reward_unlocked))
+    assert len(out) > len(last) and {u: x[1:] for u, x in last.items()} == fold(rows)  # a row for each user and batch
