@@ -8,27 +8,27 @@ from tallywright.llm import bpe, common, decontam, quality, registry, secrets, s
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep."""
+    """Documents that the quality rules keep. Null and short texts go; repeated rows stay or go together; an empty table stays empty."""
     return quality.keep_good(docs)
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group."""
+    """One document of each near-duplicate group: the smallest id. Rows without an id stay; of repeated rows one stays."""
     return simhash.keep_first(docs)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that share no ten-word window with the benchmark."""
+    """Documents that share no ten-word window with the benchmark. Null texts stay; repeated rows stay or go together."""
     return decontam.drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The same documents with their secrets replaced by marks; n_chars follows the text."""
+    """The same documents with their secrets replaced by marks; n_chars follows the text. No row goes; null texts stay null."""
     return secrets.redact_documents(docs)
 
 
 def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of each text, and digests of them and of the decoded text."""
+    """Token ids of each text, and digests of them and of the decoded text. Null text counts as empty; repeated rows stay."""
     return registry.bpe_rows(bpe.decode(bpe.encode(docs)))
 
 

@@ -156,7 +156,10 @@ def _covered(spans: Column) -> Column:
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", **names) -> DataFrame:
-    """The rows of `docs`, all columns, that share no window with an item."""
+    """The rows of `docs`, all columns, that share no window with an item.
+
+    Null and empty texts stay; repeated rows stay or go together; without items all rows stay; an empty table stays empty.
+    """
     bad = decontaminate(docs, items, id_col, text_col, **names).where("contaminated").select("doc_id", "row_hash").distinct()
     inner = [f"_{i}" for i in range(len(docs.columns))]
     id_, text = (F.col(inner[docs.columns.index(c)]) for c in (id_col, text_col))

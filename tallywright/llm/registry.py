@@ -30,29 +30,35 @@ def bpe_rows(round_trip: DataFrame) -> DataFrame:
 
 
 def op1_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents, encoded and decoded: the digests of both. Null text counts as empty; repeated rows stay; an empty table is empty."""
     return bpe_digests(bpe.decode(bpe.encode(_read(spark, sf_dir, "documents"))))
 
 
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Slot and shard of each document by its id. Null ids share one slot; repeated rows stay."""
     return sharding.assign_shards(_read(spark, sf_dir, "documents"))
 
 
 def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of each page, by the templates induced from all pages. Null HTML has the text ''; repeated rows stay."""
     found = html.extract_text(_read(spark, sf_dir, "pages"))
     return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
 
 
 def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Messages, calls and results of all conversations, linked, ordered, checked and serialised. Repeated turns stay."""
     return chat.link_tool_calls(_read(spark, sf_dir, "conversations"))
 
 
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licenses that each document holds. Null text holds none; repeated rows stay."""
     found = license.scan_licenses(_read(spark, sf_dir, "documents"))
     names = F.transform("found", lambda x: x["license"])
     return found.select("doc_id", F.size("found").cast("long").alias("n_licenses"), F.array_join(names, ",").alias("licenses"))
 
 
 def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of each document. Null text has fingerprint zero, linked like any other; repeated rows stay."""
     found = simhash.near_duplicates(_read(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
@@ -62,6 +68,7 @@ def _joined(spans: str):
 
 
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and spans of the secrets of each document. Null text has none; repeated rows stay."""
     count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long")
     found = secrets.scan_secrets(_read(spark, sf_dir, "documents"))
     return found.select(
@@ -73,12 +80,14 @@ def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_warc_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The records of all pages, as read back from the bundles written. Null HTML is an empty payload; repeated rows stay."""
     _, records = warc.archive(_read(spark, sf_dir, "pages"))
     id_type = records.schema["page_id"].dataType
     return records.select("page_id", "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast(id_type).alias("refers_to"))
 
 
 def op9_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of each document that benchmark windows cover. Null text has no words; repeated rows stay."""
     found = decontam.decontaminate(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
     return found.select(
         "doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"),
@@ -87,6 +96,7 @@ def op9_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_host_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Metrics and verdict of each document. Null text has no words and fails; a null source is a host; repeated rows stay."""
     found = quality.quality_rules(_read(spark, sf_dir, "documents"))
     return found.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"

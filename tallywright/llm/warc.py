@@ -12,7 +12,7 @@ import hashlib
 import struct
 import uuid
 from bisect import bisect_right
-from urllib.parse import quote
+from urllib.parse import quote, unquote
 
 import pyarrow as pa
 import zstandard
@@ -46,7 +46,8 @@ def sha1_base32(payload: bytes) -> str:
 
 def record(page_id, url: str | None, payload: bytes, refers_to) -> tuple[str, bytes]:
     """(record id, WARC record): a response with its HTTP block, or a revisit of the page `refers_to` without payload."""
-    name = f"<urn:page:{page_id}:{sha1_base32(payload)}>"
+    urn = lambda i: f"<urn:page:{quote(str(i), safe='', errors='surrogatepass')}:{sha1_base32(payload)}>"
+    name = urn(page_id)
     kind = "response" if refers_to is None else "revisit"
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = http + (payload if refers_to is None else b"")
@@ -59,7 +60,7 @@ def record(page_id, url: str | None, payload: bytes, refers_to) -> tuple[str, by
     if refers_to is not None:
         head += [
             "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest",
-            f"WARC-Refers-To: <urn:page:{refers_to}:{sha1_base32(payload)}>",
+            f"WARC-Refers-To: {urn(refers_to)}",
         ]
     return name, "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
@@ -165,6 +166,7 @@ def revisits(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     """(page_id, digest, refers_to) of the pages that repeat the payload of a page with a larger id."""
     rows = pages.where(F.octet_length(F.coalesce("html", F.lit(""))) >= min_bytes).select("page_id", _digest(F.col("html")).alias("digest"))
     groups = rows.groupBy("digest").agg(F.max("page_id").alias("refers_to"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    groups, _ = broadcast_if_small(materialize(groups, "payloads"))  # else two plain sides, of which a frequent payload's is split
     return rows.distinct().join(groups, "digest").where("page_id is null and refers_to is not null or page_id < refers_to")
 
 
@@ -235,7 +237,7 @@ def read_bundles(index: DataFrame, with_payload: bool = False) -> DataFrame:
                 refers_to = headers.get("WARC-Refers-To")
                 found.append((
                     headers["WARC-Record-ID"], headers["WARC-Type"], int(headers["X-Payload-Length"]),
-                    headers["WARC-Payload-Digest"].removeprefix("sha1:"), refers_to and refers_to.split(":")[2],
+                    headers["WARC-Payload-Digest"].removeprefix("sha1:"), refers_to and unquote(refers_to.split(":")[2], errors="surrogatepass"),
                     payload.decode("utf-8", "surrogatepass") if with_payload else None,
                 ))
             kinds = [pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.string()]

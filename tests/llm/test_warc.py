@@ -63,3 +63,14 @@ def test_given_pages(spark):
     rows = [tuple(r) for r in spark.read.parquet(f"{sf}/pages.parquet").select("page_id", "url", "html").collect()]
     got = sorted((tuple(r) for r in registry.op8_warc_bundles(spark, sf).collect()), key=str)
     assert got == brute(rows)
+
+
+def test_ids_of_any_text_and_very_long_pages(spark, tmp_path):
+    ids = ["a:b", "c\r\nX: y", "é %41", "", None, "z" * 300]
+    rows = [(i, "http://x/", "same") for i in ids] + [("long", None, "ü<b>" * 1_000_000)]
+    df = spark.createDataFrame(rows, "page_id string, url string, html string")
+    _, records = warc.archive(df, f"file://{tmp_path}/bundles")
+    got = {r.page_id: (r.record_type, r.refers_to, r.payload_bytes) for r in records.collect()}
+    top = max(i for i in ids if i is not None)
+    assert got.pop("long") == ("response", None, 5_000_000)
+    assert got == {i: ("response", None, 4) if i == top else ("revisit", top, 4) for i in ids}
