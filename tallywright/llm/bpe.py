@@ -190,6 +190,10 @@ class WordBpe:
         with open(path or vocabulary_path(), encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
+        steps = lambda of, inner: [x["type"] for x in (of or {}).get(inner, ())]
+        known = (steps(spec["normalizer"], "normalizers"), steps(spec["pre_tokenizer"], "pretokenizers"), model["type"], spec["decoder"])
+        if known != (["NFC", "Replace", "Lowercase"], ["Split", "ByteLevel"], "BPE", None):
+            raise ValueError(f"a vocabulary of other steps than are built here: {known}")
         vocab: dict[str, int] = model["vocab"]
         suffix: str = model["end_of_word_suffix"] or ""
         merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]

@@ -84,3 +84,16 @@ def test_parts_of_a_batch_decode_alike(own):
     whole = own.decode_batch(lists).to_pylist()
     assert own.decode_batch(lists.slice(2, 5)).to_pylist() == whole[2:7] and own.decode_batch(lists.slice(3, 0)).to_pylist() == []
     assert whole[-1] == "<|startoftext|> !" and whole[-2] == ""
+
+
+def test_a_vocabulary_of_other_steps_is_refused(tmp_path):
+    import json
+
+    import pytest
+
+    with open(bpe.vocabulary_path(), encoding="utf-8") as f:
+        spec = json.load(f)
+    spec["normalizer"] = {"type": "Sequence", "normalizers": [{"type": "NFKC"}]}
+    (tmp_path / "other.json").write_text(json.dumps(spec))
+    with pytest.raises(ValueError, match="other steps"):
+        bpe.WordBpe(f"{tmp_path}/other.json")
