@@ -201,7 +201,9 @@ class WordBpe:
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         known = {i: t for t, i in vocab.items()} | {i: t for t, i in self.special.items()}
         self.tokens = pa.array([known.get(i) for i in range(max(known) + 1)], pa.string())
-        self.split = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
+        self.pattern: str = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
+        self.split = regex.compile(self.pattern)
+        self.settled: set[str] = set()
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")")
         letters = _byte_symbols()
         self.inner = np.array([vocab[x] for x in letters], np.int64)
@@ -219,12 +221,29 @@ class WordBpe:
         """NFC and lower case, letter by letter (a sigma is the same anywhere)."""
         return unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
 
+    def is_settled(self, text: str) -> bool:
+        """Whether all characters were assigned by Unicode 3.2: tables of any later version agree on those."""
+        new = set(text) - self.settled
+        found = {c for c in new if unicodedata.ucd_3_2_0.category(c) != "Cn"}
+        self.settled |= found
+        return len(found) == len(new)
+
+    def words_by_library(self, text: str) -> list[str]:
+        """Words of a text with characters on which Unicode tables of different versions differ: the tokenizer library's tables count."""
+        from tokenizers import Regex, normalizers, pre_tokenizers
+
+        steps = normalizers.Sequence([normalizers.NFC(), normalizers.Replace(Regex(r"\s+"), " "), normalizers.Lowercase()])
+        cut = pre_tokenizers.Split(Regex(self.pattern), "removed", invert=True)
+        return [word for word, _ in cut.pre_tokenize_str(steps.normalize_str(text))]
+
     def runs(self, text: str | None) -> list:
-        """The text's runs in order; a special token is a tuple."""
+        """The text's runs in order; a special token is a tuple, and so is a word that was cut by the library."""
         out: list = []
-        for part in self.cut.split(text) if text and "<|" in text else [text or ""]:
+        for part in self.cut.split(text) if text and any(s in text for s in self.special) else [text or ""]:
             if part in self.special:
                 out.append((part,))
+            elif not part.isascii() and not self.is_settled(part):
+                out += [("", word) for word in self.words_by_library(part)]
             else:
                 part = self.normalize(part)
                 # Python parts words at the separators \x1c to \x1f too, which are symbols here.
@@ -236,7 +255,7 @@ class WordBpe:
         words, counts = {}, []
         order = []
         for run in runs:
-            parts = self.split.findall(run)
+            parts = [run[1]] if isinstance(run, tuple) else self.split.findall(run)
             counts.append(len(parts))
             order += [words.setdefault(p, len(words)) for p in parts]
         raw = [w.encode("utf-8", "surrogatepass") for w in words]
@@ -264,7 +283,7 @@ class WordBpe:
             split = [self.runs(t) for t in part]
             if len(self.known) > CACHE_RUNS:
                 self._forget()
-            if new := sorted({r for runs in split for r in runs if r not in self.known}):
+            if new := sorted({r for runs in split for r in runs if r not in self.known}, key=str):
                 self.learn(new)
             index = np.fromiter((self.known[r] for runs in split for r in runs), np.int64)
             sizes = self.size[index]
