@@ -19,6 +19,10 @@ WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WINDOW = 10
 GRAM = 5
 SPAN = WINDOW - GRAM + 1
+#: Windows of the items are broadcast while their text is under so many bytes.
+BROADCAST_BYTES = 32 << 20
+#: Beyond the broadcast limits a frequent passage is split over so many tasks.
+SALTS = 16
 
 
 def split_words(text: Column) -> Column:
@@ -102,7 +106,8 @@ def decontaminate(
     A null or empty text has no words and no hits; a null or empty item has no windows; an item with
     a null id still marks words, but is not listed. Repeated rows get equal results each. The kept
     hashes of the items are broadcast while there are at most `broadcast_limit`; beyond that the
-    documents' hashes are shuffled to them and the hits joined back to the documents.
+    documents' hashes are shuffled to them and the hits joined back to the documents. There, and beyond
+    BROADCAST_BYTES of the items' windows, a passage that many documents share is split over SALTS tasks.
     """
     items = pick(items, item_id=item_id_col, text=item_text_col)
     windows = materialize(_item_windows(items.select("item_id", split_words(F.col("text")).alias("words"))), "item-windows")
@@ -117,13 +122,16 @@ def decontaminate(
         hits = hits.join(kept, "h")
     else:
         found = docs.select("doc_id", "row_hash", F.explode(prints).alias("f")).select("doc_id", "row_hash", "f.*")
-        found = found.join(kept, "h").select("row_hash", F.col("doc_id").alias("hit_id"), "first", "last", "n").distinct()
+        found = _split_join(found, kept, "h").select("row_hash", F.col("doc_id").alias("hit_id"), "first", "last", "n").distinct()
         texts = docs.dropDuplicates(["doc_id", "row_hash"])
         hits = texts.join(found, (texts["doc_id"].eqNullSafe(found["hit_id"])) & (texts["row_hash"] == found["row_hash"]))
         hits = hits.select("doc_id", texts["row_hash"], "words", "first", "last", "n")
     hits = hits.select("doc_id", "row_hash", "words", "n", F.explode(F.sequence("first", "last")).alias("at"))
     hits = hits.select("doc_id", "row_hash", "at", "n", _window_text(F.col("at"), F.col("n")).alias("window"))
-    exact = hits.join(windows.select("window", "item_id", F.col("n").alias("item_n")), "window").where("n = item_n")
+    sides = hits, windows.select("window", "item_id", F.col("n").alias("item_n"))
+    weight = windows.agg(F.sum(F.octet_length("window").cast("long"))).first()[0] or 0
+    fits = small and weight <= BROADCAST_BYTES
+    exact = (sides[0].join(F.broadcast(sides[1]), "window") if fits else _split_join(*sides, "window")).where("n = item_n")
     per_doc = exact.groupBy("doc_id", "row_hash").agg(
         F.collect_set(F.struct(F.col("at"), (F.col("at") + F.col("n")).alias("end"))).alias("spans"),
         F.collect_set(F.col("item_id").cast("string")).alias("ids"),
@@ -141,6 +149,13 @@ def decontaminate(
     )
 
 
+def _split_join(hits: DataFrame, items: DataFrame, key: str) -> DataFrame:
+    """Join by `key`; the rows of one key go to SALTS tasks by their document, each with a copy of the item's rows."""
+    hits = hits.withColumn("salt", F.pmod("row_hash", F.lit(SALTS)).cast("int"))
+    items = items.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return hits.join(items, [key, "salt"]).drop("salt")
+
+
 def _covered(spans: Column) -> Column:
     """Length of the union of sorted spans (at, end)."""
     start = F.struct(F.lit(0).alias("total"), F.lit(0).alias("reach"))

@@ -63,6 +63,16 @@ def test_edges_both_join_paths(spark):
     assert sorted(str(r[0]) for r in kept.collect()) == sorted(str(x[0]) for x in brute(DOCS, ITEMS) if not x[-1])
 
 
+def test_a_passage_of_most_documents_and_a_very_long_text(spark):
+    passage = " ".join(ALPHA[:14])
+    long = " ".join(f"v{i % 977}x{i % 613}" for i in range(60_000))
+    docs = [(i, f"d{i} {passage} e{i}") for i in range(300)] + [(900, f"{long} {passage} {long}"), (901, long)]
+    items = [(1, passage), (2, f"{passage} and more"), (3, " ".join(long.split()[500:530]))]
+    sides = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    for limit in (1_000_000, 0):
+        assert digests(decontam.decontaminate(*sides, broadcast_limit=limit)) == brute(docs, items)
+
+
 def test_given_documents(spark):
     sf = "/root/testdata/sf0.001"
     docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
