@@ -25,7 +25,7 @@ MIN_CONTAINMENT = 0.8
 TEMPLATES = {
     "Apache-2.0 notice": "Licensed under the Apache License, Version 2.0.",
     "MIT notice": "Released under the MIT License.",
-    "GPL-3.0 notice": "This work is licensed under the GNU General Public License, version 3.",
+    "GPL-3.0 notice": "GNU General Public License, version 3",
     "CC-BY-NC-4.0 notice": "Licensed under CC BY-NC 4.0.",
     "Apache-2.0 header": (
         'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. '
@@ -49,14 +49,61 @@ TEMPLATES = {
         "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above "
         "copyright notice and this permission notice appear in all copies."
     ),
-    "GPL header": (
-        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free "
-        "Software Foundation, either version 3 of the License, or (at your option) any later version."
-    ),
+    "GPL header": "under the terms of the GNU General Public License as published by the Free Software Foundation",
+    "LGPL header": "under the terms of the GNU Lesser General Public License as published by the Free Software Foundation",
+    "AGPL header": "under the terms of the GNU Affero General Public License as published by the Free Software Foundation",
     "MPL-2.0 header": (
         "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can "
         "obtain one at https://mozilla.org/MPL/2.0/."
     ),
+    "MIT disclaimer": (
+        'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF '
+        "MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY "
+        "CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE "
+        "SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."
+    ),
+    "BSD disclaimer": (
+        'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, '
+        "THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR "
+        "CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES"
+    ),
+    "BSD-3-Clause endorsement": (
+        "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software "
+        "without specific prior written permission."
+    ),
+    "BSD notice": "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file.",
+    "MIT file notice": "Licensed under the MIT License. See LICENSE file in the project root for license information.",
+    "GPL-2.0 notice": "GNU General Public License, version 2",
+    "Zlib conditions": (
+        "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, "
+        "subject to the following restrictions"
+    ),
+    "BSL-1.0 permission": (
+        "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered "
+        'by this license (the "Software") to use, reproduce, display, distribute, execute, and transmit the Software'
+    ),
+    "Unlicense": (
+        "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute "
+        "this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."
+    ),
+    "EPL-2.0 notice": (
+        "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at "
+        "https://www.eclipse.org/legal/epl-2.0"
+    ),
+    "CC-BY-4.0 notice": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
+    "CC-BY-SA-4.0 notice": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
+    "CC-BY-NC-4.0 full notice": "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.",
+    "CC-BY-4.0 short notice": "Licensed under CC BY 4.0.",
+    "CC-BY-SA-4.0 short notice": "Licensed under CC BY-SA 4.0.",
+    "CC0-1.0 notice": "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work.",
+    "Apache-2.0 identifier": "SPDX-License-Identifier: Apache-2.0",
+    "GPL-2.0 identifier": "SPDX-License-Identifier: GPL-2.0",
+    "GPL-3.0 identifier": "SPDX-License-Identifier: GPL-3.0",
+    "LGPL-2.1 identifier": "SPDX-License-Identifier: LGPL-2.1",
+    "AGPL-3.0 identifier": "SPDX-License-Identifier: AGPL-3.0",
+    "MPL-2.0 identifier": "SPDX-License-Identifier: MPL-2.0",
+    "BSD-2-Clause identifier": "SPDX-License-Identifier: BSD-2-Clause",
+    "BSD-3-Clause identifier": "SPDX-License-Identifier: BSD-3-Clause",
 }
 
 

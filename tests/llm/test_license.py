@@ -42,6 +42,21 @@ def test_edges(spark):
     assert all(not r.found for r in lic.scan_licenses(df, templates={"short": "MIT License"}).collect())
 
 
+def test_licenses_of_one_family_are_told_apart(spark):
+    """Each template in a document of its own: itself, and those that it holds word by word."""
+    rows = list(enumerate(lic.TEMPLATES.values()))
+    got = {r.doc_id: [x.license for x in r.found] for r in lic.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    names, inside = list(lic.TEMPLATES), {"Apache-2.0 header": ["Apache-2.0 notice"]}
+    assert got == {i: sorted([names[i], *inside.get(names[i], [])]) for i, _ in rows}
+
+
+def test_very_long_text(spark):
+    long = " ".join(f"v{i % 977}x{i % 613}" for i in range(60_000))
+    df = spark.createDataFrame([(1, f"{long} {MIT} {long}"), (2, long)], "doc_id long, text string")
+    got = {r.doc_id: [(x.license, x.containment) for x in r.found] for r in lic.scan_licenses(df).collect()}
+    assert got == {1: [("MIT permission", 1.0)], 2: []}
+
+
 def test_given_documents(spark):
     sf = "/root/testdata/sf0.001"
     docs = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
