@@ -49,3 +49,19 @@ def test_given_documents_and_edges(spark, tmp_path):
     sharding.write_shards(df.select("doc_id", "shard"), f"{tmp_path}/out")
     back = spark.read.parquet(f"{tmp_path}/out")
     assert back.count() == 3 and set(back.columns) == {"doc_id", "shard", "_shard"}
+
+
+def test_written_shards_hold_every_row_where_the_table_says(spark, tmp_path):
+    """All given documents, and a key that holds half of the rows: its shard is written by several tasks."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    hot = spark.range(400).selectExpr("7L as doc_id", "concat('text ', id) as text")
+    rows = docs.unionByName(hot)
+    sharding.write_shards(rows, f"{tmp_path}/out")
+    back = spark.read.parquet(f"{tmp_path}/out")
+    assert sorted((r.doc_id, r.text) for r in back.collect()) == sorted((r.doc_id, r.text) for r in rows.collect())
+    want = {r.doc_id: r.shard for r in sharding.assign_shards(rows).collect()}
+    assert {(r.doc_id, r._shard) for r in back.collect()} == set(want.items())
+    from pyspark.sql import functions as F
+
+    files = back.where(back["_shard"] == want[7]).select(F.input_file_name().alias("f")).distinct().count()
+    assert 1 < files <= 8
