@@ -129,9 +129,9 @@ def _shingles(words: Column) -> Column:
 
 
 def _minhashes(hashes: Column) -> Column:
-    """Array of (band, low) and the shingle hash that is smallest in the band."""
+    """Array of (band, least), where least has the band's smallest value and the shingle hash that it is of."""
     one = lambda k: F.array_min(F.transform(hashes, lambda h: F.struct(F.xxhash64(h, F.lit(k)).alias("low"), h.alias("of"))))
-    return F.array(*[F.struct(F.lit(k).alias("band"), one(k)["low"].alias("low"), one(k)["of"].alias("of")) for k in range(BANDS)])
+    return F.array(*[F.struct(F.lit(k).alias("band"), one(k).alias("least")) for k in range(BANDS)])
 
 
 def scan_licenses(
@@ -146,7 +146,8 @@ def scan_licenses(
     """
     spark = df.sparkSession
     known = materialize(template_table(spark, templates), "templates")
-    bands = materialize(known.select("license", "level", F.explode(_minhashes(F.col("hashes"))).alias("m")).select("license", "level", "m.*"), "bands")
+    bands = materialize(known.select("license", "level", F.explode(_minhashes(F.col("hashes"))).alias("m")), "bands")
+    bands = bands.select("license", "level", "m.band", "m.least.low", "m.least.of")
     anchors = [r["of"] for r in bands.select("of").distinct().collect()]  # at most 64 for each template
     levels = [r.level for r in known.select("level").distinct().collect()]
     docs = pick(df, doc_id=id_col, text=text_col)
@@ -168,7 +169,7 @@ def scan_licenses(
         F.slice("words", F.col("w.start") + 1, 2 * F.col("w.level") + (SHINGLE_WORDS - 1)).alias("words"),
     )
     lows = windows.select("doc_id", "row_hash", "level", "start", "words", F.explode(_minhashes(F.col("hashes"))).alias("m"))
-    lows = lows.select("doc_id", "row_hash", "level", "start", "words", "m.band", "m.low")
+    lows = lows.select("doc_id", "row_hash", "level", "start", "words", "m.band", "m.least.low")
     # A window of a few words that meets a template in many bands is one candidate: the first band counts.
     pairs = lows.join(F.broadcast(bands.drop("of")), ["level", "band", "low"])
     pairs = pairs.groupBy("doc_id", "row_hash", "license", "start", "level").agg(F.first("words").alias("words"))
