@@ -69,17 +69,21 @@ def document_metrics(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     Null text counts as empty (all zero), a null host as the host ''. Repeated rows stay.
     Windows of three words are compared by their 64-bit hashes within one text.
     """
-    rows = pick(df, doc_id=id_col, text=text_col, host=host_col)
+    return _metrics(pick(df, doc_id=id_col, text=text_col, host=host_col), "doc_id")
+
+
+def _metrics(rows: DataFrame, *carried: str) -> DataFrame:
+    """The columns `carried` of `rows` (text, host and others), the host and the counts; a carried text is '' for null."""
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = rows.select(
-        "doc_id",
+        *[c for c in carried if c != "text"],
         F.coalesce(F.col("host"), F.lit("")).alias("host"),
         text.alias("text"),
         F.regexp_extract_all(text, F.lit(WORD), F.lit(0)).alias("words"),
     )
     lines = F.filter(F.split("text", "\n"), lambda x: F.translate(x, SPACES, "") != "")
     return rows.select(
-        "doc_id",
+        *carried,
         "host",
         F.size("words").cast("long").alias("n_words"),
         F.length(F.translate("text", SPACES, "")).cast("long").alias("word_chars"),
@@ -87,7 +91,7 @@ def document_metrics(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         let(lines, lambda x: F.struct(F.size(x).alias("n"), (F.size(x) - F.size(F.array_distinct(x))).alias("dup"))).alias("lines"),
         _repeated_words(F.col("words")).cast("long").alias("n_repeat_words"),
     ).select(
-        "doc_id", "host", "n_words", "word_chars", "n_symbols",
+        *carried, "host", "n_words", "word_chars", "n_symbols",
         F.col("lines.n").cast("long").alias("n_lines"), F.col("lines.dup").cast("long").alias("n_dup_lines"), "n_repeat_words",
     )
 
@@ -154,14 +158,16 @@ def keep_good(
     """The rows of `df`, all columns, that `quality_rules` keeps; repeated rows stay or go together.
 
     The metrics are worked out once: rows that pass the base rules are written beside their verdicts, and the hosts' verdicts,
-    which need all rows, then filter that table.
+    which need all rows, then filter that table. A text travels once beside the rest of its row; null texts pass no base rule.
     """
     names = [f"_{i}" for i in range(len(df.columns))]
     text, host = (names[df.columns.index(c)] for c in (text_col, host_col))
-    packed = df.toDF(*names).select(F.struct(*names).alias("row"), F.col(text).alias("text"), F.col(host).alias("host"))
-    judged = with_document_verdicts(document_metrics(packed, "row", "text", "host"))
-    judged = judged.select("host", "base_failed", "failed", F.when(~F.col("base_failed"), F.col("doc_id")).alias("row"))
+    rest = [n for n in names if n != text]
+    packed = df.toDF(*names).select(F.struct(*rest).alias("rest"), F.col(text).alias("text"), F.col(host).alias("host"))
+    judged = with_document_verdicts(_metrics(packed, "rest", "text"))
+    passed = [F.when(~F.col("base_failed"), F.col(c)).alias(c) for c in ("rest", "text")]
+    judged = judged.select("host", "base_failed", "failed", *passed)
     judged = materialize(judged, "judged")
     poor, _ = broadcast_if_small(materialize(host_rates(judged.select("host", "failed")).where("poor").select("host", "poor"), "poor-hosts"), broadcast_limit)
     kept = judged.join(poor, "host", "left").where(_keeps(F.coalesce("poor", F.lit(False))))
-    return kept.select("row.*").toDF(*df.columns)
+    return kept.select(*["text" if n == text else f"rest.{n}" for n in names]).toDF(*df.columns)
