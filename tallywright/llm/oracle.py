@@ -1,12 +1,12 @@
 """DuckDB twins of the queries that SQL can express.
 
-Not here: BPE merges, wrapper induction, components over fingerprints, match positions and table filling by turns;
+Not here: BPE merges, wrapper induction, components over fingerprints, match positions, table filling by turns and checksums of words;
 their tests compare with brute force.
 """
 
 from __future__ import annotations
 
-from . import license, quality
+from . import clustering, license, linededup, quality
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _WORDS = rf"regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
@@ -77,10 +77,51 @@ found AS (SELECT DISTINCT rid, license FROM (
 per AS (SELECT rid, count(*) AS n, string_agg(license, ',' ORDER BY license) AS names FROM found GROUP BY rid)
 SELECT doc_id, coalesce(n, 0) AS n_licenses, coalesce(names, '') AS licenses FROM d LEFT JOIN per USING (rid)"""
 
+LINES = f"""WITH d AS (SELECT row_number() OVER () AS rid, doc_id, string_split(coalesce(text, ''), chr(10)) AS x FROM documents),
+l AS (
+  SELECT rid, doc_id, i, x[i] AS line,
+    translate(trim(x[i], ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), '{_UPPER}', '{_LOWER}') AS k FROM d, range(1, len(x) + 1) r(i)),
+g AS (
+  SELECT k, max(doc_id) AS keeper FROM l WHERE length(k) >= {linededup.MIN_CHARS} GROUP BY k HAVING count(DISTINCT doc_id) >= {linededup.MIN_DOCS}),
+m AS (SELECT l.*, g.k IS NOT NULL AND keeper IS DISTINCT FROM doc_id AS gone FROM l LEFT JOIN g ON l.k = g.k)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256 FROM m GROUP BY rid, doc_id"""
+
+_DIMS = f"range(1, {clustering.DIMENSIONS + 1})"
+_FAR = f"list_sum(list_transform({_DIMS}, lambda i: (v[i] - c[i]) * (v[i] - c[i])))"
+
+
+def _assigned(k: int) -> str:
+    """Each vector's nearest of the centroids c{k}."""
+    return f"""a{k} AS MATERIALIZED (SELECT rid, vec_id, v, b.far AS far, b.no AS no FROM (
+  SELECT rid, any_value(vec_id) AS vec_id, any_value(v) AS v, min({{far: {_FAR}, no: no}}) AS b FROM vec, c{k} GROUP BY rid))"""
+
+
+def _moved(k: int) -> str:
+    """The centroids c{k} at the floor of their vectors' means; those without vectors stay."""
+    return f"""m{k} AS MATERIALIZED (SELECT no, list(f ORDER BY i) AS c FROM (
+  SELECT no, i, floor(sum(v[i]) / count(*))::BIGINT AS f FROM a{k}, {_DIMS} r(i) GROUP BY no, i) GROUP BY no),
+c{k + 1} AS MATERIALIZED (SELECT c{k}.no, coalesce(m{k}.c, c{k}.c) AS c FROM c{k} LEFT JOIN m{k} USING (no))"""
+
+
+_STEPS = ",\n".join(f"{_assigned(k)},\n{_moved(k)}" for k in range(clustering.ROUNDS))
+CLUSTERS = f"""WITH vec AS MATERIALIZED (
+  SELECT row_number() OVER () AS rid, vec_id, list_transform(embedding, lambda x: floor({clustering.SCALE} * x::DOUBLE)::BIGINT) AS v FROM embeddings
+  WHERE len(embedding) = {clustering.DIMENSIONS} AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = {clustering.DIMENSIONS}),
+c0 AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY mark, v) - 1 AS no, v AS c FROM (
+    SELECT sha256('{clustering.SEED}:' || vec_id) AS mark, v FROM vec WHERE vec_id IS NOT NULL ORDER BY mark, v LIMIT {clustering.CLUSTERS})),
+{_STEPS},
+{_assigned(clustering.ROUNDS)}
+SELECT vec_id, no::INTEGER AS cluster, far::BIGINT AS distance, (sum(far) OVER (PARTITION BY no))::BIGINT AS cluster_inertia,
+  (sum(far) OVER ())::BIGINT AS inertia, sha256(array_to_string(c, ',')) AS centroid_sha256 FROM a{clustering.ROUNDS} JOIN c{clustering.ROUNDS} USING (no)"""
+
 ORACLE_SQL = {
     "op4_chat_formatting": CHAT,
     "op5_license_scan": LICENSES,
     "op8_warc_bundles": WARC,
     "op9_winnowing": WINNOWING,
     "op10_host_quality": QUALITY,
+    "op11_centroid_clustering": CLUSTERS,
+    "op12_line_dedup": LINES,
 }

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontam, html, license, quality, secrets, sharding, simhash, warc
+from . import bpe, chat, clustering, decontam, html, license, linededup, quality, secrets, sharding, simhash, spelling, warc
 from .oracle import ORACLE_SQL  # noqa: F401
 
 
@@ -103,10 +103,29 @@ def op10_host_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cluster of each vector after five rounds, and digests of the centroids. Vectors that are not whole are left out; repeated rows stay."""
+    found, centroids = clustering.cluster(_read(spark, sf_dir, "embeddings"))
+    marks = spark.createDataFrame(list(enumerate(clustering.digests(centroids))), "cluster int, centroid_sha256 string")
+    return found.join(F.broadcast(marks), "cluster").select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256")  # a row a cluster
+
+
+def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of each document without the lines that others repeat. Null text is one empty line; repeated rows stay."""
+    found = linededup.dedup_lines(_read(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The words of all documents with the spelling they are variants of. Null text has no words; repeated rows count each."""
+    return spelling.spelling_variants(_read(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_bpe_round_trip, op2_sharding, op3_html_extraction, op4_chat_formatting, op5_license_scan,
         op6_simhash_near_dedup, op7_secret_scan, op8_warc_bundles, op9_winnowing, op10_host_quality,
+        op11_centroid_clustering, op12_line_dedup, op13_spelling_variants,
     )
 }
