@@ -9,7 +9,7 @@ SCHEMA = "page_id long, url string, html string"
 
 
 def text(page):
-    return html.main_text(html.parse(page))
+    return html.main_text(html.Outline(html.parse(page)))
 
 
 def test_blocks_references_and_white_space():
@@ -57,7 +57,8 @@ def test_tree_matching_scores_as_brute_force():
 
     for _ in range(300):
         a, b = ("r", *grow(3)[1:]), ("r", *grow(3)[1:])
-        fa, fb = (html._Tree([t for t, _ in f], [d for _, d in f], [0] * len(f)) for f in (flat(a), flat(b)))
+        forms = html.Forms()
+        fa, fb = (html._Tree([t for t, _ in f], [d for _, d in f], [], forms) for f in (flat(a), flat(b)))
         assert html.tree_match(fa, fb)[0] == brute_match(a, b)
 
 
@@ -94,9 +95,9 @@ def test_given_pages(spark):
 
 def test_class_words_take_no_content_out_of_an_article():
     kept = ['<div class="share-price">Up by two.</div>', '<section id="widget-theory">Widgets.</section>', '<p class="skip-level">Levels.</p>', '<p class="related-work">Others.</p>']
-    assert html.main_text(html.parse(f"<nav>menu</nav><article>{''.join(kept)}</article>")) == "Up by two.\n\nWidgets.\n\nLevels.\n\nOthers."
+    assert text(f"<nav>menu</nav><article>{''.join(kept)}</article>") == "Up by two.\n\nWidgets.\n\nLevels.\n\nOthers."
     gone = ['<div class="ad">Buy.</div>', '<section class="comments"><p>Nice!</p></section>', '<div class="big share-buttons">Share</div>', '<form>x</form>']
-    assert html.main_text(html.parse(f"<article><p>Text.</p>{''.join(gone)}</article>")) == "Text."
+    assert text(f"<article><p>Text.</p>{''.join(gone)}</article>") == "Text."
 
 
 def _bare_pages(n, seed=3):
@@ -139,49 +140,159 @@ def brute_alignment(a, b):
     return best[-1][-1][0] + 1, best[-1][-1][1]
 
 
-def _as_tree(node, path=""):
-    if isinstance(node, str):
-        return ("#", [], html.text_key(path, html.clean(node)))
-    kids = [] if node.tag == "head" else [c for c in node.children if not isinstance(c, str) or html.clean(c)]
-    return (node.tag, [_as_tree(c, f"{path}/{node.tag}") for c in kids], 0)
+def _as_tree(node, path="", slot=""):
+    """(tag, children, key, slot, linked characters, text) of the blocks, by recursion; text of a run only."""
+    path, slot = f"{path}/{node.tag}", f"{slot}/{node.label}"
+    kids, run = [], []
 
+    def flush():
+        if found := html.clean("".join(t for t, _ in run)):
+            kids.append(("#", [], html.text_key(path, found), html.slot_key(slot), sum(len(t.strip()) for t, x in run if x), found))
+        run.clear()
 
-def _texts(node, slot="", linked=False):
-    if isinstance(node, str):
-        return [(slot, html.clean(node), linked)] if html.clean(node) else []
-    inner, linked = f"{slot}/{node.label}", linked or node.tag == "a"
-    return [x for c in node.children for x in _texts(c, inner, linked)] if node.tag != "head" else []
+    def read(n, linked):
+        for c in n.children:
+            if isinstance(c, str):
+                run.append((c, linked))
+            elif c.tag == "br":
+                run.append((" ", linked))
+            elif c.drop or c.tag in html.BLOCK:
+                flush()
+                if not c.drop:
+                    kids.append(_as_tree(c, path, slot))
+            else:
+                read(c, linked or c.tag == "a")
+
+    read(node, node.tag == "a")
+    flush()
+    return (node.tag, kids, 0)
+
+
+def _runs(tree):
+    return [tree] if tree[0] == "#" else [x for c in tree[1] for x in _runs(c)]
 
 
 def test_templates_match_brute_force(spark):
     pages = [(f"http://h{i % 2}.example/{i}", p) for i, (p, _) in enumerate(_bare_pages(30, 5))]
     pages += [("http://h1.example/again", pages[1][1]), ("http://few.example/", pages[0][1]), (None, None)]
-    got = {(r.host, r.layout): set(r["keys"]) for r in html.induce_templates(spark.createDataFrame(pages, "url string, html string")).collect()}
+    df = spark.createDataFrame(pages, "url string, html string").selectExpr("1 as page_id", "*")
+    got = {(r.host, r.layout): (set(r.constant), set(r.links), set(r.few), set(r.main)) for r in html.induce_templates(html.outlines(df)).collect()}
     want = {}
     for host in ("h0.example", "h1.example"):
         mine = sorted({p for u, p in pages if u and f"//{host}/" in u})
-        roots = [html.parse(p) for p in mine]
-        trees = [_as_tree(r) for r in roots]
-        shapes = [html.skeleton(r)[:2] for r in roots]
-        ids = [(sum(s == t for t in shapes), html.text_key(" ".join(s[0]), str(s[1]))) for s in shapes]
+        trees = [_as_tree(html.parse(p)) for p in mine]
+        lines = [html.Outline(html.parse(p)) for p in mine]
+        assert [[(x[5], x[2], x[3], x[4]) for x in _runs(t)] for t in trees] == [list(zip(o.texts, o.keys, o.slots, o.links)) for o in lines]
+        ids = [(sum((o.tags, o.depths) == (x.tags, x.depths) for x in lines), html.text_key(" ".join(o.tags), str(o.depths))) for o in lines]
         top = max(ids)
         typical = min((html.text_key("", p), k) for k, p in enumerate(mine) if ids[k] == top)[1]
         count = Counter(k for t in trees for k in {y for x, y in brute_alignment(trees[typical], t)[1] if x == y})
-        keys = {k for k, n in count.items() if n >= 0.8 * len(mine)}
         slots = {}
-        for r in roots:
-            for slot, text, linked in _texts(r):
-                slots.setdefault(slot, []).append((text, linked))
-        for slot, found in slots.items():
-            chars = sum(len(t) for t, _ in found)
-            if sum(len(t) for t, x in found if x) >= 0.6 * chars or len(found) >= 5 and len({t for t, _ in found}) <= 0.35 * len(found):
-                keys.add(html.slot_key(slot))
-        want[host, html.layout(roots[0])] = keys
-    assert got == want and all(len(k) >= 3 for k in want.values())
-
-
-def test_wide_pages_are_aligned_in_linear_time():
-    page = lambda seed: "<html><body><table>" + "".join(f"<tr><td>{x}</td></tr>" if x % 3 else f"<tr><th>{x}</th></tr>" for x in np.random.default_rng(seed).integers(0, 99, 4000)) + "</table><p>foot</p></body></html>"
-    trees = [html._Tree(*html.skeleton(html.parse(page(k)))[:3]) for k in (1, 2)]
-    score, pairs = html.tree_match(*trees)
-    assert score > 8000 and trees[0].keys[pairs[-1][0]] == trees[1].keys[pairs[-1][1]]
+        for t in trees:
+            for run in _runs(t):
+                slots.setdefault(run[3], []).append((run[5], run[4]))
+        slots = {k: v for k, v in slots.items() if len(v) >= 5}
+        links = {k for k, v in slots.items() if sum(n for _, n in v) >= 0.6 * sum(len(t) for t, _ in v)}
+        few = {k for k, v in slots.items() if len({t for t, _ in v}) <= 0.35 * len(v)}
+        varies = sorted(((sum(len(x) for x in {t for t, _ in v}), k) for k, v in slots.items() if k not in links | few), key=lambda x: (-x[0], x[1]))
+        main = {k for i, (_, k) in enumerate(varies) if sum(n for n, _ in varies[:i]) < 0.8 * sum(n for n, _ in varies)}
+        want[host, html.layout(html.parse(mine[0]))] = ({k for k, n in count.items() if n >= 0.8 * len(mine)}, links, few, main)
+    assert got == want and all(len(c) + len(k) + len(f) >= 3 and m for c, k, f, m in want.values())
+
+
+def extracted(spark, pages, host="a.example"):
+    rows = [(i, f"http://{host}/{i}", p) for i, p in enumerate(pages)]
+    return [r.text for r in sorted(html.extract_text(spark.createDataFrame(rows, SCHEMA)).collect(), key=lambda r: r.page_id)]
+
+
+def _words(rng, k):
+    return " ".join(f"w{x}" for x in rng.integers(0, 5000, k))
+
+
+def test_induction_loses_no_content(spark):
+    rng = np.random.default_rng(8)
+    menu = '<div><ul><li><a href="/">Home</a></li><li><a href="/n">News</a></li></ul></div>'
+    foot = "<div>All rights kept</div>"
+    say = [[_words(rng, 12) for _ in range(6)] for _ in range(8)]
+    links = [f"<p>{a} see the <a href='/x'>{b}</a> for details {c}</p><p>{d}</p>" for a, b, c, d, *_ in say]
+    got = extracted(spark, [f"<body>{menu}<div>{x}</div>{foot}</body>" for x in links])
+    assert got == [f"{a} see the {b} for details {c}\n\n{d}" for a, b, c, d, *_ in say]
+    got = extracted(spark, [f"<body>{menu}<div>{links[0]}</div>{foot}</body>"])  # one page: no template at all
+    assert f"{say[0][0]} see the {say[0][1]} for details {say[0][2]}" in got[0]
+    article = [f"<article><h2>Background</h2><p>{a}</p><p>All figures are in US dollars.</p><h2>Methods</h2><p>{b}</p></article>" for a, b, *_ in say]
+    got = extracted(spark, [f"<body>{menu}{x}{foot}</body>" for x in article])
+    assert got == [f"Background\n\n{a}\n\nAll figures are in US dollars.\n\nMethods\n\n{b}" for a, b, *_ in say]
+    story = [f"<h1>{a}</h1><p>{b}</p><ul>{''.join(f'<li><a href=/{k}>{x}</a></li>' for k, x in enumerate((c, d, e)))}</ul><h2>Summary</h2><p>{f}</p>" for a, b, c, d, e, f in say]
+    got = extracted(spark, [f"<body>{menu}<div>{x}</div>{foot}</body>" for x in story])
+    assert got == ["\n\n".join([*x[:5], "Summary", x[5]]) for x in say]
+    table = [f"<p>{a}</p><table><tr><th>Year</th><th>Sum</th></tr><tr><td>{b}</td><td>{c}</td></tr></table><p>{d}</p>" for a, b, c, d, *_ in say]
+    assert extracted(spark, [f"<body>{menu}<div>{x}</div>{foot}</body>" for x in table]) == ["\n\n".join([x[0], "Year", "Sum", *x[1:4]]) for x in say]
+
+
+def test_story_is_bounded_by_its_main_blocks(spark):
+    """Varying adverts and feet outside the story go; a title above it, and a page of one paragraph, stay whole."""
+    rng = np.random.default_rng(9)
+    say = [[_words(rng, 30) for _ in range(4)] for _ in range(9)]
+    ad = lambda i: f"<div>{say[i][3][:25]}</div>"
+    got = extracted(spark, [f"<body>{ad(i)}<h1>{i} {a[:9]}</h1><div><p>{a}</p><ul><li>{b}</li></ul><p>{c}</p></div>{ad(i)}</body>" for i, (a, b, c, _) in enumerate(say)])
+    assert got == [f"{i} {a[:9]}\n\n{a}\n\n{b}\n\n{c}" for i, (a, b, c, _) in enumerate(say)]
+    got = extracted(spark, [f"<body><div>{a}</div><p>{b}</p></body>" for a, b, *_ in say])
+    assert got == [f"{a}\n\n{b}" for a, b, *_ in say]
+    flat = extracted(spark, [f"<body><div><a href=/>Home</a></div><p>{a}</p><pre>{b}</pre><p>{c}</p><div>{d}</div></body>" for a, b, c, d in say])
+    assert flat == ["\n\n".join(x) for x in say]
+
+
+def stripped(page):
+    """A page without landmarks: their elements are plain divisions, and no class tells anything."""
+    page = re.sub(r"<(/?)(?:article|nav|header|footer|aside|main)(?=[\s>])", r"<\1div", page)
+    return re.sub(r'\s(?:class|id|role)="[^"]*"', "", page)
+
+
+def test_given_pages_without_their_landmarks(spark):
+    """What induction alone makes of the given pages, against the text that their landmarks bound."""
+    rows = [(r.page_id, r.url, r.html) for r in spark.read.parquet("/root/testdata/sf0.1/pages.parquet").collect()]
+    want = {i: html.main_text(html.Outline(html.parse(p))) for i, _, p in rows}
+    df = spark.createDataFrame([(i, u, stripped(p)) for i, u, p in rows], SCHEMA).repartition(8)
+    got = {r.page_id: r.text for r in html.extract_text(df).collect()}
+    same = sum(got[i] == t for i, t in want.items())
+    print(f"{same} of {len(rows)} pages alike")
+    assert same >= 0.95 * len(rows)
+
+
+def test_wide_pages_are_aligned_exactly_and_fast():
+    import time
+
+    cells = lambda rng: "".join(f"<t{'dh'[int(x)]}>{x}</t>" for x in rng.integers(0, 2, 8))
+
+    def table(seed, rows):
+        rng = np.random.default_rng(seed)
+        return "<html><body><table>" + "".join(f"<tr>{cells(rng)}</tr>" for _ in range(rows)) + "</table><p>foot</p></body></html>"
+
+    for rows, most in ((300, 0.5), (3000, 10)):
+        forms, lines = html.Forms(), [html.Outline(html.parse(table(k, rows))) for k in (1, 2)]
+        began = time.perf_counter()
+        trees = [html._Tree(o.tags, o.depths, o.keys, forms) for o in lines]
+        score, pairs = html.tree_match(*trees)
+        assert time.perf_counter() - began < most and score > rows * 8 and trees[0].keys[pairs[-1][0]] == trees[1].keys[pairs[-1][1]]
+
+
+def test_held_rows_change_no_alignment(monkeypatch):
+    rng = np.random.default_rng(2)
+    for n, m in ((1, 7), (9, 1), (30, 50), (101, 64)):
+        weights, at_x, at_y = rng.integers(0, 4, (6, 5)), rng.integers(0, 6, n), rng.integers(0, 5, m)
+        monkeypatch.setattr(html, "HELD_CELLS", 10**9)
+        whole = html._aligned(weights, at_x, at_y)
+        monkeypatch.setattr(html, "HELD_CELLS", 0)
+        assert html._aligned(weights, at_x, at_y) == whole
+        row = np.zeros(m + 1, int)
+        for r in at_x:
+            row = html._next_row(row, weights[r][at_y])
+        assert row[-1] == sum(weights[at_x[r], at_y[c]] for r, c in whole)
+
+
+def test_very_long_pages(spark):
+    long = [" ".join(f"x{i}y{k}" for k in range(30_000)) for i in range(6)]
+    many = "".join(f"<p>block {k} of the page</p>" for k in range(5_000))
+    menu = "<div><ul><li><a href='/'>Home</a></li></ul></div>"
+    got = extracted(spark, [f"<body>{menu}<div><h1>{i}</h1><p>{t}</p></div></body>" for i, t in enumerate(long)] + [f"<article>{many}</article>"])
+    assert got[:6] == [f"{i}\n\n{t}" for i, t in enumerate(long)] and got[6].count("\n\n") == 4_999
