@@ -5,6 +5,7 @@ Instants come out as UTC text and arrays as joined text, so that results compare
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from functools import cached_property
 
@@ -17,14 +18,21 @@ from ..operators import grading as G
 from ..operators import landing as L
 from ..operators import metrics as M
 from ..operators import progress as P
+from ..sources import keyed as K
 from ..sources import tables as T
 from ..sources.scratch import materialize, new_path
 from ..streaming import jobs as S
 from ..streaming.runner import drain, land
 
+try:  # Spark's timers need protobuf in Python
+    from ..streaming import progress as SP
+except ImportError:
+    SP = None
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
 STREAM_DELAY = "365 days"
+MERGE_PARTS, BUCKETS = 8, 8
 FAR_FUTURE = "2100-01-01 00:00:00"
 
 
@@ -107,8 +115,10 @@ def load_tables(spark, sf_dir):
 
 @_query
 def write_table(spark, sf_dir):
+    """Written twice, as a job that runs again would: the second time replaces the first."""
     path = new_path(spark, "transactions")
-    T.write_table(_Bank(spark, sf_dir).txns, path, "month")
+    for _ in range(2):
+        T.write_table(_Bank(spark, sf_dir).txns, path, "month")
     return spark.read.parquet(path).groupBy(F.col("month").cast("string").alias("month")).agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -174,12 +184,25 @@ def parse_event_log(spark, sf_dir):
     return rows.select("user_id", "name", prop("id").alias("event_id"), prop("k").alias("k"), "created_at")
 
 
+def _stage_rows(b: _Bank) -> DataFrame:
+    rows = b.subs.join(T.challenges(b.spark), "challenge_id")
+    return rows.select("user_id", "stage_id", "seq", F.when(F.col("passed"), "passed").otherwise("open").alias("status"), "challenge_id")
+
+
 @_query
 def latest_stage_progress(spark, sf_dir):
-    b = _Bank(spark, sf_dir)
-    rows = b.subs.join(T.challenges(spark), "challenge_id")
-    rows = rows.select("user_id", "stage_id", "seq", F.when(F.col("passed"), "passed").otherwise("open").alias("status"), "challenge_id")
-    return P.latest_stage_progress(rows, ["seq"]).select("user_id", "stage_id", "status", "challenge_id")
+    return P.latest_stage_progress(_stage_rows(_Bank(spark, sf_dir)), ["seq"]).select("user_id", "stage_id", "status", "challenge_id")
+
+
+@_query
+def merge_stage_progress(spark, sf_dir):
+    """A kept table of stage progress from two overlapping batches, the second one merged twice: as one dedupe of all rows."""
+    rows = _stage_rows(_Bank(spark, sf_dir))
+    path, keys, number = new_path(spark, "stage-progress"), ["user_id", "stage_id"], F.substring("seq", -15, 15).cast("bigint")
+    K.create_merged(rows.where(number % 3 != 0), path, keys, ["seq"], MERGE_PARTS)
+    for _ in range(2):
+        K.merge_latest(rows.where((number % 3 == 0) | (number % 2 == 0)), path, keys, ["seq"], MERGE_PARTS)
+    return K.read_merged(spark, path, rows).select("user_id", "stage_id", "status", "challenge_id")
 
 
 # --- projections and filters ----------------------------------------------------------------
@@ -241,6 +264,18 @@ def missing_alerts(spark, sf_dir):
     return _Bank(spark, sf_dir).missing.select("txn_id", "customer_id", "amount_inr", "month")
 
 
+def _bucketed(df: DataFrame, name: str) -> DataFrame:
+    return K.write_bucketed(df, f"{name}_{uuid.uuid4().hex}", new_path(df.sparkSession, name), "txn_id", BUCKETS)
+
+
+@_query
+def missing_alerts_bucketed(spark, sf_dir):
+    """The same over tables that are bucketed by transaction: the join needs no shuffle."""
+    b = _Bank(spark, sf_dir)
+    txns, alerts = _bucketed(b.txns, "transactions"), _bucketed(b.alerts, "alerts")
+    return A.missing_alerts(txns, alerts).select("txn_id", "customer_id", "amount_inr", "month")
+
+
 @_query
 def missing_alerts_left_join(spark, sf_dir):
     b = _Bank(spark, sf_dir)
@@ -265,6 +300,14 @@ def alerts_with_txn_first(spark, sf_dir):
     return A.alerts_with_txn_first(b.alerts_raw, b.txns_raw).select("alert_id", "txn_id", "txn_customer_id", "txn_amount_inr", "txn_month")
 
 
+@_query
+def alerts_with_txn_first_bucketed(spark, sf_dir):
+    """The same over bucketed tables: neither the grouping nor the join needs a shuffle."""
+    b = _Bank(spark, sf_dir)
+    rows = A.alerts_with_txn_first(_bucketed(b.alerts_raw, "alerts_raw"), _bucketed(b.txns_raw, "transactions_raw"))
+    return rows.select("alert_id", "txn_id", "txn_customer_id", "txn_amount_inr", "txn_month")
+
+
 @_query
 def alerts_with_txn_last(spark, sf_dir):
     b = _Bank(spark, sf_dir)
@@ -635,14 +678,24 @@ def stream_dedup(spark, sf_dir):
 
 @_query
 def stream_late_alerts(spark, sf_dir):
-    timely, quarantine = S.stream_late_alerts(land(_Bank(spark, sf_dir).alerts_raw), T.BOOK_START)
-    out = [drain(df, n).select("alert_id", F.lit(n).alias("route")) for df, n in ((timely, "timely"), (quarantine, "quarantine"))]
-    return out[0].unionByName(out[1])
+    routes = S.stream_late_alerts(land(_Bank(spark, sf_dir).alerts_raw), T.BOOK_START)
+    timely, quarantine = (routes[n].select("alert_id", F.lit(n).alias("route")) for n in ("timely", "quarantine"))
+    return timely.unionByName(quarantine)
 
 
 @_query
 def stream_progress(spark, sf_dir):
-    subs = _Bank(spark, sf_dir).subs.select("user_id", "challenge_id", "passed", "seq")
-    rows = drain(S.stream_progress(land(subs), T.STAGES, T.MAX_REWARD), "progress")
+    """Submissions in several micro-batches, in no order; a closing row far ahead moves the watermark past them all."""
+    subs = _Bank(spark, sf_dir).subs.select("user_id", "challenge_id", "passed", "ts", "seq")
+    far = {"user_id": F.lit(-1), "ts": F.to_timestamp(F.lit(FAR_FUTURE))}
+    closing = spark.range(1).select(*[far.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in subs.schema])
+    if SP is None:
+        return _last_progress(drain(S.stream_progress_in_order(land(subs), T.STAGES, T.MAX_REWARD), "progress"))
+    stream = land(subs.repartition(4, F.xxhash64("seq")), closing, files_per_batch=2)
+    rows = drain(SP.stream_progress(stream, T.STAGES, T.MAX_REWARD, lateness=STREAM_DELAY), "progress", conf=SP.STATE_STORE)
+    return _last_progress(rows)
+
+
+def _last_progress(rows: DataFrame) -> DataFrame:
     last = rows.groupBy("user_id").agg(F.max(F.struct("seen", "completed_stages", "reward_unlocked")).alias("r")).select("user_id", "r.*")
     return last.select("user_id", *[F.col(c).cast("bigint").alias(c) for c in ("completed_stages", "reward_unlocked", "seen")])

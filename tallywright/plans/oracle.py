@@ -282,4 +282,10 @@ _BODIES["grade_evidence"] = f"""SELECT *, CASE WHEN passed THEN '{G.GOOD_EVIDENC
 for _name, _good, _bad in (("grade_explanation", G.GOOD_EXPLANATION, G.BAD_EXPLANATION), ("grade_viva", G.GOOD_VIVA, G.BAD_VIVA)):
     _BODIES[_name] = f"SELECT *, CASE WHEN passed THEN '{_good}' ELSE '{_bad}' END AS feedback FROM ({_BODIES[_name]})"
 
+#: Queries that reach the same rows another way.
+_BODIES |= {
+    "merge_stage_progress": _BODIES["latest_stage_progress"],
+    "missing_alerts_bucketed": _BODIES["missing_alerts"],
+    "alerts_with_txn_first_bucketed": _BODIES["alerts_with_txn_first"],
+}
 ORACLE_SQL = {name: PRELUDE + body for name, body in _BODIES.items()}

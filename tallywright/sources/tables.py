@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import rules
+from .keyed import overwrite_partitions
 
 SCHEMAS = {
     "customers": "customer_id string, full_name string, city string, kyc_status string, risk_segment string, account_opened_on date",
@@ -48,8 +49,8 @@ def load_tables(spark: SparkSession, directory: str) -> dict[str, DataFrame]:
 
 
 def write_table(df: DataFrame, path: str, partition_by: str = "month") -> None:
-    """Append `df` as Parquet, a folder for each value of `partition_by`."""
-    df.write.mode("append").partitionBy(partition_by).parquet(path)
+    """Write `df` as Parquet, a folder for each value of `partition_by`; written again, it replaces the folders that it has values for."""
+    overwrite_partitions(df, path, partition_by)
 
 
 def months(spark: SparkSession, first: str = SPINE[0], last: str = SPINE[1]) -> DataFrame:

@@ -5,11 +5,12 @@ from __future__ import annotations
 from collections.abc import Iterable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions import rules
+from .sinks import routed
 
 #: An alert comes at most this long after its transaction.
 ALLOWED_DELAY = "93 minutes"
@@ -45,39 +46,64 @@ def stream_dedup(transactions: DataFrame, key: str = "txn_id", ts: str = "txn_ts
     return transactions.withWatermark(ts, within).dropDuplicatesWithinWatermark([key])
 
 
-def stream_late_alerts(alerts: DataFrame, book_start: str) -> tuple[DataFrame, DataFrame]:
-    """(timely, quarantine): alerts before the book's first day are routed aside before any watermark could lose them."""
+def late_alert_routes(book_start: str) -> dict[str, Column]:
+    """Where an alert goes, for `sinks.router`: one before the book's first day, or without a time, is put aside before a watermark could lose it."""
     early = F.coalesce(F.col("alert_ts") < F.to_timestamp(F.lit(book_start)), F.lit(True))
-    return alerts.where(~early), alerts.where(early)
+    return {"timely": ~early, "quarantine": early}
+
+
+def stream_late_alerts(alerts: DataFrame, book_start: str) -> dict[str, DataFrame]:
+    """The alerts that are there, as tables `timely` and `quarantine`: one pass over the stream writes both, each batch once."""
+    return routed(alerts, late_alert_routes(book_start), "alerts")
 
 
 STATE = "stage int, passed string, reward int, seen bigint"
 OUTPUT = "user_id bigint, completed_stages int, passed_in_stage int, reward_unlocked int, seen bigint"
 
 
-def stream_progress(subs: DataFrame, stages: tuple, max_reward: int = 150) -> DataFrame:
-    """Per user and batch: stages completed so far, challenges passed in the open stage, reward, submissions seen.
+class Fold:
+    """The exact gate over one user's submissions in order: a pass counts only while its stage is open."""
 
-    The fold has the exact gate: a pass counts only while its stage is open. State is a few fields a user; a
-    batch's submissions of one user are put in order by `seq`. Across batches they must arrive in order.
-    """
-    plan = {order: (frozenset(c for c, _ in cs), reward) for _, order, reward, cs in stages}
+    def __init__(self, stages: tuple, max_reward: int) -> None:
+        self.plan = {order: (frozenset(c for c, _ in cs), reward) for _, order, reward, cs in stages}
+        self.max_reward = max_reward
 
-    def fold(key: tuple, chunks: Iterable[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        stage, passed, reward, seen = state.get if state.exists else (1, "", 0, 0)
+    def __call__(self, state: tuple | None, rows: Iterable[tuple[str, bool]]) -> tuple:
+        """(stage, passed in it, reward, seen) after (challenge, passed) rows."""
+        stage, passed, reward, seen = state or (1, "", 0, 0)
         done = set(passed.split(",")) - {""}
-        rows = pd.concat(list(chunks)).sort_values("seq")
-        for challenge, ok in zip(rows["challenge_id"], rows["passed"]):
+        for challenge, ok in rows:
             seen += 1
-            if ok and stage in plan and challenge in plan[stage][0]:
+            if ok and stage in self.plan and challenge in self.plan[stage][0]:
                 done.add(challenge)
-                if done == plan[stage][0]:
-                    reward = min(max_reward, reward + plan[stage][1])
+                if done == self.plan[stage][0]:
+                    reward = min(self.max_reward, reward + self.plan[stage][1])
                     stage, done = stage + 1, set()
-        state.update((stage, ",".join(sorted(done)), reward, seen))
-        yield pd.DataFrame(
-            {"user_id": [key[0]], "completed_stages": [stage - 1], "passed_in_stage": [len(done)], "reward_unlocked": [reward], "seen": [seen]}
-        )
+        return stage, ",".join(sorted(done)), reward, seen
+
+    def finished(self, state: tuple) -> bool:
+        return state[0] not in self.plan
+
+    @staticmethod
+    def row(user, state: tuple) -> pd.DataFrame:
+        stage, passed, reward, seen = state
+        n = len(set(passed.split(",")) - {""})
+        return pd.DataFrame({"user_id": [user], "completed_stages": [stage - 1], "passed_in_stage": [n], "reward_unlocked": [reward], "seen": [seen]})
+
+
+def stream_progress_in_order(subs: DataFrame, stages: tuple, max_reward: int = 150) -> DataFrame:
+    """Per user and batch: stages completed so far, challenges passed in the open stage, reward, submissions seen.
+
+    For sources that keep each user's order: a batch's submissions are put in order by `seq`, batches are folded as they come. State is a
+    few fields a user.
+    """
+    step = Fold(stages, max_reward)
+
+    def fold(key: tuple, chunks: Iterable[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        rows = pd.concat(list(chunks)).sort_values("seq")
+        now = step(state.get if state.exists else None, zip(rows["challenge_id"], rows["passed"]))
+        state.update(now)
+        yield step.row(key[0], now)
 
     rows = subs.select("user_id", "challenge_id", "passed", "seq")
     return rows.groupBy("user_id").applyInPandasWithState(fold, OUTPUT, STATE, "append", GroupStateTimeout.NoTimeout)

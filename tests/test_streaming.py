@@ -1,7 +1,14 @@
+import random
 from datetime import datetime, timedelta
 
+import pytest
+from pyspark.sql import functions as F
+
 from tallywright.sources import tables as T
+from tallywright.sources.scratch import new_path
 from tallywright.streaming import jobs as S
+from tallywright.streaming import progress as SP
+from tallywright.streaming import sinks
 from tallywright.streaming.runner import drain, land
 
 from .test_operators import fold, subs_of
@@ -35,27 +42,143 @@ def test_alert_rate_per_window(spark):
     assert got == {at(0): (7, 2), at(60): (6, 1), at(120): (6, 2), at(180): (2, 0)}
 
 
-def test_dedup_and_quarantine(spark):
+TIMES = "txn_id long, txn_ts timestamp"
+
+
+def test_dedup(spark):
     rows = [(i % 5, at(i)) for i in range(10)]
-    got = drain(S.stream_dedup(land(spark.createDataFrame(rows, "txn_id long, txn_ts timestamp"))), "d").collect()
+    got = drain(S.stream_dedup(land(spark.createDataFrame(rows, TIMES))), "d").collect()
     assert sorted(r.txn_id for r in got) == [0, 1, 2, 3, 4]
-    alerts = land(spark.createDataFrame([(1, START), (2, datetime(2025, 12, 1)), (3, None)], ALERT))
-    timely, quarantine = (drain(df, n) for df, n in zip(S.stream_late_alerts(alerts, "2026-01-01"), ("t", "q")))
-    assert [r.txn_id for r in timely.collect()] == [1] and sorted(r.txn_id for r in quarantine.collect()) == [2, 3]
 
 
-def test_progress_folds_across_batches(spark):
-    import random
-
-    rng = random.Random(2)
+def test_dedup_goes_on_where_an_interrupted_run_stopped(spark):
+    """Two runs from one checkpoint: the second one dies in the middle once. A repeat within the watermark is dropped across runs, a later one kept."""
+    path, out, state = (new_path(spark, n) for n in ("landing", "out", "state"))
+    write = lambda rows: spark.createDataFrame(rows, TIMES).coalesce(1).write.mode("append").parquet(path)
+    stream = lambda: spark.readStream.schema(TIMES).option("maxFilesPerTrigger", 1).parquet(path)
+    ids = lambda: sorted(r.txn_id for r in spark.read.schema(TIMES).parquet(out).collect())
+    job = lambda df: S.stream_dedup(df, within="1 hour")
+    write([(1, at(0)), (2, at(1)), (1, at(2))])
+    drain(job(stream()), "d", out, state)
+    assert ids() == [1, 2]
+    write([(1, at(30)), (3, at(31))])  # 1 again within the hour
+    write([(4, at(500)), (4, at(501))])
+
+    @F.udf("long")
+    def dies(i):
+        if i == 4:
+            raise RuntimeError("lost")
+        return i
+
+    with pytest.raises(Exception, match="lost"):  # the first file's batch is done, the second's dies
+        drain(job(stream().withColumn("txn_id", dies("txn_id"))), "d", out, state)
+    drain(job(stream()), "d", out, state)
+    assert ids() == [1, 2, 3, 4]
+    write([(1, at(502)), (4, at(503))])  # 1 was forgotten long since, 4 was not
+    drain(job(stream()), "d", out, state)
+    assert ids() == [1, 1, 2, 3, 4]
+
+
+LATE = [(1, START), (2, datetime(2025, 12, 1)), (3, None), (4, START), (5, datetime(2025, 12, 31))]
+
+
+def test_one_pass_feeds_both_routes(spark):
+    alerts = spark.createDataFrame(LATE, ALERT).repartition(5)
+    got = S.stream_late_alerts(land(alerts, files_per_batch=2), "2026-01-01")
+    assert {n: sorted(r.txn_id for r in df.collect()) for n, df in got.items()} == {"timely": [1, 4], "quarantine": [2, 3, 5]}
+    assert got["timely"].columns == ["txn_id", "alert_ts"]
+    folder, state = new_path(spark, "routes"), new_path(spark, "state")
+    assert sinks.drain_routes(land(alerts), S.late_alert_routes("2026-01-01"), folder, state) == 5  # each row read once for two tables
+
+
+def test_replayed_and_killed_batches_leave_rows_once(spark, monkeypatch):
+    alerts = spark.createDataFrame(LATE, ALERT)
+    routes, folder, state = S.late_alert_routes("2026-01-01"), new_path(spark, "routes"), new_path(spark, "state")
+    ids = lambda: {n: sorted(r.txn_id for r in sinks.read_route(spark, folder, n, alerts).collect()) for n in routes}
+    want = {"timely": [1, 4], "quarantine": [2, 3, 5]}
+    write = sinks.router(routes, folder)
+    write(alerts, 0)
+    write(alerts, 0)  # the same batch again
+    assert ids() == want
+    folder = new_path(spark, "routes")
+    stream, done, real = land(alerts.repartition(3), files_per_batch=1), [], sinks.write_route
+
+    def dying(rows, where, route, batch_id):
+        if route == "quarantine" and batch_id == 1 and not done:
+            done.append(batch_id)
+            raise RuntimeError("killed between the writes")
+        real(rows, where, route, batch_id)
+
+    monkeypatch.setattr(sinks, "write_route", dying)
+    with pytest.raises(Exception, match="killed"):
+        sinks.drain_routes(stream, routes, folder, state)
+    sinks.drain_routes(stream, routes, folder, state)
+    assert done == [1] and ids() == want
+
+
+def random_subs(spark, seed, n=400, users=4):
+    rng = random.Random(seed)
     names = [c[0] for c in T.CHALLENGES]
-    rows = [(rng.randrange(4), rng.choice(names), rng.random() < 0.9) for _ in range(400)]
-    subs = subs_of(spark, rows).select("user_id", "challenge_id", "passed", "seq")
-    out = drain(S.stream_progress(land(subs), T.STAGES), "p").collect()
-    assert {r.user_id: (r.completed_stages, r.reward_unlocked) for r in out} == fold(rows)
-    parts = [subs.where(f"seq >= '{k * 100:09d}' and seq < '{(k + 1) * 100:09d}'").coalesce(1) for k in range(4)]
-    out = drain(S.stream_progress(land(*parts, files_per_batch=1), T.STAGES), "p").collect()
+    rows = [(rng.randrange(users), rng.choice(names), rng.random() < 0.9) for _ in range(n)]
+    return rows, subs_of(spark, rows)
+
+
+def last_of(out):
     last = {}
     for r in out:
         last[r.user_id] = max(last.get(r.user_id, (0, 0, 0)), (r.seen, r.completed_stages, r.reward_unlocked))
-    assert len(out) > len(last) and {u: x[1:] for u, x in last.items()} == fold(rows)  # a row for each user and batch
+    return {u: x[1:] for u, x in last.items()}
+
+
+def test_progress_in_order_folds_across_batches(spark):
+    rows, subs = random_subs(spark, 2)
+    subs = subs.select("user_id", "challenge_id", "passed", "seq")
+    out = drain(S.stream_progress_in_order(land(subs), T.STAGES), "p").collect()
+    assert {r.user_id: (r.completed_stages, r.reward_unlocked) for r in out} == fold(rows)
+    parts = [subs.where(f"seq >= '{k * 100:09d}' and seq < '{(k + 1) * 100:09d}'").coalesce(1) for k in range(4)]
+    out = drain(S.stream_progress_in_order(land(*parts, files_per_batch=1), T.STAGES), "p").collect()
+    assert len(out) > 4 and last_of(out) == fold(rows)  # a row for each user and batch
+
+
+def timed(subs):
+    """A minute between submissions, in the order of seq."""
+    return subs.select("user_id", "challenge_id", "passed", (F.lit(START).cast("timestamp") + F.make_dt_interval(mins=F.col("seq").cast("int"))).alias("ts"), "seq")
+
+
+def closing(spark, subs, at_time=datetime(2027, 1, 1)):
+    return spark.createDataFrame([(-1, None, None, at_time, None)], subs.schema)
+
+
+def test_unordered_progress_equals_the_batch_result(spark):
+    rows, subs = random_subs(spark, 3)
+    subs = timed(subs)
+    parts = [subs.where(F.pmod(F.xxhash64("seq"), F.lit(4)) == k).coalesce(1) for k in range(4)]  # each batch has rows of all times
+    stream = land(*parts, closing(spark, subs), files_per_batch=1)
+    out = drain(SP.stream_progress(stream, T.STAGES, lateness="10 hours"), "p", conf=SP.STATE_STORE).collect()
+    assert last_of(out) == fold(rows) and sum(r.seen for r in out if r.seen) > 0
+
+
+def test_progress_is_released_as_the_watermark_moves(spark):
+    """Swapped neighbours in later batches, within an hour of lateness; rows come out before the end, and each submission counts once."""
+    rows, subs = random_subs(spark, 4)
+    subs = timed(subs)
+    number = F.col("seq").cast("int")
+    order = F.when(number % 50 >= 40, number + 50).otherwise(number)  # ten of each fifty come with the next fifty
+    parts = [subs.where((order >= 50 * k) & (order < 50 * (k + 1))).coalesce(1) for k in range(9)]
+    stream = land(*parts, closing(spark, subs), files_per_batch=1)
+    out = drain(SP.stream_progress(stream, T.STAGES, lateness="1 hour"), "p", conf=SP.STATE_STORE).collect()
+    assert last_of(out) == fold(rows) and len(out) > 8
+    assert max(r.seen for r in out if r.user_id == 0) == sum(u == 0 for u, _, _ in rows)
+
+
+def test_finished_users_are_forgotten(spark):
+    names = [c[0] for c in T.CHALLENGES]
+    rows = [(1, n, True) for n in names] + [(2, names[0], True)]
+    subs = timed(subs_of(spark, rows))
+    path, out, state = (new_path(spark, n) for n in ("landing", "out", "state"))
+    job = lambda: drain(SP.stream_progress(spark.readStream.schema(subs.schema).option("maxFilesPerTrigger", 1).parquet(path), T.STAGES, lateness="1 minute", keep_finished=60_000), "p", out, state, SP.STATE_STORE)
+    for part in (subs.coalesce(1), closing(spark, subs, datetime(2026, 8, 1)), closing(spark, subs, datetime(2026, 9, 1))):
+        part.write.mode("append").parquet(path)
+    assert last_of(r for r in job().collect() if r.user_id > 0) == {1: (5, 150), 2: (0, 0)}
+    kept = spark.read.format("statestore").option("path", state).option("stateVarName", "folded").load()
+    assert [r.key.user_id for r in kept.collect() if r.key.user_id > 0] == [2]  # user 1 has finished and left no state
