@@ -2,9 +2,9 @@
 
 Every word's bigrams are put in one order over the vocabulary, rare ones first. Its prefix is its first three bigrams (two
 for an edit, and one); two of them that do not overlap, together as rare as possible, are its pivots. One edit spoils at most one of
-two disjoint bigrams, so of a near pair the word whose prefix ends earlier in the order has a pivot that stands in the prefix of the other.
-An edit also moves a bigram by one place at most, and by none if the lengths agree, so pivots are looked up by bigram, length and
-place at once, and what is found is verified by edit distance.
+two disjoint bigrams, so of a near pair the word whose prefix ends earlier in the order has a pivot that stands in the prefix of the other. Places limit
+what has to be compared: on the side of a whole pivot that the edit is not on, both words are equal to their ends. So a pivot is looked up with all that stands before it,
+or all that stands after it, and the other word's length; what is found is verified by edit distance.
 """
 
 from __future__ import annotations
@@ -87,37 +87,47 @@ def pivots_of(prefix: list[tuple[int, str]], ranks: dict[str, tuple[int, str]],
     return done[-1][want][1]
 
 
+def probes_of(word: str, pivots: list[tuple[int, str]]) -> list[tuple[bool, str, int, int]]:
+    """(before, part, head, tail) of the four places that an edit can have: a part of the word, before or after a whole pivot, that is left as it is, and how
+    many code points at either end are equal besides."""
+    (first, _), (second, _) = pivots
+    return [
+        (True, word[: second + GRAM], 0, 0),  # behind the second pivot
+        (False, word[first:], 0, 0),  # before the first one
+        (True, word[: first + GRAM], 0, len(word) - second - GRAM),  # behind the first one, in the second one at most
+        (False, word[second:], first, 0),  # in the first one
+    ]
+
+
 def gram_index(words: DataFrame, ranks: dict[str, tuple[int, str]]) -> DataFrame:
-    """(word, n, chars, gram, place, pivot) of the prefix of each word."""
+    """(probe, before, part, word, n, chars, head, tail): for each word what it looks up, and what it is found by: each bigram of its prefix with all before it,
+    and with all after it."""
 
     def run(batches):
         for b in batches:
             rows = []
             for word, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 prefix, further = prefix_of(word, ranks)
-                pivots = pivots_of(prefix, ranks)
-                rows += [(word, n, len(word), g, i, (i, g) in pivots) for i, g in prefix + further]
-            kinds = (pa.string(), pa.int64(), pa.int32(), pa.string(), pa.int32(), pa.bool_())
+                rows += [(True, before, part, word, n, len(word), head, tail) for before, part, head, tail in probes_of(word, pivots_of(prefix, ranks))]
+                for i, _ in prefix + further:
+                    rows += [(False, True, word[: i + GRAM], word, n, len(word), 0, 0), (False, False, word[i:], word, n, len(word), 0, 0)]
+            kinds = (pa.bool_(), pa.bool_(), pa.string(), pa.string(), pa.int64(), pa.int32(), pa.int32(), pa.int32())
             columns = [pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)]
-            yield pa.RecordBatch.from_arrays(columns, ["word", "n", "chars", "gram", "place", "pivot"])
-
-    return words.select("word", "n").mapInArrow(run, "word string, n bigint, chars int, gram string, place int, pivot boolean")
+            yield pa.RecordBatch.from_arrays(columns, ["probe", "before", "part", "word", "n", "chars", "head", "tail"])
 
-
-#: (longer by, moved by) of what one edit makes of a word and of a bigram that it leaves whole.
-SHIFTS = ((0, 0), (1, 0), (1, 1), (-1, 0), (-1, -1))
+    fields = "probe boolean, before boolean, part string, word string, n bigint, chars int, head int, tail int"
+    return words.select("word", "n").mapInArrow(run, fields)
 
 
 def near_words(index: DataFrame) -> DataFrame:
     """(word, near, near_n): each pair of words one edit apart, both ways round."""
-    shifts = F.array(*[F.struct(F.lit(c).alias("chars"), F.lit(p).alias("place")) for c, p in SHIFTS])
-    probes = index.where("pivot").select("word", "n", "gram", "chars", "place", F.explode(shifts).alias("by"))
-    probes = probes.select(
-        F.col("word").alias("a"), F.col("n").alias("a_n"), "gram", (F.col("chars") + F.col("by.chars")).alias("chars"), (F.col("place") + F.col("by.place")).alias("place")
-    )
-    held = index.select(F.col("word").alias("b"), F.col("n").alias("b_n"), "gram", "chars", "place")
-    near = (F.col("a") != F.col("b")) & (F.levenshtein("a", "b", EDITS) == EDITS)
-    pairs = probes.join(held, ["gram", "chars", "place"]).where(near)
+    longer = F.explode(F.array(*[F.lit(k) for k in range(-EDITS, EDITS + 1)]))
+    probes = index.where("probe").select("before", "part", F.col("word").alias("a"), F.col("n").alias("a_n"), "chars", "head", "tail", longer.alias("by"))
+    probes = probes.select("before", "part", "a", "a_n", "head", "tail", (F.col("chars") + F.col("by")).alias("chars"))
+    held = index.where("not probe").select("before", "part", "chars", F.col("word").alias("b"), F.col("n").alias("b_n"))
+    a, b = F.col("a"), F.col("b")
+    ends = (F.left(a, F.col("head")) == F.left(b, F.col("head"))) & (F.right(a, F.col("tail")) == F.right(b, F.col("tail")))
+    pairs = probes.join(held, ["before", "part", "chars"]).where((a != b) & ends & (F.levenshtein(a, b, EDITS) == EDITS))
     first = F.col("a") < F.col("b")
     pairs = pairs.select(
         F.when(first, F.col("a")).otherwise(F.col("b")).alias("a"), F.when(first, F.col("a_n")).otherwise(F.col("b_n")).alias("a_n"),
