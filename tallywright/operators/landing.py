@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.scratch import counted_broadcast, materialize
@@ -14,8 +14,11 @@ BROADCAST_ROWS = 1_000_000
 
 def build_transactions_raw(transactions: DataFrame, null_customer: Column, ghost_customer: Column, ghost: Column, cloned: Column) -> DataFrame:
     """Clean rows, some with a null or an unknown customer, and clones one rupee dearer with the true customer."""
-    dirty = transactions.withColumn("customer_id", F.when(null_customer, None).when(ghost_customer, ghost).otherwise(F.col("customer_id")))
-    return dirty.unionByName(transactions.where(cloned).withColumn("amount_inr", F.col("amount_inr") + 1))
+    copies = F.explode(F.when(cloned, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0))))  # from one pass over the table
+    rows = transactions.withColumn("_copy", copies)
+    own = F.col("_copy") == 0
+    customer = F.when(own & null_customer, None).when(own & ghost_customer, ghost).otherwise(F.col("customer_id"))
+    return rows.withColumns({"customer_id": customer, "amount_inr": F.col("amount_inr") + F.col("_copy")}).drop("_copy")
 
 
 def build_fraud_alerts_raw(alerts: DataFrame, cloned: Column, clone_id: Column, early: Column, early_ts: Column) -> DataFrame:
@@ -80,9 +83,9 @@ def _one_row(*parts: DataFrame) -> DataFrame:
     return out
 
 
-def raw_by_txn(transactions_raw: DataFrame, customers: DataFrame, order: str = "amount_inr") -> DataFrame:
+def grouped_by_txn(transactions_raw: DataFrame, customers: DataFrame, order: str = "amount_inr") -> DataFrame:
     """One row per txn_id of the raw table, from one pass over it: n_rows, invalid (a row without a known customer), txn_ts (the
-    least), and customer_id and known of the first row by `order`. Written, as several figures rest on it."""
+    least), and customer_id and known of the first row by `order`."""
     unknown = unknown_customers(transactions_raw, customers).withColumn("_unknown", F.lit(True))
     rows = transactions_raw.select("txn_id", "customer_id", "txn_ts", order).join(unknown, "customer_id", "left")
     rows = rows.withColumn("known", F.col("customer_id").isNotNull() & F.col("_unknown").isNull())
@@ -90,7 +93,12 @@ def raw_by_txn(transactions_raw: DataFrame, customers: DataFrame, order: str = "
         F.count(F.lit(1)).alias("n_rows"), F.max(~F.col("known")).alias("invalid"), F.min("txn_ts").alias("txn_ts"),
         F.min(F.struct(F.col(order).alias("_o"), "customer_id", "known")).alias("t"),
     )
-    return materialize(grouped.select("txn_id", "n_rows", "invalid", "txn_ts", "t.customer_id", "t.known"), "raw-by-txn")
+    return grouped.select("txn_id", "n_rows", "invalid", "txn_ts", "t.customer_id", "t.known")
+
+
+def raw_by_txn(transactions_raw: DataFrame, customers: DataFrame, order: str = "amount_inr") -> DataFrame:
+    """`grouped_by_txn`, written, as several figures rest on it."""
+    return materialize(grouped_by_txn(transactions_raw, customers, order), "raw-by-txn")
 
 
 def _raw_counts(by_txn: DataFrame) -> DataFrame:
@@ -145,22 +153,37 @@ def evidence_metrics(transactions: DataFrame, alerts: DataFrame, transactions_ra
     )
 
 
-def checks(*parts: tuple[str, DataFrame, str, float | None, float | None]) -> DataFrame:
-    """One row per expectation (name, one-row frame, its column, lower, upper): name, actual, lower, upper, passed."""
-    rows = None
-    for name, df, column, low, high in parts:
-        actual = F.col(column).cast("double")
-        passed = F.lit(True)
-        if low is not None:
-            passed = passed & (actual >= low)
-        if high is not None:
-            passed = passed & (actual <= high)
-        row = df.select(
-            F.lit(name).alias("name"), actual.alias("actual"), F.lit(low).cast("double").alias("lower"), F.lit(high).cast("double").alias("upper"),
-            F.coalesce(passed, F.lit(False)).alias("passed"),
-        )
-        rows = row if rows is None else rows.unionByName(row)
-    return rows
+def count_if(condition: Column, name: str) -> Column:
+    return F.count(F.when(condition, 1)).alias(name)
+
+
+def write_checked(df: DataFrame, name: str, *figures: Column) -> tuple[DataFrame, dict]:
+    """Write `df` as a table, and gather aggregates of its rows in the same pass: (the table, figures by name).
+
+    The figures are taken where the rows are written, after the last shuffle, so that a task that runs again counts once. The driver gets one
+    number a figure.
+    """
+    seen = Observation()
+    table = materialize(df.observe(seen, *figures), name)
+    return table, seen.get
+
+
+def both_ways(transactions: DataFrame, alerts: DataFrame) -> dict:
+    """Missing alerts by the left join and by the anti join, in one pass over the transactions: n_left, n_anti, n_both, their common rows."""
+    left, over_all = alert_ops.with_seen(transactions, alerts), Observation()
+    left = left.observe(over_all, count_if(F.col("seen").isNull(), "n_left"))
+    found = left.join(alerts.select("txn_id"), "txn_id", "left_anti").select("txn_id", "seen")
+    _, common = write_checked(found, "missing", F.count(F.lit(1)).alias("n_anti"), count_if(F.col("seen").isNull(), "n_both"))
+    return over_all.get | common
+
+
+def check_rows(spark: SparkSession, *parts: tuple[str, float | None, float | None, float | None]) -> DataFrame:
+    """One row per expectation (name, actual, lower, upper), with whether it is met; one without a figure is not."""
+    rows = []
+    for name, actual, low, high in parts:
+        passed = actual is not None and (low is None or actual >= low) and (high is None or actual <= high)
+        rows.append((name, *[None if x is None else float(x) for x in (actual, low, high)], passed))
+    return spark.createDataFrame(rows, "name string, actual double, lower double, upper double, passed boolean")
 
 
 def id_set_diff(got: DataFrame, expected: DataFrame, key: str = "txn_id") -> DataFrame:
@@ -181,7 +204,8 @@ def table_profile(tables: dict[str, DataFrame]) -> DataFrame:
     out = None
     for name, df in tables.items():
         row = df.agg(F.count(F.lit(1)).alias("n_rows"))
-        row = row.select(F.lit(name).alias("name"), "n_rows", F.array(*[F.lit(c) for c in df.columns]).alias("columns"))
+        n = F.greatest("n_rows", F.lit(0)).alias("n_rows")  # counts pushed down to the footers of no file are null
+        row = row.select(F.lit(name).alias("name"), n, F.array(*[F.lit(c) for c in df.columns]).alias("columns"))
         out = row if out is None else out.unionByName(row)
     return out
 

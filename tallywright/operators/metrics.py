@@ -25,6 +25,18 @@ def monthly_alert_rate(transactions: DataFrame, alerts: DataFrame, months: DataF
     return rows.withColumn("alerts_per_1000", rules.per_thousand(F.col("alerts"), F.col("settled")))
 
 
+def month_figures(transactions: DataFrame, alerts: DataFrame, leak_month: str) -> DataFrame:
+    """Per month of keyed transactions, in one joined pass: settled, alerts, alerts_per_1000, and alerts of the leak month in CRYPTO."""
+    raised = alerts.groupBy("txn_id").agg(F.count(F.lit(1)).alias("n"))
+    rows = transactions.select("txn_id", "month", "category", "status").join(raised, "txn_id", "left")
+    leak = (F.col("month") == leak_month) & (F.col("category") == "CRYPTO")
+    sums = rows.groupBy("month").agg(
+        F.count(F.when(rules.is_settled(), 1)).alias("settled"), F.coalesce(F.sum("n"), F.lit(0)).alias("alerts"),
+        F.coalesce(F.sum(F.when(leak, F.col("n"))), F.lit(0)).alias("leak_crypto_alerts"),
+    )
+    return sums.withColumn("alerts_per_1000", rules.per_thousand(F.col("alerts"), F.col("settled")))
+
+
 def lowest_rate_month(rates: DataFrame) -> DataFrame:
     """The month with the lowest rate; of equal ones the first."""
     return rates.orderBy("alerts_per_1000", "month").limit(1)

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.scratch import counted_broadcast, materialize
+
 SNAPSHOT = (
     "userId string, moduleId string, paidAmount int, rewardUnlocked int, maxReward int, currentStageOrder int, completedStageIds array<string>, "
     "completedChallengeIds array<string>, rewardHistory array<struct<stageId: string, label: string, amountInr: int, unlockedAt: string>>, "
@@ -23,19 +25,47 @@ DEFAULTS = {
 EVENTS = "array<struct<name: string, properties: map<string, string>, createdAt: string>>"
 
 
+CORRUPT = "_corrupt"
+
+
+def _parsed(text: Column, schema: str) -> Column:
+    return F.from_json(text, f"{schema}, {CORRUPT} string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT})
+
+
+def _verdict(json: Column, corrupt: Column) -> Column:
+    blank = json.isNull() | (F.regexp_replace(json, r"^\s+|\s+$", "") == "")
+    return F.when(blank, "EMPTY").when(corrupt.isNotNull(), "CORRUPT").otherwise("OK")
+
+
 def parse_progress(df: DataFrame, json: str = "snapshot") -> DataFrame:
-    """Adds `progress`, the typed snapshot; missing fields take defaults, corrupt text gives the empty snapshot."""
-    rows = df.withColumn("_p", F.from_json(json, SNAPSHOT, {"mode": "PERMISSIVE"}))
-    kinds = {f.name: f.dataType for f in rows.schema["_p"].dataType}
+    """Adds `progress`, the typed snapshot, and `verdict`: OK, EMPTY (null or blank text) or CORRUPT (no JSON, or a field of another type).
+
+    Missing fields and those of another type take defaults; text that is no JSON gives the empty snapshot.
+    """
+    rows = df.withColumn("_p", _parsed(F.col(json), SNAPSHOT))
+    kinds = {f.name: f.dataType for f in rows.schema["_p"].dataType if f.name != CORRUPT}
     field = lambda n: F.coalesce(F.col(f"_p.{n}"), F.expr(DEFAULTS[n]).cast(kinds[n])) if n in DEFAULTS else F.col(f"_p.{n}")
-    return rows.withColumn("progress", F.struct(*[field(n).alias(n) for n in kinds])).drop("_p")
+    rows = rows.withColumn("progress", F.struct(*[field(n).alias(n) for n in kinds]))
+    return rows.withColumn("verdict", _verdict(F.col(json), F.col(f"_p.{CORRUPT}"))).drop("_p")
 
 
 def parse_event_log(df: DataFrame, json: str = "log") -> DataFrame:
-    """One row per event of the log: name, properties, created_at. A log without events keeps one row of nulls."""
+    """One row per event of the log: name, properties, created_at, and the log's verdict as in `parse_progress`. A log without events keeps one row of nulls."""
     rest = [c for c in df.columns if c != json]
-    rows = df.select(*rest, F.explode_outer(F.from_json(json, EVENTS)).alias("e"))
-    return rows.select(*rest, "e.name", "e.properties", F.col("e.createdAt").alias("created_at"))
+    whole = _parsed(F.concat(F.lit('{"events":'), F.col(json), F.lit("}")), f"events {EVENTS}")
+    rows = df.withColumn("_p", whole).withColumn("verdict", _verdict(F.col(json), F.col(f"_p.{CORRUPT}")))
+    rows = rows.select(*rest, "verdict", F.explode_outer("_p.events").alias("e"))
+    return rows.select(*rest, "e.name", "e.properties", F.col("e.createdAt").alias("created_at"), "verdict")
+
+
+def split_corrupt(df: DataFrame, parsed: DataFrame, folder: str) -> tuple[DataFrame, DataFrame]:
+    """(rows to go on with, quarantine): what was parsed, written once with a folder for each verdict, so that both come from one pass over the texts.
+
+    `df` had the texts; corrupt rows keep theirs in the quarantine, for a second look. Empty ones go on, as the empty snapshot.
+    """
+    parsed.write.mode("overwrite").partitionBy("verdict").parquet(folder)
+    table = df.sparkSession.read.schema(parsed.schema).parquet(folder)
+    return table.where("verdict <> 'CORRUPT'").select(*parsed.columns), table.where("verdict = 'CORRUPT'").select(*df.columns)
 
 
 def latest_stage_progress(df: DataFrame, order: list[str]) -> DataFrame:
@@ -53,13 +83,55 @@ def completed_challenges(subs: DataFrame) -> DataFrame:
     return rows.where(F.col("first_pass").isNotNull())
 
 
-def stage_completions(subs: DataFrame, challenges: DataFrame, stages: DataFrame, n_stages: int = 5) -> DataFrame:
+#: A user with more passes than this is not gathered into one row.
+LONG_HISTORY = 10_000
+
+
+def stage_completions(subs: DataFrame, challenges: DataFrame, stages: DataFrame, n_stages: int = 5, long_history: int = LONG_HISTORY) -> DataFrame:
     """(user_id, stage_id, stage_order, completed_at, seq) of completed stages.
 
-    Stage k opens when stage k-1 is done, and closes with the latest, over its challenges, of the first
-    pass after opening. Every step shuffles by user only, and groups what passed, pre-aggregated.
+    Stage k opens when stage k-1 is done, and closes with the latest, over its challenges, of the first pass after opening. A user's passes are gathered
+    once, put in order and folded: one shuffle by user for all stages. Users with a longer history than `long_history` passes, of whom there are few, go
+    stage by stage instead, each stage pre-aggregated to first passes.
     """
     passes = subs.where("passed").join(challenges.select("challenge_id", "stage_order"), "challenge_id")
+    counts = passes.groupBy("user_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > long_history)
+    long, _ = counted_broadcast(materialize(counts.select("user_id"), "long-histories"), LONG_HISTORY)
+    if long.isEmpty():
+        return _folded_completions(subs, challenges, stages, n_stages)
+    own = lambda how: subs.join(long, subs["user_id"].eqNullSafe(long["user_id"]), how)
+    short = _folded_completions(own("left_anti"), challenges, stages, n_stages)
+    return short.unionByName(_stepped_completions(own("left_semi"), challenges, stages, n_stages))
+
+
+def _folded_completions(subs: DataFrame, challenges: DataFrame, stages: DataFrame, n_stages: int) -> DataFrame:
+    """The fold: state is the open stage, when it opened, which of its challenges are passed (a bit each), and the stages done."""
+    place = F.row_number().over(Window.partitionBy("stage_order").orderBy("challenge_id")) - 1  # over the few challenges
+    bits = F.broadcast(challenges.select("challenge_id", "stage_order", place.alias("place")))
+    sizes = F.broadcast(stages.where(F.col("stage_order") <= n_stages).select("stage_order", "stage_id", F.col("n_challenges").alias("need")))
+    passes = subs.where("passed").join(bits, "challenge_id").join(sizes, "stage_order")
+    step = F.struct("seq", "ts", F.col("stage_order").cast("int").alias("stage_order"), "stage_id", F.expr("shiftleft(1L, place)").alias("bit"), F.expr("shiftleft(1L, need) - 1").alias("all"))
+    lists = passes.groupBy("user_id").agg(F.sort_array(F.collect_list(step)).alias("passes"))
+    kinds = {f.name: f.dataType.simpleString() for f in passes.schema}
+    done = f"array<struct<stage_id: string, stage_order: int, completed_at: {kinds['ts']}, seq: {kinds['seq']}>>"
+    start = F.struct(F.lit(1).alias("stage"), F.lit(None).cast(kinds["seq"]).alias("opened"), F.lit(0).cast("bigint").alias("bits"), F.array().cast(done).alias("done"))
+
+    def fold(state: Column, p: Column) -> Column:
+        bits = state["bits"].bitwiseOR(p["bit"])
+        entry = F.array(F.struct(p["stage_id"].alias("stage_id"), p["stage_order"].alias("stage_order"), p["ts"].alias("completed_at"), p["seq"].alias("seq")))
+        closed = F.struct((state["stage"] + 1).alias("stage"), p["seq"].alias("opened"), F.lit(0).cast("bigint").alias("bits"), F.concat(state["done"], entry).alias("done"))
+        going = F.struct(state["stage"].alias("stage"), state["opened"].alias("opened"), bits.alias("bits"), state["done"].alias("done"))
+        counts = (p["stage_order"] == state["stage"]) & (state["opened"].isNull() | (p["seq"] > state["opened"]))
+        return F.when(counts & (bits == p["all"]), closed).when(counts, going).otherwise(state)
+
+    rows = lists.select("user_id", F.explode(F.aggregate("passes", start, fold, lambda state: state["done"])).alias("d"))
+    order = challenges.schema["stage_order"].dataType
+    return rows.select("user_id", "d.stage_id", F.col("d.stage_order").cast(order).alias("stage_order"), "d.completed_at", "d.seq")
+
+
+def _stepped_completions(subs: DataFrame, challenges: DataFrame, stages: DataFrame, n_stages: int) -> DataFrame:
+    """Stage by stage: every step shuffles by user only, and groups what passed, pre-aggregated."""
+    passes = subs.where("passed").join(challenges.select("challenge_id", "stage_order"), "challenge_id")
     passes = passes.select("user_id", "challenge_id", "stage_order", "ts", "seq")
     done, opened = None, None
     for k in range(1, n_stages + 1):

@@ -282,10 +282,16 @@ _BODIES["grade_evidence"] = f"""SELECT *, CASE WHEN passed THEN '{G.GOOD_EVIDENC
 for _name, _good, _bad in (("grade_explanation", G.GOOD_EXPLANATION, G.BAD_EXPLANATION), ("grade_viva", G.GOOD_VIVA, G.BAD_VIVA)):
     _BODIES[_name] = f"SELECT *, CASE WHEN passed THEN '{_good}' ELSE '{_bad}' END AS feedback FROM ({_BODIES[_name]})"
 
+_BODIES["quarantine_progress"] = """SELECT CASE WHEN v = 'CORRUPT' THEN 'aside' ELSE 'kept' END AS goes, v AS verdict, count(*) AS n, sum(paid)::BIGINT AS total FROM (
+  SELECT CASE WHEN user_id % 7 = 0 OR user_id % 11 = 3 THEN 'CORRUPT' WHEN user_id % 13 IN (5, 6) THEN 'EMPTY' ELSE 'OK' END AS v,
+    CASE WHEN user_id % 7 = 0 THEN 20 WHEN user_id % 11 = 3 THEN length('{"userId":"' || user_id || '","paidAmount":"many","was":' || n || ',"completedChallengeIds":["s1-q1"]}')
+      WHEN user_id % 13 IN (5, 6) THEN 0 ELSE n END AS paid
+  FROM (SELECT user_id, count(*) AS n FROM subs GROUP BY user_id)) GROUP BY ALL"""
 #: Queries that reach the same rows another way.
 _BODIES |= {
     "merge_stage_progress": _BODIES["latest_stage_progress"],
     "missing_alerts_bucketed": _BODIES["missing_alerts"],
+    "missing_alerts_bitmap": _BODIES["missing_alerts"],
     "alerts_with_txn_first_bucketed": _BODIES["alerts_with_txn_first"],
 }
 ORACLE_SQL = {name: PRELUDE + body for name, body in _BODIES.items()}

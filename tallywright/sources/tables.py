@@ -48,6 +48,14 @@ def load_tables(spark: SparkSession, directory: str) -> dict[str, DataFrame]:
     return register({name: read_table(spark, directory, name) for name in TABLES})
 
 
+def footer_tables(spark: SparkSession, paths: dict[str, str]) -> dict[str, DataFrame]:
+    """Tables whose row counts come from the Parquet footers: no column is read for `count`. They belong to a session of their own."""
+    footers = spark.newSession()
+    footers.conf.set("spark.sql.sources.useV1SourceList", "")
+    footers.conf.set("spark.sql.parquet.aggregatePushdown", "true")
+    return {name: footers.read.parquet(path) for name, path in paths.items()}
+
+
 def write_table(df: DataFrame, path: str, partition_by: str = "month") -> None:
     """Write `df` as Parquet, a folder for each value of `partition_by`; written again, it replaces the folders that it has values for."""
     overwrite_partitions(df, path, partition_by)

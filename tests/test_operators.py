@@ -9,6 +9,7 @@ from tallywright.operators import landing as L
 from tallywright.operators import metrics as M
 from tallywright.operators import progress as P
 from tallywright.sources import tables as T
+from tallywright.sources.scratch import new_path
 
 TXN = "txn_id string, customer_id string, amount_inr long, channel string, category string, txn_ts timestamp, month string, status string, is_international int"
 
@@ -232,3 +233,138 @@ def test_declared_tables_round_trip(spark, tmp_path):
     assert set(tables) == set(T.TABLES) and spark.sql("SELECT count(*) FROM fraud_alerts_raw").first()[0] == 0
     with pytest.raises(KeyError):
         T.read_table(spark, str(tmp_path), "nothing")
+
+
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_counts_come_from_footers(spark):
+    paths = {"one": new_path(spark, "one"), "none": new_path(spark, "none")}
+    df = spark.range(1000).selectExpr("id", "cast(id as string) as text").repartition(3)
+    df.write.parquet(paths["one"])
+    df.where("id < 0").write.parquet(paths["none"])
+    rows = L.table_profile(T.footer_tables(spark, paths))
+    assert {r.name: (r.n_rows, r.columns) for r in rows.collect()} == {"one": (1000, ["id", "text"]), "none": (0, ["id", "text"])}
+    found = rows._jdf.queryExecution().optimizedPlan().toString() + plan(rows)
+    assert found.count("PushedAggregation: [COUNT(*)]") >= 2 and "text#" not in found  # the scans return counts, and read no column
+
+
+def test_figures_are_gathered_while_a_table_is_written(spark):
+    df = spark.range(100).repartition(5)
+    table, seen = L.write_checked(df, "numbers", F.count(F.lit(1)).alias("n"), L.count_if(F.col("id") % 3 == 0, "thirds"), F.max("id").alias("most"))
+    assert seen == {"n": 100, "thirds": 34, "most": 99} and table.count() == 100
+    rows = {r.name: r for r in L.check_rows(spark, ("a", seen["n"], 1, None), ("b", seen["thirds"], 40, 50), ("c", None, 0, None)).collect()}
+    assert [rows[k].passed for k in "abc"] == [True, False, False] and rows["b"].upper == 50.0 and rows["c"].actual is None
+
+
+def test_both_ways_are_compared_row_by_row(spark):
+    txns = spark.createDataFrame([(i, 300_000.0 if i % 2 else 1.0, "UPI", "RETAIL", "SETTLED", 0) for i in range(40)] + [(None, 300_000.0, "UPI", "RETAIL", "SETTLED", 0)], "txn_id long, amount_inr double, channel string, category string, status string, is_international int")
+    alerts = spark.createDataFrame([(i,) for i in (1, 1, 3, 5, 8, None)], "txn_id long")
+    assert L.both_ways(txns, alerts) == {"n_left": 18, "n_anti": 18, "n_both": 18}
+
+
+def test_dataset_checks_pass_over_each_table_once(spark, monkeypatch):
+    """Scans in the plans of everything that the query writes and returns."""
+    from tallywright.operators import landing
+    from tallywright.plans import catalog
+    from tallywright.sources import scratch
+
+    scans, real = [], scratch.materialize
+
+    def counted(df, name):
+        scans.append((name, df._jdf.queryExecution().sparkPlan().toString().count("FileScan")))
+        return real(df, name)
+
+    for module in (landing, scratch, catalog):
+        monkeypatch.setattr(module, "materialize", counted)
+    assert catalog.QUERIES["dataset_checks"](spark, "/root/testdata/sf0.001").count() == 9
+    assert sum(n for _, n in scans) <= 20, scans
+    # The tables themselves: customers from two sources, transactions from three, alerts from two (transactions as written).
+    assert [n for name, n in scans if name in ("customers", "transactions", "alerts")] == [2, 3, 2]
+
+
+WIDE = "txn_id long, amount_inr double, channel string, category string, status string, is_international int"
+
+
+def test_bitmaps_cut_the_alerts_exactly(spark):
+    import random
+
+    rng = random.Random(6)
+    ids = [rng.choice([k, k + 32_768 * 5, -k, 10**12 + k]) for k in range(3000)] + [0, 32_767, 32_768, -32_768, None]
+    txns = spark.createDataFrame([(i, 300_000.0 if k % 3 else 1.0, "UPI", "RETAIL", "SETTLED", 0) for k, i in enumerate(ids)], WIDE)
+    alerts = spark.createDataFrame([(rng.choice(ids),) for _ in range(4000)], "txn_id long")
+    want = sorted(str(r.txn_id) for r in A.missing_alerts(txns, alerts).collect())
+    for limit in (A.BITMAP_BUCKETS, 0):
+        assert sorted(str(r.txn_id) for r in A.missing_alerts_by_bitmap(txns, alerts, limit).collect()) == want
+    suspicious = A.suspicious_transactions(txns).select("txn_id")
+    cut = A.cut_to(alerts, A.id_bitmaps(suspicious))
+    assert sorted(r.txn_id for r in cut.collect()) == sorted(r.txn_id for r in alerts.join(suspicious.distinct(), "txn_id", "left_semi").collect())
+    assert cut.count() < alerts.count() and "Exchange hashpartitioning(txn_id" not in plan(cut)
+
+
+def shuffles_by(df, column):
+    import re
+
+    return len(set(re.findall(rf"Exchange hashpartitioning\\({column}#\\d+L?, [^\\n]*", df._jdf.queryExecution().executedPlan().toString())))
+
+
+@pytest.mark.parametrize("long_history", [10_000, 60, 0])
+def test_completions_are_folded_in_order(spark, long_history):
+    import random
+
+    rng = random.Random(9)
+    names = [c[0] for c in T.CHALLENGES] + ["unknown"]
+    rows = [(rng.randrange(5) if k < 500 else 99, rng.choice(names), rng.random() < 0.8) for k in range(900)]
+    subs = subs_of(spark, rows)
+    got = P.stage_completions(subs, T.challenges(spark), T.stages(spark), long_history=long_history)
+    done = {}
+    for r in got.collect():
+        done.setdefault(r.user_id, []).append((r.stage_order, r.stage_id, r.seq))
+    want = P._stepped_completions(subs, T.challenges(spark), T.stages(spark), 5)
+    stepped = {}
+    for r in want.collect():
+        stepped.setdefault(r.user_id, []).append((r.stage_order, r.stage_id, r.seq))
+    assert {u: sorted(x) for u, x in done.items()} == {u: sorted(x) for u, x in stepped.items()}
+    assert {u: len(done.get(u, ())) for u in {r[0] for r in rows}} == {u: s for u, (s, _) in fold(rows).items()}
+    assert dict(got.dtypes) == dict(want.dtypes)
+
+
+def test_completions_take_one_shuffle_by_user(spark):
+    subs = subs_of(spark, [(u, c[0], True) for u in range(3) for c in T.CHALLENGES])
+    got = P._folded_completions(subs, T.challenges(spark), T.stages(spark), 5)
+    assert got.count() == 15 and plan(got).split("Initial Plan")[0].count("Exchange hashpartitioning(user_id") == 1
+    assert got.where("false").count() == 0
+
+
+TEXTS = [
+    ('{"userId":"a","paidAmount":7}', "OK", 7), ('{"userId":"a","paid', "CORRUPT", 0), ('{"userId":"a","paidAmount":"many"}', "CORRUPT", 0), (None, "EMPTY", 0),
+    ("", "EMPTY", 0), (" \n", "EMPTY", 0), ("[]", "CORRUPT", 0), ("nonsense", "CORRUPT", 0), ("{}", "OK", 0), ('{"completedStageIds":"s1"}', "CORRUPT", 0),
+]
+
+
+def test_corrupt_snapshots_are_told_from_empty_ones(spark):
+    df = spark.createDataFrame([(i, t) for i, (t, _, _) in enumerate(TEXTS)], "id int, snapshot string")
+    parsed = P.parse_progress(df)
+    got = {r.id: (r.verdict, r.progress.paidAmount, r.progress.maxReward) for r in parsed.collect()}
+    assert got == {i: (v, n, 150) for i, (_, v, n) in enumerate(TEXTS)}
+    good, bad = P.split_corrupt(df, parsed, new_path(spark, "snapshots"))
+    assert sorted(r.id for r in good.collect()) == [i for i, (_, v, _) in enumerate(TEXTS) if v != "CORRUPT"]
+    assert {(r.id, r.snapshot) for r in bad.collect()} == {(i, t) for i, (t, v, _) in enumerate(TEXTS) if v == "CORRUPT"} and bad.columns == df.columns
+
+
+def test_corrupt_event_logs(spark):
+    logs = ['[{"name":"a","properties":{"k":"1"},"createdAt":"x"}]', "[]", '[{"name":"a"', None, "", '{"name":"a"}]', "[1, 2]"]
+    df = spark.createDataFrame(list(enumerate(logs)), "id int, log string")
+    got = {r.id: (r.verdict, r.name) for r in P.parse_event_log(df).collect()}
+    assert got == {0: ("OK", "a"), 1: ("OK", None), 2: ("CORRUPT", None), 3: ("EMPTY", None), 4: ("EMPTY", None), 5: ("CORRUPT", None), 6: ("CORRUPT", None)}
+
+
+def test_clones_come_from_one_scan(spark):
+    df = spark.createDataFrame([(i, i % 3, 100.0 * i, "SETTLED") for i in range(30)] + [(None, 1, 5.0, "SETTLED")], "txn_id long, customer_id int, amount_inr double, status string")
+    c = F.col("txn_id")
+    raw = L.build_transactions_raw(df, c % 7 == 0, c % 5 == 0, F.lit(-1), c % 4 == 1)
+    got = sorted((str(r.txn_id), str(r.customer_id), r.amount_inr) for r in raw.collect())
+    want = [(i, None if i % 7 == 0 else -1 if i % 5 == 0 else i % 3, 100.0 * i) for i in range(30)] + [(None, 1, 5.0)]
+    want += [(i, i % 3, 100.0 * i + 1) for i in range(30) if i % 4 == 1]
+    assert got == sorted((str(a), str(b), x) for a, b, x in want) and raw.schema == df.schema
