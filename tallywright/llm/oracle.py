@@ -27,11 +27,14 @@ j AS (
     base_failed OR 100 * n_symbols > {quality.MAX_SYMBOL_PERCENT} * n_words OR 100 * n_dup_lines > {quality.MAX_DUP_LINE_PERCENT} * n_lines
       OR word_chars < {_LOW} * n_words OR word_chars > {_HIGH} * n_words AS failed FROM m),
 h AS (SELECT host, count(*) AS n, count(*) FILTER (failed) AS f FROM j GROUP BY host),
-p AS (SELECT sum(f)::DOUBLE / sum(n) AS mean, sum((f * f)::DOUBLE / n) / sum(n) - mean * mean AS var FROM h),
-prior AS (SELECT mean, CASE WHEN var > 1e-12 THEN greatest(mean * (1 - mean) / var - 1, 1e-6) ELSE {quality.FLAT_PRIOR_WEIGHT} END AS weight FROM p),
+s AS (
+  SELECT count(*) AS hosts, sum(n)::DOUBLE AS total, sum(f)::DOUBLE / sum(n) AS mean, mean * (1 - mean) AS chance, sum((f * f)::DOUBLE / n) AS squares,
+    sum((n * n)::DOUBLE) AS sizes, squares - total * mean * mean - (hosts - 1) * chance AS excess, total - sizes / total - (hosts - 1) AS room FROM h),
+prior AS (
+  SELECT mean, CASE WHEN room > 0 AND excess > 1e-9 THEN greatest(chance / (excess / room) - 1, 1e-6) ELSE {quality.FLAT_PRIOR_WEIGHT} END AS weight,
+    round(least({quality.MAX_HOST_RATE}, mean + {quality.HOST_DEVIATIONS} * sqrt(chance / (weight + 1))), 9) AS line FROM s),
 rate AS (
-  SELECT host, round((f + mean * weight) / (n + weight), 9)
-    > round(least({quality.MAX_HOST_RATE}, mean + {quality.HOST_DEVIATIONS} * sqrt(mean * (1 - mean) / (weight + 1))), 9) AS poor FROM h, prior)
+  SELECT host, (f + mean * weight) / (n + weight) AS r, round(r - {quality.SURE_DEVIATIONS} * sqrt(r * (1 - r) / (n + weight + 1)), 9) > line AS poor FROM h, prior)
 SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols, n_dup_lines::BIGINT AS n_dup_lines,
   n_repeat_words::BIGINT AS n_repeat_words, base_failed, NOT base_failed AND NOT (poor AND failed) AS kept
 FROM j JOIN rate USING (host)"""

@@ -2,8 +2,8 @@
 
 Document rules count words, symbols, repeated lines and repeated three-word windows.
 Host rules gather the documents' failures by host, shrink each host's failure rate with a
-beta prior fitted to all hosts by the method of moments, judge the shrunken rate against that
-prior, and join the verdicts back. A small host with a bad record is shrunk to the others and passes.
+beta prior fitted to all hosts by the method of moments, freed of the noise of sampling, judge the posterior against that
+prior, and join the verdicts back. A small host with a bad record is shrunk to the others and passes, and hosts that differ by chance alone do too.
 """
 
 from __future__ import annotations
@@ -23,10 +23,11 @@ MAX_REPEATED_PERCENT = 50
 MAX_SYMBOL_PERCENT = 30
 MAX_DUP_LINE_PERCENT = 50
 MEAN_WORD_LENGTH = (2, 15)
-#: A host is poor if its shrunken failure rate is over this, or in the upper quarter of the prior: so many of the
-#: prior's standard deviations over its mean.
+#: A host is poor if its failure rate is surely over this, or in the upper quarter of the prior: so many of the
+#: prior's standard deviations over its mean. Sure is what lies so many posterior standard deviations under the shrunken rate.
 MAX_HOST_RATE = 0.5
 HOST_DEVIATIONS = 0.674
+SURE_DEVIATIONS = 2
 #: Weight of the prior, in documents, where the hosts' rates do not vary.
 FLAT_PRIOR_WEIGHT = 10.0
 
@@ -113,23 +114,32 @@ def with_document_verdicts(metrics: DataFrame) -> DataFrame:
 def host_rates(judged: DataFrame) -> DataFrame:
     """One row per host: n_docs, n_failed, host_rate (posterior mean of the failure rate) and poor.
 
-    The beta prior has the mean and variance of the hosts' raw rates, each host with the weight of its documents, so that many
-    tiny hosts do not make it flat; where the rates do not vary (one host, or equal rates) it has that mean and a fixed
-    weight, and no host stands out.
+    The beta prior has the mean of all documents and the variance of the hosts' true rates: that of the raw rates, each host with the weight of its
+    documents, less what drawing so many documents from each host explains. Where nothing is left (one host, or rates no further apart than chance
+    puts them) it has that mean and a fixed weight. A host is poor if its posterior mean less two posterior deviations is still over the line.
     """
     hosts = judged.groupBy("host").agg(
         F.count(F.lit(1)).alias("n_docs"), F.sum(F.col("failed").cast("long")).alias("n_failed")
     )
-    squares = F.sum(F.col("n_failed") * F.col("n_failed") / F.col("n_docs")) / F.sum("n_docs")
-    prior = hosts.agg((F.sum("n_failed") / F.sum("n_docs")).alias("mean"), squares.alias("squares"))
-    mean, var = F.col("mean"), F.col("squares") - F.col("mean") * F.col("mean")
-    fitted = F.greatest(mean * (1 - mean) / F.when(var > 1e-12, var) - 1, F.lit(1e-6))
-    prior = prior.select("mean", F.when(var > 1e-12, fitted).otherwise(F.lit(FLAT_PRIOR_WEIGHT)).alias("weight"))
-    spread = F.sqrt(mean * (1 - mean) / (F.col("weight") + 1))
-    prior = prior.select("mean", "weight", F.round(F.least(F.lit(MAX_HOST_RATE), mean + HOST_DEVIATIONS * spread), 9).alias("line"))
+    n, failed = F.col("n_docs"), F.col("n_failed")
+    sums = hosts.agg(
+        F.count(F.lit(1)).alias("hosts"), F.sum(n).cast("double").alias("all"), F.sum(failed).alias("failed"), F.sum(failed * failed / n).alias("squares"),
+        F.sum((n * n).cast("double")).alias("sizes"),
+    )
+    mean = F.col("failed") / F.col("all")
+    sums = sums.select("*", mean.alias("mean"), (mean * (1 - mean)).alias("chance"))
+    others = F.col("hosts") - 1
+    over = F.col("squares") - F.col("all") * F.col("mean") * F.col("mean") - others * F.col("chance")
+    room = F.col("all") - F.col("sizes") / F.col("all") - others
+    sums = sums.select("mean", "chance", F.when((room > 0) & (over > 1e-9), over / room).alias("var"))
+    fitted = F.greatest(F.col("chance") / F.col("var") - 1, F.lit(1e-6))
+    prior = sums.select("mean", "chance", F.coalesce(fitted, F.lit(FLAT_PRIOR_WEIGHT)).alias("weight"))
+    line = F.least(F.lit(MAX_HOST_RATE), F.col("mean") + HOST_DEVIATIONS * F.sqrt(F.col("chance") / (F.col("weight") + 1)))
+    prior = prior.select("mean", "weight", F.round(line, 9).alias("line"))
     mean, weight, line = (prior.select(c).scalar() for c in ("mean", "weight", "line"))
-    rate = (F.col("n_failed") + mean * weight) / (F.col("n_docs") + weight)
-    return hosts.withColumn("host_rate", F.round(rate, 9)).withColumn("poor", F.col("host_rate") > line)
+    rate = (failed + mean * weight) / (n + weight)
+    low = rate - SURE_DEVIATIONS * F.sqrt(rate * (1 - rate) / (n + weight + 1))
+    return hosts.withColumn("host_rate", F.round(rate, 9)).withColumn("poor", F.round(low, 9) > line)
 
 
 def _keeps(poor: Column) -> Column:

@@ -67,6 +67,46 @@ def test_query_judges_hosts_by_their_shrunken_rate(spark, tmp_path):
         assert {r.doc_id for r in shuffled.collect()} == set(got) - gone
 
 
+def judged(spark, rows):
+    """Hosts of (n_docs, n_failed)."""
+    df = spark.createDataFrame([(f"h{i}", n, f) for i, (n, f) in enumerate(rows)], "host string, n int, f int")
+    return df.selectExpr("host", "explode(transform(sequence(1, n), k -> k <= f)) as failed")
+
+
+def test_equal_hosts_are_not_condemned_by_chance(spark):
+    """200 hosts with one true rate: almost none may be poor, whatever the draw; of unequal ones the bad are found."""
+    import numpy as np
+
+    poor = 0
+    for seed in range(10):
+        draws = np.random.default_rng(seed).binomial(100, 0.05, 200)
+        poor += quality.host_rates(judged(spark, [(100, int(f)) for f in draws])).where("poor").count()
+    assert poor <= 2
+    rng = np.random.default_rng(11)
+    hosts = [(300, int(rng.binomial(300, 0.05))) for _ in range(60)] + [(300, int(rng.binomial(300, 0.4))) for _ in range(6)] + [(2, 2)] * 5
+    found = {r.host for r in quality.host_rates(judged(spark, hosts)).where("poor").collect()}
+    assert found == {f"h{i}" for i in range(60, 66)}
+
+
+def test_prior_has_the_variance_of_the_true_rates(spark):
+    """Rates drawn from a beta distribution and documents from the rates: what is shrunk most is near the prior's own mean."""
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    rates = rng.beta(4, 36, 400)  # weight 40
+    rows = [(n, int(rng.binomial(n, p))) for p, n in zip(rates, rng.integers(20, 60, 400).tolist())] + [(1, 0)]
+    got = {r.host: r.host_rate for r in quality.host_rates(judged(spark, rows)).collect()}
+    mean = sum(f for _, f in rows) / sum(n for n, _ in rows)
+    weight = got["h400"] / (mean - got["h400"])  # (mean * weight) / (1 + weight)
+    assert 25 < weight < 65
+
+
+def test_very_long_text(spark):
+    text = " ".join(f"w{i % 70_000}" for i in range(210_000)) + "\n" + "\n".join(["a line that repeats"] * 20_000)
+    r = quality.document_metrics(spark.createDataFrame([(1, text, "s")], SCHEMA)).collect()[0]
+    assert tuple(r[k] for k in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")) == brute(text)
+
+
 def test_edges(spark):
     empty = spark.createDataFrame([], SCHEMA)
     assert quality.quality_rules(empty).count() == 0 and quality.keep_good(empty).count() == 0
