@@ -11,7 +11,8 @@ little, random keys cost nearly their entropy.
 from __future__ import annotations
 
 import re
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
+from math import log2
 
 import pyarrow as pa
 import zstandard
@@ -42,6 +43,9 @@ SURROUNDING_CHARS = 512
 #: Marginal compressed bytes for each byte of the candidate beyond its sensitive words. Measured in prose: random keys with
 #: digits cost 0.9 to 1.5, identifiers and paths mostly 0.5 to 0.8, random lower-case letters 0.7 to 1.1.
 MIN_NOVELTY = 0.8
+#: A candidate must be able to hold so many bits: its letters and digits, each with the bits of the classes that it uses (digits, hexadecimal digits,
+#: lower and upper case letters). 16 hexadecimal digits or 20 decimal ones can; a card or telephone number cannot, however its digits are coded.
+MIN_BITS = 64
 #: The corpus part of the dictionary: the words of identifiers of 16 to 80 characters without digits, those on so many rows or more, of
 #: them the commonest, which are at most so many. The size of a dictionary is its design; the counts are over all rows.
 IDENTIFIER = r"(?<![A-Za-z0-9+/_=.-])[A-Za-z][A-Za-z_./-]{14,78}[A-Za-z](?![A-Za-z0-9+/_=.-])"
@@ -60,6 +64,27 @@ IDENTIFIERS = (
 )
 
 
+def room(candidate: str) -> float:
+    """The bits that the letters and digits of `candidate` can hold."""
+    marks = [c for c in candidate if c.isalnum()]
+    kinds = {"d" if c.isdigit() else "l" if c.islower() else "u" for c in marks}
+    if kinds == {"d", "l"} and all(c in "0123456789abcdef" for c in marks) or kinds == {"d", "u"} and all(c in "0123456789ABCDEF" for c in marks):
+        return 4.0 * len(marks)
+    return len(marks) * log2(max(2, sum({"d": 10, "l": 26, "u": 26}[k] for k in kinds)))
+
+
+def _joined(spans: list[tuple[int, int, str]]) -> tuple[list[int], list[int]]:
+    """(starts, ends) of what the spans, sorted by start, cover."""
+    starts, ends = [], []
+    for s, e, _ in spans:
+        if ends and s <= ends[-1]:
+            ends[-1] = max(ends[-1], e)
+        else:
+            starts.append(s)
+            ends.append(e)
+    return starts, ends
+
+
 class Scanner:
     """Finds the spans of one text after another; one per task."""
 
@@ -88,23 +113,30 @@ class Scanner:
     def novel(self, text: str, base: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
         """Incompressible strings within reach of a sensitive word, on either side or inside, outside the base spans.
 
-        A candidate is a whole unbroken run, without a full stop at its end; of "word=value" with a sensitive word it is the value.
+        A candidate is a whole unbroken run, without a full stop at its end; of "word=value" with a sensitive word it is the value. A word within a base span
+        tells of that span's own value, and is no context for another string.
         """
-        words = [w.span() for w in self.sensitive.finditer(text)]
+        starts, stops = _joined(base)
+
+        def covered(s: int, e: int) -> bool:
+            k = bisect_right(stops, s)  # the first stretch that ends behind s
+            return k < len(starts) and starts[k] < e
+
+        words = [w.span() for w in self.sensitive.finditer(text) if not covered(*w.span())]
         if not words:
             return []
         out, ends = [], [e for _, e in words]
         for m in self.candidate.finditer(text):
             s, e = m.start(), m.start() + len(m[0].rstrip("."))
             at = bisect_left(ends, s - CONTEXT_CHARS)
-            if at == len(words) or words[at][0] > e + CONTEXT_CHARS or any(s < y and x < e for x, y, _ in base):
+            if at == len(words) or words[at][0] > e + CONTEXT_CHARS or covered(s, e):
                 continue
             inside = [(x, y) for x, y in words[at : bisect_left(ends, e + 1)] if x >= s]
             for _, y in inside:
                 if y < e and text[y] == "=":
                     s = y + 1
             known = sum(y - x for x, y in inside if x >= s)
-            if e - s < MIN_CANDIDATE:
+            if e - s < MIN_CANDIDATE or room(text[s:e]) < MIN_BITS:
                 continue
             around = text[max(0, s - SURROUNDING_CHARS) : s] + text[e : e + SURROUNDING_CHARS]
             if self.cost(around, text[s:e]) >= MIN_NOVELTY * max(MIN_CANDIDATE // 2, e - s - known):

@@ -86,22 +86,47 @@ def test_novelty_looks_to_both_sides_and_at_every_alphabet():
     assert scanner.spans("a tokenizer TOKENIZER 7a8f9b0c1d2e3f4g5h6")[1] == []
 
 
+def test_words_of_base_spans_are_no_context_and_short_numbers_no_keys():
+    scanner = secrets.Scanner()
+    kinds = lambda text: [x[2] for x in scanner.spans(text)[1]]
+    assert kinds(f"token=abcdef and far from it {RANDOM}") == ["assign"]  # the word is the first string's own
+    assert kinds(f"token=abcdef and a session of {RANDOM}") == ["assign", "novel"]
+    for number in ("4929112233445566", "4929-1122-3344-5566", "2024-01-01T10:11:12", "+49/170/1234567890"):
+        assert kinds(f"the session token {number} of the day") == []
+    assert kinds("the session token 83059261744903852167 of the day") == ["novel"]  # 20 digits hold a key
+    assert secrets.room("0123456789abcdef") == 64 and secrets.room("4929-1122-3344-5566") < 54 and secrets.room("") == 0
+
+
+def test_very_many_spans_take_linear_time():
+    import time
+
+    scanner, took = secrets.Scanner(), []
+    for n in (3_000, 30_000):
+        text = "".join(f"token=abcdef{k} some words {k} session {k:016x}zQ\n" for k in range(n))
+        began = time.perf_counter()
+        spans = scanner.spans(text)[1]
+        took.append(time.perf_counter() - began)
+        assert sum(x[2] == "assign" for x in spans) == n
+    assert took[1] < 30 * took[0]
+
+
 def brute_novel(text, dictionary):
     """The spans by definition, run by run and word by word, with a compressor of its own."""
     whole = f"{dictionary} {secrets.IDENTIFIERS}".encode()
     size = lambda raw: len(zstandard.ZstdCompressor(
         level=9, dict_data=zstandard.ZstdCompressionDict(whole, dict_type=zstandard.DICT_TYPE_RAWCONTENT), write_content_size=False, write_checksum=False
     ).compress(raw))
-    words = [m.span() for m in re.finditer(secrets.SENSITIVE, text, re.A)]
+    base = brute_base(text)
+    words = [m.span() for m in re.finditer(secrets.SENSITIVE, text, re.A) if not any(a < m.end() and m.start() < b for _, a, b in base)]
     out = []
     for m in re.finditer(r"[A-Za-z0-9+/_=.-]+", text):
         s, e = m.start(), m.start() + len(m[0].rstrip("."))
-        if len(m[0]) < 16 or not any(x <= e + 256 and y >= s - 256 for x, y in words) or any(a < e and s < b for _, a, b in brute_base(text)):
+        if len(m[0]) < 16 or not any(x <= e + 256 and y >= s - 256 for x, y in words) or any(a < e and s < b for _, a, b in base):
             continue
         s = max([s] + [y + 1 for x, y in words if s <= x and y < e and text[y] == "="])
         known = sum(y - x for x, y in words if s <= x and y <= e)
         around = (text[max(0, s - 512) : s] + text[e : e + 512]).encode()
-        if e - s >= 16 and size(around + text[s:e].encode()) - size(around) >= secrets.MIN_NOVELTY * max(8, e - s - known):
+        if e - s >= 16 and secrets.room(text[s:e]) >= 64 and size(around + text[s:e].encode()) - size(around) >= secrets.MIN_NOVELTY * max(8, e - s - known):
             out.append(("novel", s, e))
     return out
 
