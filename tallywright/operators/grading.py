@@ -57,6 +57,11 @@ def grade_id_sets(submitted: DataFrame, expected: DataFrame, subs: DataFrame | N
     submissions that may have no rows at all. The join is on (challenge, id), so that a popular
     challenge is no hot key. An empty side has ratio 0.
     """
+    return _grade(submitted, expected, subs)
+
+
+def _grade(submitted: DataFrame, expected: DataFrame, subs: DataFrame | None, cases: DataFrame | None = None) -> DataFrame:
+    """cases (id): few, broadcast; how many of them a submission has is counted in the same pass, as priority_hits."""
     ids = clean_ids(submitted, "sub_id", "challenge_id", "id")
     # `ord` decides who is among the first, whatever the id's text; an id twice in the list keeps its first place.
     want = expected.withColumn("id", F.col("id").cast("string")).where(~F.coalesce(F.col("id"), F.lit("")).isin("", "null", "undefined"))
@@ -66,9 +71,13 @@ def grade_id_sets(submitted: DataFrame, expected: DataFrame, subs: DataFrame | N
     first_ids = first.groupBy("challenge_id").agg(F.collect_list("id").alias("first_ids"))
     firsts = want.groupBy("challenge_id").agg(F.count(F.lit(1)).alias("expected")).join(first_ids, "challenge_id")
     hits = ids.withColumn("id", F.col("id").cast("string")).join(want, ["challenge_id", "id"], "left")
+    more = []
+    if cases is not None:
+        hits = hits.join(F.broadcast(cases.withColumn("_case", F.lit(1))), "id", "left")
+        more = [F.count("_case").alias("priority_hits")]
     counted = hits.join(firsts, "challenge_id", "left").groupBy("sub_id", "challenge_id").agg(
         F.count("ord").alias("matched"), F.count(F.lit(1)).alias("got"),
-        F.count(F.when(F.array_contains("first_ids", F.col("id")), 1)).alias("first_hits"),
+        F.count(F.when(F.array_contains("first_ids", F.col("id")), 1)).alias("first_hits"), *more,
     )
     everyone = (subs if subs is not None else submitted).select("sub_id", "challenge_id").distinct()
     rows = everyone.join(counted, ["sub_id", "challenge_id"], "left").join(firsts, "challenge_id", "left")
@@ -77,6 +86,7 @@ def grade_id_sets(submitted: DataFrame, expected: DataFrame, subs: DataFrame | N
         "sub_id", "challenge_id", zero("matched").alias("matched"), (zero("got") - zero("matched")).alias("extra"),
         (zero("expected") - zero("matched")).alias("missing"), zero("expected").alias("expected"), zero("got").alias("got"),
         zero("first_hits").alias("first_hits"), F.size(F.coalesce("first_ids", F.array().cast("array<string>"))).alias("first_n"),
+        *[zero("priority_hits").alias("priority_hits") for _ in more],
     )
     ratio = lambda whole: F.when(F.col(whole) > 0, F.try_divide("matched", whole)).otherwise(F.lit(0.0))
     slack = F.greatest(F.lit(SLACK_IDS), F.floor(F.col("expected") * SLACK_SHARE))
@@ -88,16 +98,12 @@ def grade_id_sets(submitted: DataFrame, expected: DataFrame, subs: DataFrame | N
 
 
 def grade_missing_alerts(submitted: DataFrame, expected: DataFrame, priority: DataFrame, subs: DataFrame | None = None) -> DataFrame:
-    """`grade_id_sets`, and enough of the priority cases (id): priority_hits, passed."""
-    grades = grade_id_sets(submitted, expected, subs)
-    cases = F.broadcast(priority.select(F.col("id").cast("string").alias("id")).distinct())  # eight at most
-    ids = clean_ids(submitted, "sub_id", "challenge_id", "id").withColumn("id", F.col("id").cast("string"))
-    hits = ids.join(cases, "id").groupBy("sub_id", "challenge_id").agg(F.count(F.lit(1)).alias("priority_hits"))
+    """`grade_id_sets`, and enough of the priority cases (id): priority_hits, set_passed (the set alone), passed. One pass over the submitted ids."""
+    cases = priority.select(F.col("id").cast("string").alias("id")).distinct()  # eight at most
     n = cases.agg(F.count(F.lit(1)).alias("priority_n"))
-    rows = grades.join(hits, ["sub_id", "challenge_id"], "left").crossJoin(F.broadcast(n))
-    rows = rows.withColumn("priority_hits", F.coalesce("priority_hits", F.lit(0)))
+    rows = _grade(submitted, expected, subs, cases).crossJoin(F.broadcast(n)).withColumnRenamed("passed", "set_passed")
     enough = F.col("priority_hits") >= F.least(F.lit(PRIORITY_NEEDED), F.col("priority_n"))
-    return rows.withColumn("passed", F.col("passed") & enough).drop("priority_n")
+    return rows.withColumn("passed", F.col("set_passed") & enough).drop("priority_n")
 
 
 def grade_evidence(submitted: DataFrame, truth: DataFrame) -> DataFrame:
@@ -174,13 +180,13 @@ def grading_feedback(grades: DataFrame, column: str = "txn_id", fail_message: st
     return grades.withColumn("feedback", F.when(F.col("passed"), good).otherwise(bad))
 
 
-def missing_alerts_feedback(grades: DataFrame, set_grades: DataFrame, column: str = "txn_id", fail_message: str = BAD_SET) -> DataFrame:
-    """Adds feedback to `grade_missing_alerts`; set_grades: `grade_id_sets` of the same submissions, whose failure is answered first."""
-    by_set = grading_feedback(set_grades, column, fail_message).select("sub_id", "challenge_id", F.col("passed").alias("_set"), F.col("feedback").alias("_said"))
+def missing_alerts_feedback(grades: DataFrame, column: str = "txn_id", fail_message: str = BAD_SET) -> DataFrame:
+    """Adds feedback to `grade_missing_alerts`; a failure of the set is answered first."""
+    said = grading_feedback(grades.withColumnsRenamed({"passed": "_passed", "set_passed": "passed"}), column, fail_message)
+    said = said.withColumnsRenamed({"passed": "set_passed", "_passed": "passed"})
     n = lambda c: F.col(c).cast("string")
     good = F.concat(F.lit(GOOD_LEAK), n("matched"), F.lit(" of "), n("expected"), F.lit(" missing alerts recovered."))
-    said = F.when(~F.col("_set"), F.col("_said")).when(~F.col("passed"), NO_PRIORITY).otherwise(good)
-    return grades.join(by_set, ["sub_id", "challenge_id"]).withColumn("feedback", said).drop("_set", "_said")
+    return said.withColumn("feedback", F.when(~F.col("set_passed"), F.col("feedback")).when(~F.col("passed"), NO_PRIORITY).otherwise(good))
 
 
 def evidence_feedback(grades: DataFrame) -> DataFrame:

@@ -12,12 +12,14 @@ def _by_month(df: DataFrame, name: str) -> DataFrame:
     return df.groupBy("month").agg(F.count(F.lit(1)).alias(name))
 
 
-def monthly_alert_rate(transactions: DataFrame, alerts: DataFrame, months: DataFrame) -> DataFrame:
+def monthly_alert_rate(transactions: DataFrame, alerts: DataFrame, months: DataFrame, keyed: bool = False) -> DataFrame:
     """Per month of the spine: settled transactions, alerts (by their transaction's month), alerts per 1,000 settled.
 
-    Of transactions with the same id the earliest row gives an alert its month.
+    Of transactions with the same id the earliest row gives an alert its month; a `keyed` table has one row an id and is joined as it is.
     """
-    month_of = transactions.groupBy("txn_id").agg(F.min(F.struct("txn_ts", "month")).alias("t")).select("txn_id", "t.month")
+    month_of = transactions.select("txn_id", "month")
+    if not keyed:
+        month_of = transactions.groupBy("txn_id").agg(F.min(F.struct("txn_ts", "month")).alias("t")).select("txn_id", "t.month")
     settled = _by_month(transactions.where(rules.is_settled()), "settled")
     raised = _by_month(alerts.select("txn_id").join(month_of, "txn_id"), "alerts")
     rows = months.join(settled, "month", "left").join(raised, "month", "left")
@@ -54,11 +56,16 @@ def top_suspicious_channel(transactions: DataFrame) -> DataFrame:
     return suspicious_by_channel(transactions).limit(1)
 
 
-def category_counts(transactions: DataFrame, alerts: DataFrame, leak_month: str, order: str = "amount_inr") -> DataFrame:
-    """Per category: transactions, those of the leak month, alerts of the leak month; the last row of an id places its alerts."""
+def category_counts(transactions: DataFrame, alerts: DataFrame, leak_month: str, order: str = "amount_inr", keyed: bool = False) -> DataFrame:
+    """Per category: transactions, those of the leak month, alerts of the leak month; the last row of an id places its alerts.
+
+    Of a `keyed` table the leak month alone reaches the join.
+    """
     leak = F.col("month") == leak_month
     counts = transactions.groupBy("category").agg(F.count(F.lit(1)).alias("transactions"), F.count(F.when(leak, 1)).alias("leak_transactions"))
-    last = transactions.groupBy("txn_id").agg(F.max(F.struct(order, "month", "category")).alias("t")).select("txn_id", "t.month", "t.category")
+    last = transactions.select("txn_id", "month", "category")
+    if not keyed:
+        last = transactions.groupBy("txn_id").agg(F.max(F.struct(order, "month", "category")).alias("t")).select("txn_id", "t.month", "t.category")
     raised = alerts.select("txn_id").join(last.where(leak), "txn_id").groupBy("category").agg(F.count(F.lit(1)).alias("leak_alerts"))
     rows = counts.join(raised, "category", "left").withColumn("leak_alerts", F.coalesce("leak_alerts", F.lit(0)))
     return rows.orderBy(F.desc("transactions"), "category")

@@ -374,7 +374,7 @@ def duplicate_alert_customers(spark, sf_dir):
 
 def _rates(spark, sf_dir):
     b = _Bank(spark, sf_dir)
-    return M.monthly_alert_rate(b.txns, b.alerts, T.months(spark))
+    return M.monthly_alert_rate(b.txns, b.alerts, T.months(spark), keyed=True)
 
 
 @_query
@@ -405,7 +405,7 @@ def top_suspicious_channel(spark, sf_dir):
 @_query
 def category_counts(spark, sf_dir):
     b = _Bank(spark, sf_dir)
-    return M.category_counts(b.txns, b.alerts, T.LEAK_MONTH)
+    return M.category_counts(b.txns, b.alerts, T.LEAK_MONTH, keyed=True)
 
 
 def _coverage(spark, sf_dir):
@@ -516,6 +516,10 @@ def _submitted_sets(b: _Bank) -> DataFrame:
     return rows.select("sub_id", F.lit("s2-sql-1").alias("challenge_id"), F.col("txn_id").alias("id"))
 
 
+def _ten_subs(b: _Bank) -> DataFrame:
+    return b.spark.range(10).select(F.col("id").alias("sub_id"), F.lit("s2-sql-1").alias("challenge_id"))
+
+
 def _expected_set(b: _Bank) -> DataFrame:
     return b.missing_ids.select(F.lit("s2-sql-1").alias("challenge_id"), F.col("txn_id").alias("id"), F.col("txn_id").alias("ord"))
 
@@ -537,7 +541,7 @@ def _grades(df: DataFrame) -> DataFrame:
 @_query
 def grade_id_sets(spark, sf_dir):
     b = _Bank(spark, sf_dir)
-    return _grades(G.grade_id_sets(_submitted_sets(b), _expected_set(b)))
+    return _grades(G.grade_id_sets(_submitted_sets(b), _expected_set(b), _ten_subs(b)))
 
 
 @_query
@@ -545,8 +549,8 @@ def grade_missing_alerts(spark, sf_dir):
     b = _Bank(spark, sf_dir)
     leaked = b.missing_ids.where((F.col("month") == T.LEAK_MONTH) & (F.col("category") == "CRYPTO"))
     priority = leaked.orderBy("txn_id").limit(8).select(F.col("txn_id").alias("id"))
-    graded = _grades(G.grade_missing_alerts(_submitted_sets(b), _expected_set(b), priority))
-    return G.missing_alerts_feedback(graded, G.grade_id_sets(_submitted_sets(b), _expected_set(b)))
+    graded = _grades(G.grade_missing_alerts(_submitted_sets(b), _expected_set(b), priority, _ten_subs(b)))
+    return G.missing_alerts_feedback(graded).drop("set_passed")
 
 
 @_query
@@ -600,7 +604,7 @@ def grade_viva(spark, sf_dir):
 @_query
 def grading_feedback(spark, sf_dir):
     b = _Bank(spark, sf_dir)
-    return G.grading_feedback(G.grade_id_sets(_submitted_sets(b), _expected_set(b))).select("sub_id", "feedback")
+    return G.grading_feedback(G.grade_id_sets(_submitted_sets(b), _expected_set(b), _ten_subs(b))).select("sub_id", "feedback")
 
 
 # --- progress and rewards ---------------------------------------------------------------------

@@ -140,7 +140,7 @@ def test_id_set_grades(spark):
     priority = spark.createDataFrame([(f"t{i:02d}",) for i in range(6)], "id string")
     strict = {r.sub_id: r for r in G.grade_missing_alerts(spark.createDataFrame(rows, SUB), expected, priority, subs).collect()}
     assert (strict[1].priority_hits, strict[1].passed, strict[2].priority_hits) == (6, True, 3)
-    said = {r.sub_id: r.feedback for r in G.missing_alerts_feedback(G.grade_missing_alerts(spark.createDataFrame(rows, SUB), expected, priority, subs), G.grade_id_sets(spark.createDataFrame(rows, SUB), expected, subs)).collect()}
+    said = {r.sub_id: r.feedback for r in G.missing_alerts_feedback(G.grade_missing_alerts(spark.createDataFrame(rows, SUB), expected, priority, subs)).collect()}
     assert said[1] == "Result set matches the leak. 20 of 20 missing alerts recovered." and said[2].endswith("Matched 17/20 (85% recall).")
     results = spark.createDataFrame([(1, "q", "t00")], "sub_id int, challenge_id string, Txn_ID string")
     ids, found = G.submitted_ids(results, "txn_id")
@@ -368,3 +368,25 @@ def test_clones_come_from_one_scan(spark):
     want = [(i, None if i % 7 == 0 else -1 if i % 5 == 0 else i % 3, 100.0 * i) for i in range(30)] + [(None, 1, 5.0)]
     want += [(i, i % 3, 100.0 * i + 1) for i in range(30) if i % 4 == 1]
     assert got == sorted((str(a), str(b), x) for a, b, x in want) and raw.schema == df.schema
+
+
+def test_keyed_tables_give_the_same_figures(spark):
+    bank = T.bank_tables(spark, "/root/testdata/sf0.001")
+    txns, alerts = bank["transactions"], bank["fraud_alerts"]
+    for figures in (lambda keyed: M.monthly_alert_rate(txns, alerts, T.months(spark), keyed=keyed), lambda keyed: M.category_counts(txns, alerts, T.LEAK_MONTH, keyed=keyed)):
+        assert values(figures(True), "*") == values(figures(False), "*")
+
+
+def test_a_set_is_graded_in_one_pass(spark):
+    """The submitted ids are read once for the set, the first ids and the priority cases."""
+    rows = [(1, "q", "a"), (1, "q", "b"), (2, "q", "z"), (2, "q", "a")]
+    expected = spark.createDataFrame([("q", "a", 1), ("q", "b", 2)], "challenge_id string, id string, ord long")
+    submitted = spark.createDataFrame(rows, "sub_id int, challenge_id string, id string")
+    subs = spark.createDataFrame([(1, "q"), (2, "q"), (3, "q")], "sub_id int, challenge_id string")
+    priority = spark.createDataFrame([("b",)], "id string")
+    graded = G.missing_alerts_feedback(G.grade_missing_alerts(submitted, expected, priority, subs))
+    got = {r.sub_id: (r.matched, r.priority_hits, r.set_passed, r.passed) for r in graded.collect()}
+    assert got == {1: (2, 1, True, True), 2: (1, 0, False, False), 3: (0, 0, False, False)}
+    submitted.write.parquet(path := new_path(spark, "submitted"))
+    graded = G.grade_missing_alerts(spark.read.parquet(path), expected, priority, subs)
+    assert plan(graded).split("Initial Plan")[0].count("FileScan") == 1
