@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import let, pick
+from .common import BROADCAST_ROWS, let, materialize, pick
 
 #: The tools' parameters, in the terms of JSON Schema: type, required, properties, items, enum. Other properties are not allowed.
 _text, _number, _flag = {"type": "string"}, {"type": "number"}, {"type": "boolean"}
@@ -40,6 +40,8 @@ ITEM = "conv_id, turn, kind, call_id, linked, valid, problem, order_turn, order_
 NUMBER, BACKSLASH, QUOTE = "\ue000", "\ue001", "\ue002"
 #: Turns of a conversation that are numbered together.
 TURNS = 256
+#: Items of one such stretch that a task may sort; more are dealt out by ranges of the order.
+HOT_STRETCH = 100_000
 
 
 def _plain_number(token: Column) -> Column:
@@ -127,24 +129,40 @@ def conforms(value: Column, schema: dict) -> Column:
     return F.coalesce(ok, F.lit(False))
 
 
-def _numbered(items: DataFrame) -> DataFrame:
-    """Adds position: 1, 2, … within the conversation, in topological order; equal items in any order.
+def _numbered(items: DataFrame, hot: int = HOT_STRETCH) -> DataFrame:
+    """Adds position: 1, 2, … within the conversation, in topological order; equal items in the order of `uid`.
 
-    Stretches of TURNS turns are numbered on their own and the counts of the stretches before are added, so
-    that a conversation with very many turns is not one task's.
+    Stretches of TURNS turns are numbered on their own and the counts of the stretches before are added, so that a conversation with very many turns is not
+    one task's. A stretch of more than `hot` items (rows without a conversation, a turn that stands very often) is dealt by ranges of the order, each one
+    written with its number and ranked on its own.
     """
     at = F.coalesce(F.floor(F.col("order_turn") / TURNS), F.lit(-(2**62)))
     items = items.withColumn("_at", at).withColumn("_conv", F.struct("conv_id"))
-    counts = items.groupBy("_conv", "_at").agg(F.count(F.lit(1)).alias("_n"))
+    counts = materialize(items.groupBy("_conv", "_at").agg(F.count(F.lit(1)).alias("_n")), "stretches")
     before = F.sum("_n").over(Window.partitionBy("_conv").orderBy("_at")) - F.col("_n")
-    counts = counts.select("_conv", "_at", before.alias("_before"))
-    order = ["order_turn", "order_stage", "order_index", "kind", "call_id", "json"]
-    ranked = items.withColumn("_rank", F.row_number().over(Window.partitionBy("_conv", "_at").orderBy(*order)))
-    return ranked.join(counts, ["_conv", "_at"]).withColumn("position", F.col("_before") + F.col("_rank")).select(*ITEM.split(", "))
+    before = counts.select("_conv", "_at", before.alias("_before"))
+    order = ["order_turn", "order_stage", "order_index", "kind", "call_id", "json", "uid"]
+    large = counts.where(F.col("_n") > hot).select("_conv", "_at")  # at most one for each `hot` items
+    most = counts.agg(F.sum(F.when(F.col("_n") > hot, F.col("_n")))).first()[0]
+    ranked = lambda rows, *own: rows.withColumn("_rank", F.row_number().over(Window.partitionBy(*own, "_conv", "_at").orderBy(*order)))
+    if not most:
+        out = ranked(items)
+    else:
+        large = F.broadcast(large) if large.count() <= BROADCAST_ROWS else large
+        dealt = items.join(large, ["_conv", "_at"]).repartitionByRange(2 * -(-most // hot), "_conv", "_at", *order)
+        dealt = materialize(dealt.withColumn("_range", F.spark_partition_id()), "ranges")
+        parts = dealt.groupBy("_conv", "_at", "_range").agg(F.count(F.lit(1)).alias("_n"))
+        less = F.sum("_n").over(Window.partitionBy("_conv", "_at").orderBy("_range")) - F.col("_n")
+        offsets = parts.select("_conv", "_at", "_range", less.alias("_less"))
+        parted = ranked(dealt, "_range").join(offsets, ["_conv", "_at", "_range"]).withColumn("_rank", F.col("_rank") + F.col("_less"))
+        rest = ranked(items.join(large, ["_conv", "_at"], "left_anti"))
+        out = rest.unionByName(parted.select(*rest.columns))
+    return out.join(before, ["_conv", "_at"]).withColumn("position", F.col("_before") + F.col("_rank")).select(*ITEM.split(", "))
 
 
 def link_tool_calls(
-    turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", schemas: dict[str, dict] = SCHEMAS
+    turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", schemas: dict[str, dict] = SCHEMAS,
+    hot: int = HOT_STRETCH,
 ) -> DataFrame:
     """One row per message, call and result, with the columns of ITEM.
 
@@ -165,43 +183,50 @@ def link_tool_calls(
     rows = rows.withColumn("calls", F.when(F.col("role") == "assistant", F.try_variant_get("v", "$.tool_calls", "array<variant>")))
     rows = rows.withColumn("result_of", F.when(F.col("role") == "tool", _text_of(F.try_variant_get("v", "$.tool_call_id", "variant"))))
     content = _text_of(F.try_variant_get("v", "$.content", "variant"))
-    structured = F.col("calls").isNotNull() | F.col("result_of").isNotNull()
-    body = F.when(structured, content).otherwise(F.col("text"))
-
-    null = lambda kind: F.lit(None).cast(kind)
-    messages = rows.where(F.col("result_of").isNull()).select(
-        "conv_id", "turn", F.lit("message").alias("kind"), null("string").alias("call_id"), null("boolean").alias("linked"),
-        null("boolean").alias("valid"), null("string").alias("problem"), F.col("turn").alias("order_turn"), F.lit(0).alias("order_stage"),
-        F.lit(0).alias("order_index"), F.to_json(F.struct(body.alias("content"), "role")).alias("json"),
-    )
-    called = rows.where(F.col("calls").isNotNull()).select("conv_id", "turn", F.posexplode("calls").alias("k", "call"))
-    part = lambda name: F.try_variant_get("call", f"$.{name}", "variant")
-    called = called.select("conv_id", "turn", "k", _text_of(part("id")).alias("call_id"), _text_of(part("name")).alias("name"), part("arguments").alias("arguments"))
-    answers = rows.where(F.col("result_of").isNotNull()).select("conv_id", "turn", F.col("result_of").alias("call_id"), content.alias("content"))
+    rows = rows.withColumn("content", F.when(F.col("calls").isNotNull() | F.col("result_of").isNotNull(), content).otherwise(F.col("text")))
+    items = materialize(_items(rows, schemas), "items")
+
+    calls, results = items.where("kind = 'call'"), items.where("kind = 'result'")
+    first = calls.where(F.col("call_id").isNotNull()).groupBy("conv_id", "call_id").agg(F.min(F.struct("turn", "k")).alias("first"))
+    answered = results.select("conv_id", "call_id").distinct().withColumn("has_result", F.lit(True))
+    place = lambda turn, stage, index: (turn.alias("order_turn"), F.lit(stage).alias("order_stage"), index.alias("order_index"))
+    columns = ["conv_id", "turn", "kind", "call_id", "linked", "valid", "problem", "order_turn", "order_stage", "order_index", "json", "uid"]
 
-    first = called.where(F.col("call_id").isNotNull()).groupBy("conv_id", "call_id").agg(F.min(F.struct("turn", "k")).alias("first"))
-    answered = answers.select("conv_id", "call_id").distinct().withColumn("has_result", F.lit(True))
-    checked = called.join(first, ["conv_id", "call_id"], "left").join(answered, ["conv_id", "call_id"], "left")
+    messages = items.where("kind = 'message'").withColumn("linked", F.lit(None).cast("boolean")).select("*", *place(F.col("turn"), 0, F.lit(0)))
+    again = F.coalesce(F.col("first") != F.struct("turn", "k"), F.lit(False))
+    calls = calls.join(first, ["conv_id", "call_id"], "left").join(answered, ["conv_id", "call_id"], "left")
+    calls = calls.withColumn("linked", F.coalesce("has_result", F.lit(False)) & ~again).withColumn("problem", F.coalesce("problem", F.when(again, "id used again")))
+    calls = calls.select("*", *place(F.col("turn"), 1, F.col("k")))
+    results = results.join(first, ["conv_id", "call_id"], "left").withColumn("linked", F.col("first").isNotNull())
+    results = results.withColumn("problem", F.when(~F.col("linked"), "no such call"))
+    results = results.select("*", *place(F.greatest("turn", F.col("first.turn")), 2, F.coalesce(F.col("first.k"), F.lit(0))))
+    return _numbered(messages.select(*columns).unionByName(calls.select(*columns)).unionByName(results.select(*columns)), hot)
+
+
+def _items(rows: DataFrame, schemas: dict[str, dict]) -> DataFrame:
+    """(conv_id, turn, kind, k, call_id, valid, problem, json, uid) of each message, call and result: all that needs no other turn, from one pass."""
+    own = F.array(F.lit(None).cast("variant"))  # the turn itself, before its calls
+    each = F.posexplode(F.when(F.col("calls").isNull(), own).otherwise(F.concat(own, F.col("calls"))))
+    rows = rows.select("conv_id", "turn", "role", "content", "result_of", each.alias("at", "call"))
+    kind = F.when(F.col("at") > 0, "call").when(F.col("result_of").isNotNull(), "result").otherwise("message")
+    part = lambda name: F.try_variant_get("call", f"$.{name}", "variant")
+    is_call = F.col("kind") == "call"
+    rows = rows.select(
+        "conv_id", "turn", "role", "content", kind.alias("kind"), (F.col("at") - 1).alias("k"), part("arguments").alias("arguments"),
+        _text_of(part("name")).alias("name"), F.coalesce(F.col("result_of"), _text_of(part("id"))).alias("call_id"),
+    )
     known = F.coalesce(F.col("name").isin(*schemas), F.lit(False)) if schemas else F.lit(False)
     fits = F.lit(False)
     for name, schema in schemas.items():
         fits = F.when(F.col("name") == name, conforms(F.col("arguments"), {"type": "object"} | schema)).otherwise(fits)
-    checked = checked.withColumn("valid", known & F.coalesce(fits, F.lit(False)))
-    again = F.coalesce(F.col("first") != F.struct("turn", "k"), F.lit(False))
+    rows = rows.withColumn("valid", F.when(is_call, known & F.coalesce(fits, F.lit(False))))
     is_object = F.coalesce(_json_type(F.col("arguments")) == "object", F.lit(False))
-    problem = (
-        F.when(~known, "unknown tool").when(~is_object, "arguments are no object")
-        .when(~F.col("valid"), "arguments do not fit the schema").when(again, "id used again")
-    )
-    calls = checked.select(
-        "conv_id", "turn", F.lit("call").alias("kind"), "call_id", (F.coalesce("has_result", F.lit(False)) & ~again).alias("linked"),
-        "valid", problem.alias("problem"), F.col("turn").alias("order_turn"), F.lit(1).alias("order_stage"), F.col("k").alias("order_index"),
-        canonical(F.struct("arguments", F.col("call_id").alias("id"), "name")).alias("json"),
-    )
-    results = answers.join(first, ["conv_id", "call_id"], "left").select(
-        "conv_id", "turn", F.lit("result").alias("kind"), "call_id", F.col("first").isNotNull().alias("linked"), null("boolean").alias("valid"),
-        F.when(F.col("first").isNull(), "no such call").alias("problem"), F.greatest("turn", F.col("first.turn")).alias("order_turn"),
-        F.lit(2).alias("order_stage"), F.coalesce(F.col("first.k"), F.lit(0)).alias("order_index"),
-        F.to_json(F.struct("content", F.lit("tool").alias("role"), F.col("call_id").alias("tool_call_id"))).alias("json"),
+    problem = F.when(~known, "unknown tool").when(~is_object, "arguments are no object").when(~F.col("valid"), "arguments do not fit the schema")
+    json = (
+        F.when(is_call, canonical(F.struct("arguments", F.col("call_id").alias("id"), "name")))
+        .when(F.col("kind") == "result", F.to_json(F.struct("content", F.lit("tool").alias("role"), F.col("call_id").alias("tool_call_id"))))
+        .otherwise(F.to_json(F.struct("content", "role")))
     )
-    return _numbered(messages.unionByName(calls).unionByName(results))
+    return rows.select(
+        "conv_id", "turn", "kind", "k", "call_id", "valid", F.when(is_call, problem).alias("problem"), json.alias("json"), F.monotonically_increasing_id().alias("uid")
+    )

@@ -148,3 +148,16 @@ def test_a_long_conversation_is_numbered_in_stretches(spark):
     mine = sorted((r.position, -1 if r.turn is None else r.turn) for r in got if r.conv_id == 1)
     assert [p for p, _ in mine] == list(range(1, 2002)) and [t for _, t in mine] == sorted(t for _, t in mine)
     assert [r.position for r in got if r.conv_id is None] == [1]
+
+
+def test_hot_stretches_are_dealt_by_ranges(spark):
+    """Rows without a conversation, and one turn that stands very often, equal rows among them; as numbered in one window."""
+    rng = random.Random(3)
+    rows = [(None, rng.randrange(3), "user", f"text {rng.randrange(40)}") for _ in range(400)] + [(7, 0, "user", "the same")] * 300
+    rows += [(conv, t, "user", str(t)) for conv in range(5) for t in range(6)]
+    df = spark.createDataFrame(rows, SCHEMA).repartition(4)
+    whole, dealt = (chat.link_tool_calls(df, hot=h).collect() for h in (10**6, 50))
+    places = lambda got: sorted((str(r.conv_id), r.position, r.order_turn, r.json) for r in got)
+    assert places(whole) == places(dealt) and len(dealt) == len(rows)
+    mine = sorted(r.position for r in dealt if r.conv_id is None)
+    assert mine == list(range(1, 401))
