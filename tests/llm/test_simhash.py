@@ -46,6 +46,15 @@ def brute(rows):
     return sorted(((i, f"{f:016x}", low.get(root[f])) for (i, _), f in zip(rows, fp)), key=str)
 
 
+def test_very_long_text(spark):
+    """Two texts of 150,000 words that differ in the last one are one component, a third of them in other words is not."""
+    words = [f"w{i % 50_000}x{i}" for i in range(150_000)]
+    rows = [(1, " ".join(words)), (2, " ".join([*words[:-1], "other"])), (3, " ".join(w[::-1] for w in words))]
+    got = {r.doc_id: (r.fp % 2**64, r.component_id) for r in simhash.near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert {i: f for i, (f, _) in got.items()} == {i: brute_fingerprint(t) for i, t in rows}
+    assert [got[i][1] for i in (1, 2, 3)] == [1, 1, 3]
+
+
 def test_edges(spark, tmp_path):
     words = [f"w{i}" for i in range(400)]
     texts = [None, "", " \t", "A b", "a B", "a b c d", "É é", "x " * 3000, " ".join(words), " ".join(words[:-1] + ["other"]), " ".join(words)]
