@@ -120,6 +120,10 @@ class _Written(_Bank):
     def alerts(self):
         return materialize(super().alerts, "alerts")
 
+    @property
+    def alert_ids(self):
+        return self.alerts.select("txn_id")
+
 
 # --- sources and sinks --------------------------------------------------------------------
 
@@ -526,7 +530,7 @@ def _expected_set(b: _Bank) -> DataFrame:
 
 @_query
 def id_set_diff(spark, sf_dir):
-    b = _Bank(spark, sf_dir)
+    b = _Written(spark, sf_dir)
     got = _submitted_sets(b).where("sub_id = 5").select(F.col("id").alias("txn_id"))
     return L.id_set_diff(got, b.missing_ids.select("txn_id"))
 
@@ -540,13 +544,13 @@ def _grades(df: DataFrame) -> DataFrame:
 
 @_query
 def grade_id_sets(spark, sf_dir):
-    b = _Bank(spark, sf_dir)
+    b = _Written(spark, sf_dir)
     return _grades(G.grade_id_sets(_submitted_sets(b), _expected_set(b), _ten_subs(b)))
 
 
 @_query
 def grade_missing_alerts(spark, sf_dir):
-    b = _Bank(spark, sf_dir)
+    b = _Written(spark, sf_dir)
     leaked = b.missing_ids.where((F.col("month") == T.LEAK_MONTH) & (F.col("category") == "CRYPTO"))
     priority = leaked.orderBy("txn_id").limit(8).select(F.col("txn_id").alias("id"))
     graded = _grades(G.grade_missing_alerts(_submitted_sets(b), _expected_set(b), priority, _ten_subs(b)))
@@ -556,7 +560,7 @@ def grade_missing_alerts(spark, sf_dir):
 @_query
 def grade_without_column(spark, sf_dir):
     """Submissions whose result set names its ids otherwise: all are failed, and told why."""
-    b = _Bank(spark, sf_dir)
+    b = _Written(spark, sf_dir)
     results, found = G.submitted_ids(_submitted_sets(b).withColumnRenamed("id", "order_no"), "txn_id")
     graded = G.grading_feedback(G.grade_id_sets(results, _expected_set(b)), "txn_id", has_column=found)
     return graded.select("sub_id", "matched", "expected", "passed", "feedback")
@@ -603,7 +607,7 @@ def grade_viva(spark, sf_dir):
 
 @_query
 def grading_feedback(spark, sf_dir):
-    b = _Bank(spark, sf_dir)
+    b = _Written(spark, sf_dir)
     return G.grading_feedback(G.grade_id_sets(_submitted_sets(b), _expected_set(b), _ten_subs(b))).select("sub_id", "feedback")
 
 
