@@ -30,7 +30,9 @@ TEMPLATE_PAGES = 5
 LINK_SHARE = 0.6
 DISTINCT_SHARE = 0.35
 #: The main slots: the largest ones that hold this share of the text that varies, each text counted once.
-MAIN_SHARE = 0.8
+MAIN_SHARE = 0.9
+#: An element that can be a story by itself; a list, a table or a paragraph is a part of the one around it.
+STORIES = frozenset("#root html body div section td center".split())
 #: Depth to which the tags of a page make its layout.
 LAYOUT_DEPTH = 3
 #: Cells of an alignment that are held at a time; of larger ones some rows are, and the others are worked out again.
@@ -477,7 +479,7 @@ def _verdicts(page, template: Template) -> list[str]:
 
 
 def _outside_story(page, verdicts: list[str], template: Template) -> list[str]:
-    """The verdicts, but gone for what is kept outside the smallest element around the main blocks and is no heading.
+    """The verdicts, but gone for what is kept outside the smallest element around the main blocks, of those that can be a story, and is no heading.
 
     A block that is one run of text, as a paragraph, belongs to the element around it, so that a lone paragraph is not a story by itself.
     """
@@ -489,9 +491,11 @@ def _outside_story(page, verdicts: list[str], template: Template) -> list[str]:
     alone = lambda i: depths[i - 1] < depths[i] and (i + 1 == n or depths[i + 1] < depths[i])
     depth = min([depths[i] - 1 - alone(i) for i in main] + [d - 1 for d in depths[main[0] : main[-1] + 1]])
     start = end = main[0]
-    while start and depths[start] > depth:
+    while start and (depths[start] > depth or page.tags[start] not in STORIES):
+        if depths[start] <= depth:  # the element at that depth, and no story: look for the one around it
+            depth = depths[start] - 1
         start -= 1
-    while end < n and (end == start or depths[end] > depth):
+    while end < n and depths[end] > depths[start]:
         end += 1
     out = []
     for i, v in zip(runs, verdicts):

@@ -242,6 +242,18 @@ def test_story_is_bounded_by_its_main_blocks(spark):
     assert flat == ["\n\n".join(x) for x in say]
 
 
+def test_stories_of_tables_lists_and_sections_stay_whole(spark):
+    rng = np.random.default_rng(10)
+    say = [[_words(rng, k) for k in (6, 40, 40, 40, 6)] for _ in range(9)]
+    foot = lambda i: f"<div>{_words(rng, 3)}</div>"
+    table = lambda a, b, c, d, e: f"<p>{a}</p><table><tr><td>{b}</td></tr><tr><td>{c}</td></tr><tr><td>{d}</td></tr></table><p>{e}</p>"
+    items = lambda a, b, c, d, e: f"<p>{a}</p><ul><li>{b}</li><li>{c}</li></ul><blockquote>{d}</blockquote><pre>{e}</pre>"
+    parts = lambda a, b, c, d, e: f"<section class=first><p>{a} {b}</p></section><section class=second><p>{c}</p><p>{d}</p><p>{e}</p></section>"
+    for make, want in ((table, "{0}|{1}|{2}|{3}|{4}"), (items, "{0}|{1}|{2}|{3}|{4}"), (parts, "{0} {1}|{2}|{3}|{4}")):
+        got = extracted(spark, [f"<body>{foot(i)}<div>{make(*x)}</div>{foot(i)}</body>" for i, x in enumerate(say)])
+        assert got == [want.replace("|", "\n\n").format(*x) for x in say]
+
+
 def stripped(page):
     """A page without landmarks: their elements are plain divisions, and no class tells anything."""
     page = re.sub(r"<(/?)(?:article|nav|header|footer|aside|main)(?=[\s>])", r"<\1div", page)
