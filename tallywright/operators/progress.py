@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.keyed import latest
 from ..sources.scratch import counted_broadcast, materialize
 
 SNAPSHOT = (
@@ -69,10 +70,8 @@ def split_corrupt(df: DataFrame, parsed: DataFrame, folder: str) -> tuple[DataFr
 
 
 def latest_stage_progress(df: DataFrame, order: list[str]) -> DataFrame:
-    """Upsert on (user_id, stage_id): the row that comes last by `order`."""
-    rest = [c for c in df.columns if c not in ("user_id", "stage_id", *order)]
-    last = df.groupBy("user_id", "stage_id").agg(F.max(F.struct(*order, *rest)).alias("r"))
-    return last.select("user_id", "stage_id", "r.*")
+    """Upsert on (user_id, stage_id) within one frame: the row that comes last by `order`. `keyed.merge_latest` does it to a kept table."""
+    return latest(df, ["user_id", "stage_id"], order)
 
 
 def completed_challenges(subs: DataFrame) -> DataFrame:
