@@ -12,6 +12,7 @@ searched through midpoints instead, in groups of bounded size.
 
 from __future__ import annotations
 
+import math
 from itertools import combinations
 
 import numpy as np
@@ -386,6 +387,70 @@ def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return both.select("a", "b", "x", "y").mapInArrow(run, "a bigint, b bigint")
 
 
+#: Slots of the table that shingles are counted in for their order: a fixed size, as it goes to every task.
+RARITY_SLOTS = 1 << 18
+
+
+def _slots(shingles: np.ndarray) -> np.ndarray:
+    return (shingles & np.uint64(RARITY_SLOTS - 1)).astype(np.int64)
+
+
+def shingle_rarity(sets: DataFrame) -> np.ndarray:
+    """How often each slot of RARITY_SLOTS occurs in the shingles of `sets`; a shingle's slot is its low bits.
+
+    Shingles of one slot count together. Any order that is the same for all sets makes the prefixes below right; the counts only keep
+    frequent shingles out of them.
+    """
+
+    def run(batches):
+        total = np.zeros(RARITY_SLOTS, np.int64)
+        for b in batches:
+            for x in b.column(0):
+                np.add.at(total, _slots(np.frombuffer(x.as_buffer(), np.uint64)), 1)
+        slot = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(slot, pa.int32()), pa.array(total[slot])], ["slot", "n"])
+
+    counted = sets.select("shingles").mapInArrow(run, "slot int, n bigint").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()
+    out = np.zeros(RARITY_SLOTS, np.int64)
+    out[counted["slot"].to_numpy(np.int64)] = counted["n"].to_numpy(np.int64)
+    return out
+
+
+def rare_prefix(shingles: np.ndarray, rarity: np.ndarray, similarity: float) -> np.ndarray:
+    """The rarest of a set's shingles, so many that two sets of at least `similarity` have one in both their prefixes."""
+    needed = math.ceil(similarity * len(shingles) - 1e-6)
+    order = np.lexsort((shingles, rarity[_slots(shingles)]))
+    return shingles[order[: len(shingles) - needed + 1]]
+
+
+def with_possible_partner(sets: DataFrame, similarity: float) -> DataFrame:
+    """node of each of `sets` (node, root, shingles) that can have a partner in another component: one of its rarest shingles
+    is among the rarest of a node of another root.
+
+    Nodes that share only a frequent passage have none, however many they are. No pair is formed here: the roots of each shingle are reduced to the
+    smallest and the largest before the shuffle.
+    """
+    rarity = shingle_rarity(sets)
+    out = lambda found: pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found)], ["node", "root", "shingle"])
+
+    def run(batches):
+        for b in batches:
+            found, rows = [], 0
+            for node, root, x in zip(*b.columns):
+                rare = rare_prefix(np.frombuffer(x.as_buffer(), np.uint64), rarity, similarity)
+                found.append((np.full(len(rare), node.as_py()), np.full(len(rare), root.as_py()), rare.view(np.int64)))
+                rows += len(rare)
+                if rows >= 1 << 16:
+                    yield out(found)
+                    found, rows = [], 0
+            if rows:
+                yield out(found)
+
+    rare = materialize(sets.select("node", "root", "shingles").mapInArrow(run, "node bigint, root bigint, shingle bigint"), "rare")
+    mixed = rare.groupBy("shingle").agg(F.min("root").alias("low_root"), F.max("root").alias("high_root")).where("low_root <> high_root")
+    return rare.join(materialize(mixed.select("shingle"), "mixed"), "shingle", "left_semi").select("node").distinct()
+
+
 def _blocks(members: DataFrame, block_bytes: int) -> DataFrame:
     """members (key, node, size, root, low, bytes of the posting's sets) as groups (key, i, j) of two blocks of a posting.
 
@@ -470,7 +535,7 @@ def copy_links(nodes: DataFrame, sets_of, similarity: float = MIN_SIMILARITY) ->
 
     nodes: node, low, size; sets_of(nodes) gives their shingles. Each member of a posting meets the posting's smallest node
     first. Then only pairs whose nodes are still in different components can add anything, so a large group of
-    copies does not expand into its pairs. Postings are counted and joined from tables, so that a large one is
+    copies does not expand into its pairs; and of those nodes only the ones that share rare shingles with another component. Postings are counted and joined from tables, so that a large one is
     pre-aggregated before the shuffle and split over tasks in the join.
     """
     index = copy_postings(nodes)
@@ -483,9 +548,16 @@ def copy_links(nodes: DataFrame, sets_of, similarity: float = MIN_SIMILARITY) ->
     roots = connected_components(links)
     members = shared.where("n > 2").join(roots, "node", "left").join(nodes.select("node", "size"), "node")  # of two, one was the head
     members = materialize(members.select("key", "node", "size", F.coalesce("root", "node").alias("root")), "members")
-    mixed = members.groupBy("key").agg(F.min("root").alias("low_root"), F.max("root").alias("high_root"), (8 * F.sum("size") + 1).alias("bytes"))
-    mixed = materialize(mixed.where("low_root <> high_root").select("key", "bytes"), "mixed")
-    return links.unionByName(_open_links(members.join(mixed, "key"), nodes, sets, similarity))
+    waiting = members.join(_mixed(members).select("key"), "key").select("node", "root").distinct()
+    live = with_possible_partner(materialize(sets.join(waiting, "node"), "open"), similarity)
+    members = materialize(members.join(materialize(live, "live"), "node", "left_semi"), "members")
+    return links.unionByName(_open_links(members.join(_mixed(members), "key"), nodes, sets, similarity))
+
+
+def _mixed(members: DataFrame) -> DataFrame:
+    """(key, bytes of its sets) of each posting with nodes of several components."""
+    roots = members.groupBy("key").agg(F.min("root").alias("low_root"), F.max("root").alias("high_root"), (8 * F.sum("size") + 1).alias("bytes"))
+    return materialize(roots.where("low_root <> high_root").select("key", "bytes"), "mixed")
 
 
 def near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = MIN_SIMILARITY) -> DataFrame:

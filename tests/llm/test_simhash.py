@@ -199,6 +199,36 @@ def test_blocks_of_a_large_posting(spark):
     assert len(want) > 100
 
 
+def test_frequent_passages_alone_leave_nothing_to_compare(spark):
+    rng = np.random.default_rng(8)
+    words = lambda n: " ".join(f"v{x}" for x in rng.integers(0, 10**9, n))
+    passage = words(240)  # 60 % of each text: any two have a similarity of 0.43
+    texts = [f"{passage} {words(160)}" for _ in range(400)]
+    texts += [f"{texts[0]} x y z", f"x {texts[1]}"]
+    sets = [simhash._shingle_set(t) for t in texts]
+    rows = [(i, i, bytearray(x.tobytes())) for i, x in enumerate(sets)]
+    df = spark.createDataFrame(rows, "node long, root long, shingles binary")
+    assert {r.node for r in simhash.with_possible_partner(df, 0.8).collect()} == {0, 1, 400, 401}
+    one = df.withColumn("root", F.lit(7).cast("long"))
+    assert simhash.with_possible_partner(one, 0.8).count() == 0 == simhash.with_possible_partner(df.limit(0), 0.8).count()
+
+
+def test_no_partner_is_lost_by_the_rarest_shingles(spark):
+    rng = np.random.default_rng(9)
+    sets = [np.unique(rng.integers(0, 60, n).astype(np.uint64) * np.uint64(2**40 + 12345)) for n in rng.integers(1, 30, 400)]
+    sets += [np.setdiff1d(x, x[: rng.integers(0, 3)]) for x in sets[:200]] + [np.zeros(0, np.uint64)]
+    root = rng.integers(0, 5, len(sets))
+    alike = lambda x, y: len(np.intersect1d(x, y)) / max(1, len(np.union1d(x, y)))
+    pairs = [(i, j) for i in range(len(sets)) for j in range(i) if root[i] != root[j] and alike(sets[i], sets[j]) >= 0.8]
+    df = spark.createDataFrame([(i, int(r), bytearray(x.tobytes())) for i, (r, x) in enumerate(zip(root, sets))], "node long, root long, shingles binary")
+    got = {r.node for r in simhash.with_possible_partner(df, 0.8).collect()}
+    assert len(pairs) > 100 and {k for p in pairs for k in p} <= got and len(sets) - 1 not in got
+    rarity = simhash.shingle_rarity(df)
+    assert rarity.sum() == sum(map(len, sets))
+    for i, j in pairs:
+        assert set(simhash.rare_prefix(sets[i], rarity, 0.8)) & set(simhash.rare_prefix(sets[j], rarity, 0.8))
+
+
 def jaccard_components(texts, ids, similarity=0.8):
     """Smallest id of each component of all pairs at `similarity`, by counting shared shingles."""
     sets = [frozenset(x) for x in shingle_sets(texts)]
