@@ -33,6 +33,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
 STREAM_DELAY = "365 days"
 MERGE_PARTS, BUCKETS = 8, 8
+ROWS_PER_FILE = 250_000
 FAR_FUTURE = "2100-01-01 00:00:00"
 
 
@@ -753,7 +754,8 @@ def stream_progress(spark, sf_dir):
     closing = spark.range(1).select(*[far.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in subs.schema])
     if SP is None:
         return _last_progress(drain(S.stream_progress_in_order(land(subs), T.STAGES, T.MAX_REWARD), "progress"))
-    stream = land(subs.repartition(4, F.xxhash64("seq")), closing, files_per_batch=2)
+    half = max(2, -(-subs.count() // (2 * ROWS_PER_FILE)))  # as many micro-batches at every size, as each costs by the user
+    stream = land(subs.repartition(2 * half, F.xxhash64("seq")), closing, files_per_batch=half)
     rows = drain(SP.stream_progress(stream, T.STAGES, T.MAX_REWARD, lateness=STREAM_DELAY), "progress", conf=SP.STATE_STORE)
     return _last_progress(rows)
 

@@ -85,10 +85,14 @@ class Fold:
         return state[0] not in self.plan
 
     @staticmethod
-    def row(user, state: tuple) -> pd.DataFrame:
+    def values(user, state: tuple) -> dict:
         stage, passed, reward, seen = state
         n = len(set(passed.split(",")) - {""})
-        return pd.DataFrame({"user_id": [user], "completed_stages": [stage - 1], "passed_in_stage": [n], "reward_unlocked": [reward], "seen": [seen]})
+        return {"user_id": user, "completed_stages": stage - 1, "passed_in_stage": n, "reward_unlocked": reward, "seen": seen}
+
+    @classmethod
+    def row(cls, user, state: tuple) -> pd.DataFrame:
+        return pd.DataFrame([cls.values(user, state)])
 
 
 def stream_progress_in_order(subs: DataFrame, stages: tuple, max_reward: int = 150) -> DataFrame:

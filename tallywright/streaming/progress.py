@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+import json
+from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, StatefulProcessor, StatefulProcessorHandle, TimerValues
 
@@ -13,7 +13,11 @@ from .jobs import OUTPUT, STATE, Fold
 
 #: Timers need this state store; set it in the session that starts the query.
 STATE_STORE = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"}
-WAITING = "at bigint, seq string, challenge_id string, passed boolean"
+#: Submissions of a user and batch in one item, as JSON objects joined by commas: a call costs by the item, hardly by the byte.
+WAITING = "submissions string"
+FOLDED = f"{STATE}, last bigint"
+#: An item holds at most so many submissions.
+ITEM_ROWS = 1_000
 #: A submission may come so much later than others.
 ALLOWED_LATENESS = "1 hour"
 #: A user who has finished is forgotten so many milliseconds after the last submission.
@@ -29,50 +33,56 @@ class _Progress(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.waiting = handle.getListState("waiting", WAITING)
-        self.state = handle.getValueState("folded", STATE)
-        self.last = handle.getValueState("last", "at bigint")
+        self.state = handle.getValueState("folded", FOLDED)
 
-    def _wake(self, at: int) -> None:
-        """One timer a user, at the earliest time that is asked for."""
-        timers = list(self.handle.listTimers())
+    def _wake(self, at: int, now: int) -> None:
+        """A timer a user, at the earliest time that is asked for. Before there is a watermark no timer is looked for: one too many finds nothing due."""
+        timers = list(self.handle.listTimers()) if now > 0 else []
         if not timers or at < min(timers):
             for t in timers:
                 self.handle.deleteTimer(t)
             self.handle.registerTimer(at)
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:  # noqa: N803
-        first = None
-        for chunk in rows:
-            self.waiting.appendList(list(zip(chunk["at"].tolist(), chunk["seq"].tolist(), chunk["challenge_id"].tolist(), chunk["passed"].tolist())))
-            first = min(x for x in (first, int(chunk["at"].min())) if x is not None)
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues: TimerValues) -> Iterator[Row]:  # noqa: N803
+        first, chunk = None, []
+        for _, at, submission, _ in rows:
+            first = at if first is None else min(first, at)
+            chunk.append(submission)
+            if len(chunk) == ITEM_ROWS:
+                self.waiting.appendValue((",".join(chunk),))
+                chunk = []
+        if chunk:
+            self.waiting.appendValue((",".join(chunk),))
         if first is not None:
-            self._wake(first)
+            self._wake(first, timerValues.getCurrentWatermarkInMs())
         return iter(())
 
-    def handleExpiredTimer(self, key, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N803
+    def handleExpiredTimer(self, key, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[Row]:  # noqa: N803
         now = timerValues.getCurrentWatermarkInMs()
-        waiting = sorted(self.waiting.get(), key=lambda r: (r[1] is not None, r[1] or "", r[0]))
-        due, rest = [r for r in waiting if r[0] <= now], [r for r in waiting if r[0] > now]
-        state = self.state.get() if self.state.exists() else None
-        last = self.last.get()[0] if self.last.exists() else 0
-        out: Iterable[pd.DataFrame] = ()
+        waiting = [r for (text,) in self.waiting.get() for r in json.loads(f"[{text}]")]
+        due, rest = [r for r in waiting if r["at"] <= now], [r for r in waiting if r["at"] > now]
+        before = self.state.get()
+        state, last = (tuple(before[:-1]), before[-1]) if before else (None, 0)
+        out = ()
         if due:
-            state, last = self.fold(state, ((r[2], r[3]) for r in due)), max([last, *(r[0] for r in due)])
-            self.state.update(state)
-            self.last.update((last,))
-            out = (self.fold.row(key[0], state),)
+            due.sort(key=lambda r: ("seq" in r, r.get("seq", ""), r["at"]))
+            state, last = self.fold(state, ((r.get("id"), r.get("ok")) for r in due)), max(last, *(r["at"] for r in due))
+            out = (Row(**self.fold.values(key[0], state)),)
             if rest:
-                self.waiting.put(rest)
+                texts = [json.dumps(r, ensure_ascii=False) for r in rest]
+                self.waiting.put([(",".join(texts[i : i + ITEM_ROWS]),) for i in range(0, len(texts), ITEM_ROWS)])
             else:
                 self.waiting.clear()
-        if rest:
-            self.handle.registerTimer(min(r[0] for r in rest))
-        elif state and self.fold.finished(state):
-            if now >= last + self.keep:
+        over = not rest and state and self.fold.finished(state)
+        if over and now >= last + self.keep:
+            if before:
                 self.state.clear()
-                self.last.clear()
-            else:
-                self.handle.registerTimer(last + self.keep)
+        elif due:
+            self.state.update((*state, last))
+        if rest:
+            self.handle.registerTimer(min(r["at"] for r in rest))
+        elif over and now < last + self.keep:
+            self.handle.registerTimer(last + self.keep)
         return iter(out)
 
 
@@ -89,5 +99,7 @@ def stream_progress(
     """
     fold = Fold(stages, max_reward)
     rows = subs.where(F.col("ts").isNotNull()).withWatermark("ts", lateness)
-    rows = rows.select("user_id", "challenge_id", "passed", "seq", F.ceil(F.unix_micros("ts") / 1000).cast("bigint").alias("at"), "ts")
-    return rows.groupBy("user_id").transformWithStateInPandas(_Progress(fold, keep_finished), OUTPUT, "append", "eventTime")
+    at = F.ceil(F.unix_micros("ts") / 1000).cast("bigint").alias("at")
+    submission = F.to_json(F.struct(at, "seq", F.col("challenge_id").alias("id"), F.col("passed").alias("ok")))  # nulls are left out
+    rows = rows.select("user_id", at, submission.alias("submission"), "ts")  # the operator drops late rows by ts
+    return rows.groupBy("user_id").transformWithState(_Progress(fold, keep_finished), OUTPUT, "append", "eventTime")

@@ -182,3 +182,16 @@ def test_finished_users_are_forgotten(spark):
     assert last_of(r for r in job().collect() if r.user_id > 0) == {1: (5, 150), 2: (0, 0)}
     kept = spark.read.format("statestore").option("path", state).option("stateVarName", "folded").load()
     assert [r.key.user_id for r in kept.collect() if r.key.user_id > 0] == [2]  # user 1 has finished and left no state
+
+
+def test_waiting_submissions_are_kept_by_batch(spark):
+    """A user's submissions of a micro-batch wait as one item of the state, not as one each; those of a missing challenge or verdict count as seen."""
+    rows, subs = random_subs(spark, 5)
+    subs = timed(subs).withColumn("challenge_id", F.expr("if(seq = '000000007', null, challenge_id)"))
+    parts = [subs.where(F.pmod(F.xxhash64("seq"), F.lit(2)) == k).coalesce(1) for k in range(2)]
+    state = new_path(spark, "state")
+    out = drain(SP.stream_progress(land(*parts, files_per_batch=1), T.STAGES, lateness="10 hours"), "p", checkpoint=state, conf=SP.STATE_STORE)
+    assert out.count() == 0
+    kept = spark.read.format("statestore").option("path", state).option("stateVarName", "waiting").load()
+    assert kept.count() <= 2 * len({u for u, _, _ in rows}) < len(rows)
+    assert sum(r.list_element.submissions.count('"at"') for r in kept.collect()) == len(rows)
