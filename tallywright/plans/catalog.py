@@ -756,7 +756,7 @@ def stream_progress(spark, sf_dir):
         return _last_progress(drain(S.stream_progress_in_order(land(subs), T.STAGES, T.MAX_REWARD), "progress"))
     half = max(2, -(-subs.count() // (2 * ROWS_PER_FILE)))  # as many micro-batches at every size, as each costs by the user
     stream = land(subs.repartition(2 * half, F.xxhash64("seq")), closing, files_per_batch=half)
-    rows = drain(SP.stream_progress(stream, T.STAGES, T.MAX_REWARD, lateness=STREAM_DELAY), "progress", conf=SP.STATE_STORE)
+    rows = drain(SP.stream_progress(stream, T.STAGES, T.MAX_REWARD, lateness=STREAM_DELAY, slot="30 days"), "progress", conf=SP.STATE_STORE)
     return _last_progress(rows)
 
 

@@ -1,4 +1,4 @@
-"""Progress of users whose submissions arrive late or out of order: a buffer a user, released by event time."""
+"""Progress of users whose submissions arrive late or out of order: gathered by user and slot of event time, folded when the slot is over."""
 
 from __future__ import annotations
 
@@ -13,11 +13,9 @@ from .jobs import OUTPUT, STATE, Fold
 
 #: Timers need this state store; set it in the session that starts the query.
 STATE_STORE = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"}
-#: Submissions of a user and batch in one item, as JSON objects joined by commas: a call costs by the item, hardly by the byte.
-WAITING = "submissions string"
 FOLDED = f"{STATE}, last bigint"
-#: An item holds at most so many submissions.
-ITEM_ROWS = 1_000
+#: Submissions wait by slots of event time, and a slot is released when the watermark has passed its end.
+SLOT = "10 minutes"
 #: A submission may come so much later than others.
 ALLOWED_LATENESS = "1 hour"
 #: A user who has finished is forgotten so many milliseconds after the last submission.
@@ -25,81 +23,51 @@ KEEP_FINISHED = 24 * 3_600_000
 
 
 class _Progress(StatefulProcessor):
-    """Submissions wait until the watermark has passed them; then no earlier one can come, and they are folded in order."""
+    """Folds what is released, in order; forgets users who have finished."""
 
     def __init__(self, fold: Fold, keep: int) -> None:
         self.fold, self.keep = fold, keep
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getListState("waiting", WAITING)
         self.state = handle.getValueState("folded", FOLDED)
 
-    def _wake(self, at: int, now: int) -> None:
-        """A timer a user, at the earliest time that is asked for. Before there is a watermark no timer is looked for: one too many finds nothing due."""
-        timers = list(self.handle.listTimers()) if now > 0 else []
-        if not timers or at < min(timers):
-            for t in timers:
-                self.handle.deleteTimer(t)
-            self.handle.registerTimer(at)
-
     def handleInputRows(self, key, rows: Iterator[Row], timerValues: TimerValues) -> Iterator[Row]:  # noqa: N803
-        first, chunk = None, []
-        for _, at, submission, _ in rows:
-            first = at if first is None else min(first, at)
-            chunk.append(submission)
-            if len(chunk) == ITEM_ROWS:
-                self.waiting.appendValue((",".join(chunk),))
-                chunk = []
-        if chunk:
-            self.waiting.appendValue((",".join(chunk),))
-        if first is not None:
-            self._wake(first, timerValues.getCurrentWatermarkInMs())
-        return iter(())
+        due = [r for row in rows for r in json.loads(row.submissions)]
+        due.sort(key=lambda r: ("seq" in r, r.get("seq", ""), r["at"]))
+        *before, last = self.state.get() or (0,)
+        state, last = self.fold(tuple(before), ((r.get("id"), r.get("ok")) for r in due)), max(last, *(r["at"] for r in due))
+        end = last + self.keep if self.fold.finished(state) else None
+        if end is None or timerValues.getCurrentWatermarkInMs() < end:
+            self.state.update((*state, last))
+            if end is not None:
+                self.handle.registerTimer(end)
+        elif before:
+            self.state.clear()
+        return iter([Row(**self.fold.values(key[0], state))])
 
     def handleExpiredTimer(self, key, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[Row]:  # noqa: N803
-        now = timerValues.getCurrentWatermarkInMs()
-        waiting = [r for (text,) in self.waiting.get() for r in json.loads(f"[{text}]")]
-        due, rest = [r for r in waiting if r["at"] <= now], [r for r in waiting if r["at"] > now]
-        before = self.state.get()
-        state, last = (tuple(before[:-1]), before[-1]) if before else (None, 0)
-        out = ()
-        if due:
-            due.sort(key=lambda r: ("seq" in r, r.get("seq", ""), r["at"]))
-            state, last = self.fold(state, ((r.get("id"), r.get("ok")) for r in due)), max(last, *(r["at"] for r in due))
-            out = (Row(**self.fold.values(key[0], state)),)
-            if rest:
-                texts = [json.dumps(r, ensure_ascii=False) for r in rest]
-                self.waiting.put([(",".join(texts[i : i + ITEM_ROWS]),) for i in range(0, len(texts), ITEM_ROWS)])
-            else:
-                self.waiting.clear()
-        over = not rest and state and self.fold.finished(state)
-        if over and now >= last + self.keep:
-            if before:
-                self.state.clear()
-        elif due:
-            self.state.update((*state, last))
-        if rest:
-            self.handle.registerTimer(min(r["at"] for r in rest))
-        elif over and now < last + self.keep:
-            self.handle.registerTimer(last + self.keep)
-        return iter(out)
+        state = self.state.get()
+        if state and timerValues.getCurrentWatermarkInMs() >= state[-1] + self.keep:  # else a later submission has set a later timer
+            self.state.clear()
+        return iter(())
 
 
 def stream_progress(
-    subs: DataFrame, stages: tuple, max_reward: int = 150, lateness: str = ALLOWED_LATENESS, keep_finished: int = KEEP_FINISHED
+    subs: DataFrame, stages: tuple, max_reward: int = 150, lateness: str = ALLOWED_LATENESS, keep_finished: int = KEEP_FINISHED, slot: str = SLOT
 ) -> DataFrame:
     """Per user and release: stages completed, challenges passed in the open stage, reward, submissions folded so far.
 
-    Submissions (user_id, challenge_id, passed, ts, seq) may come in any order up to `lateness` behind the newest. Each waits in its user's
-    state until the watermark has passed its time (whole milliseconds) and is folded then by `seq`, a text that sorts by time, then id, so the rows equal
-    those of the batch job; a null seq sorts first. What comes later than that is dropped by the watermark; rows without a time never become due and are left out. A user who
+    Submissions (user_id, challenge_id, passed, ts, seq) may come in any order up to `lateness` behind the newest. Spark gathers them by user and
+    `slot` of event time until the watermark has passed the slot's end; those released together are folded by `seq`, a text that sorts by time, then id, so the rows equal
+    those of the batch job; a null seq sorts first. What comes when its slot has been released is dropped by the watermark; rows without a time never become due and are left out. A user who
     has finished is forgotten `keep_finished` milliseconds of event time after the last submission; a submission after that begins a new history.
-    State is what waits, and a few fields a user. The session needs the settings in `STATE_STORE` when the query starts.
+    State is what waits, and a few fields a user. Python sees a user only at a release, with a row a slot. The session needs the settings in `STATE_STORE` when the query starts.
     """
     fold = Fold(stages, max_reward)
-    rows = subs.where(F.col("ts").isNotNull()).withWatermark("ts", lateness)
     at = F.ceil(F.unix_micros("ts") / 1000).cast("bigint").alias("at")
-    submission = F.to_json(F.struct(at, "seq", F.col("challenge_id").alias("id"), F.col("passed").alias("ok")))  # nulls are left out
-    rows = rows.select("user_id", at, submission.alias("submission"), "ts")  # the operator drops late rows by ts
-    return rows.groupBy("user_id").transformWithState(_Progress(fold, keep_finished), OUTPUT, "append", "eventTime")
+    submission = F.struct(at, "seq", F.col("challenge_id").alias("id"), F.col("passed").alias("ok"))
+    rows = subs.where(F.col("ts").isNotNull()).withWatermark("ts", lateness)
+    slots = rows.groupBy("user_id", F.window("ts", slot).alias("slot")).agg(F.collect_list(submission).alias("submissions"))
+    slots = slots.select("user_id", F.to_json("submissions").alias("submissions"), F.window_time("slot").alias("ts"))  # nulls are left out
+    return slots.groupBy("user_id").transformWithState(_Progress(fold, keep_finished), OUTPUT, "append", "eventTime")

@@ -9,7 +9,7 @@ from tallywright.sources.scratch import new_path
 from tallywright.streaming import jobs as S
 from tallywright.streaming import progress as SP
 from tallywright.streaming import sinks
-from tallywright.streaming.runner import drain, land
+from tallywright.streaming.runner import drain, land, settings
 
 from .test_operators import fold, subs_of
 
@@ -184,14 +184,28 @@ def test_finished_users_are_forgotten(spark):
     assert [r.key.user_id for r in kept.collect() if r.key.user_id > 0] == [2]  # user 1 has finished and left no state
 
 
-def test_waiting_submissions_are_kept_by_batch(spark):
-    """A user's submissions of a micro-batch wait as one item of the state, not as one each; those of a missing challenge or verdict count as seen."""
+def test_waiting_submissions_are_gathered_by_slot(spark):
+    """What waits is one row of Spark's aggregation a user and slot; the fold has no state and gives no row before a release."""
     rows, subs = random_subs(spark, 5)
-    subs = timed(subs).withColumn("challenge_id", F.expr("if(seq = '000000007', null, challenge_id)"))
+    subs = timed(subs)
     parts = [subs.where(F.pmod(F.xxhash64("seq"), F.lit(2)) == k).coalesce(1) for k in range(2)]
     state = new_path(spark, "state")
-    out = drain(SP.stream_progress(land(*parts, files_per_batch=1), T.STAGES, lateness="10 hours"), "p", checkpoint=state, conf=SP.STATE_STORE)
+    out = drain(SP.stream_progress(land(*parts, files_per_batch=1), T.STAGES, lateness="10 hours", slot="1 hour"), "p", checkpoint=state, conf=SP.STATE_STORE)
     assert out.count() == 0
-    kept = spark.read.format("statestore").option("path", state).option("stateVarName", "waiting").load()
-    assert kept.count() <= 2 * len({u for u, _, _ in rows}) < len(rows)
-    assert sum(r.list_element.submissions.count('"at"') for r in kept.collect()) == len(rows)
+    kept = spark.read.format("statestore").option("path", state)
+    assert kept.option("operatorId", 0).option("stateVarName", "folded").load().count() == 0
+    waiting = spark.read.format("statestore").option("path", state).option("operatorId", 1).load()
+    assert waiting.count() == subs.select("user_id", F.date_trunc("hour", "ts")).distinct().count() < len(rows)
+
+
+@pytest.mark.parametrize("zone", ["UTC", "Asia/Kolkata"])
+def test_late_submissions_count_while_their_slot_is_open(spark, zone):
+    """Nulls of a submission are no error; one without a verdict counts as seen."""
+    names = [c for c, _ in T.STAGES[0][3]]
+    rows = [(1, names[0], True, at(0)), (1, names[1], True, at(50)), (1, None, None, at(51)), (1, names[2], True, at(10))]
+    with settings(spark, {"spark.sql.session.timeZone": zone}):
+        schema = "user_id long, challenge_id string, passed boolean, ts timestamp, seq string"
+        parts = [spark.createDataFrame([(*r, f"{k}")], schema) for k, r in enumerate(rows)]
+        stream = land(*parts, closing(spark, parts[0]), files_per_batch=1)
+        out = drain(SP.stream_progress(stream, T.STAGES, lateness="1 minute", slot="1 day"), "p", conf=SP.STATE_STORE).collect()
+    assert [(r.user_id, r.completed_stages, r.reward_unlocked, r.seen) for r in out] == [(1, 1, T.STAGES[0][2], 4)]
